@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import array
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -18,7 +20,7 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 WORDS = bytes(c if (48 <= c <= 57 or 97 <= c <= 122 or c >= 128) else 32 for c in LOWER)
 
 #: Bytes of text that a worker keeps in one output batch at most, beside the row that passes it.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -90,11 +92,12 @@ class Segments:
     With ``blanks`` (byte-level vocabularies) a cut falls before a single blank between two characters
     that are not white space; without it (vocabularies that drop white space) at any white space. The
     pre-tokenizers always break there and no special token holds white space, so the tokens of a text are
-    those of its segments in order. Prose repeats its segments; the table of answers is bounded.
+    those of its segments in order. Prose repeats its segments; the table of answers is bounded: it has
+    two generations, and what the younger one does not ask for goes with the older.
     """
 
-    #: Segments kept at most; the table is emptied beyond it. Longer ones are encoded anew each time.
-    KEPT, LONG = 200_000, 64
+    #: Segments in a generation at most. Longer ones are encoded anew each time.
+    KEPT, LONG = 150_000, 64
     #: Characters in one call of the library at most, beside the text that passes it.
     CALL_CHARS = 1 << 20
     #: Control characters that str.split takes for white space and the vocabularies do not.
@@ -102,10 +105,24 @@ class Segments:
     #: All other white space but blank and line feed.
     SPACES = (*"\t\r\x0b\x0c\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B)))
 
-    def __init__(self, path: str, value: Callable, blanks: bool):
+    #: Of this worker process, by their arguments: tasks that follow find the table filled.
+    _loaded: dict[tuple, Segments] = {}
+
+    @classmethod
+    def load(cls, path: str, counts: bool, blanks: bool) -> Segments:
+        """counts: a segment's value is its number of tokens; otherwise its ids as little-endian unsigned
+        32-bit numbers."""
+        key = (path, counts, blanks)
+        if key not in cls._loaded:
+            cls._loaded[key] = cls(path, counts, blanks)
+        return cls._loaded[key]
+
+    def __init__(self, path: str, counts: bool, blanks: bool):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.value, self.blanks, self.known = Tokenizer.from_file(path), value, blanks, {}
+        self.tokenizer, self.blanks, self.known, self.older = Tokenizer.from_file(path), blanks, {}, {}
+        self.value = len if counts else (lambda e: array.array("I", e.ids).tobytes())
 
     # A key that starts with a blank stands for the rest of it, any other key for itself after a blank.
     @staticmethod
@@ -137,8 +154,8 @@ class Segments:
         call, size = [], 0
         for k in [*keys, None]:
             if call and (k is None or size + len(k) > self.CALL_CHARS):
-                for x, e in zip(call, self.tokenizer.encode_batch([self.text_of(x) for x in call], add_special_tokens=False)):
-                    self.known[x] = self.value(e.ids)
+                for x, e in zip(call, self.tokenizer.encode_batch_fast([self.text_of(x) for x in call], add_special_tokens=False)):
+                    self.known[x] = self.value(e)
                 call, size = [], 0
             if k is not None:
                 call.append(k)
@@ -150,14 +167,19 @@ class Segments:
         wanted: set[str] = set()
         for c in cut:
             wanted.update(c)
-        missing = wanted - self.known.keys()
-        if len(self.known) + len(missing) > self.KEPT:
-            self.known.clear()
-            missing = wanted
-        self.encode(list(missing))
-        get = self.known.__getitem__
+        known, older = self.known, self.older
+        missing = []
+        for k in wanted - known.keys():
+            if (v := older.get(k)) is None:
+                missing.append(k)
+            else:
+                known[k] = v
+        self.encode(missing)
+        get = known.__getitem__
         out = [list(map(get, c)) for c in cut]
         for k in missing:
             if len(k) > self.LONG:
-                del self.known[k]
+                del known[k]
+        if len(known) > self.KEPT:
+            self.known, self.older = {}, known
         return out

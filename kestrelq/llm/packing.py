@@ -40,7 +40,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, window: int = 2048, id_col
     def tokenize(batches):
         import struct
 
-        segments, at, part = Segments(path, lambda x: np.asarray(x, dtype="<u4").tobytes(), False), 0, None
+        segments, at, part = Segments.load(path, False, False), 0, None
         end = struct.pack("<I", end_id)
         for batch in batches:
             for b in pieces(batch, "text"):

@@ -19,19 +19,12 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     def run(batch: pa.RecordBatch):
         lengths = pa.compute.binary_length(batch["text"])
-        n = [sum(v) for v in segments().of([b.decode() for b in batch["text"].to_pylist()])]
+        n = [sum(v) for v in Segments.load(path, True, True).of([b.decode() for b in batch["text"].to_pylist()])]
         yield pa.RecordBatch.from_arrays(
             [batch["id"], lengths.cast(pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
             [id_col, "n_bytes", "n_tokens", "over_limit"],
         )
 
-    cache: list[Segments] = []
-
-    def segments() -> Segments:
-        if not cache:
-            cache.append(Segments(path, len, True))
-        return cache[0]
-
     rows = docs.select(quoted(id_col).alias("id"), body(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(arrow_map(run, "text"), f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
