@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kestrelq.llm import decontaminate, html_extract, media, packing, secrets, token_counts, warc
+from kestrelq.llm import decontaminate, html_extract, media, ngram_join, packing, secrets, token_counts, warc
 from kestrelq.session import table
 
 QUERIES: dict = {}
@@ -39,6 +39,11 @@ FROM f
 """
 
 
+@query
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), threshold=0.8).drop("first_of_class")
+
+
 @query
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
