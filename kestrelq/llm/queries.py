@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kestrelq.llm import decontaminate, html_extract, media, ngram_join, packing, secrets, token_counts, warc
+from kestrelq.llm import decontaminate, html_extract, lm_scoring, media, ngram_join, packing, secrets, token_counts, warc
 from kestrelq.session import table
 
 QUERIES: dict = {}
@@ -17,6 +17,11 @@ def query(f):
     return f
 
 
+@query
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_fold(table(spark, sf_dir, "documents"), mod=7, remainder=2)
+
+
 @query
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, window=2048)
