@@ -1,0 +1,55 @@
+"""The corpus pipeline: five stages over documents, each written as Parquet and read again as the next one's."""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from kestrelq.llm import decontaminate, ngram_join, packing, secrets, toxicity
+from kestrelq.llm.common import written
+from kestrelq.session import table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose highest window scores below 0.5."""
+    return toxicity.accepted(docs, table(spark, sf_dir, "labels"), limit=0.5)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each class of linked documents."""
+    return ngram_join.deduplicated(docs, threshold=0.8)
+
+
+def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without benchmark windows; documents that are mostly benchmark go."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"), n=10, coverage=0.5)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with every secret masked."""
+    return secrets.mask(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of full sequences of 2048 ids."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, window=2048)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard_join", drop_near_duplicates),
+    ("benchmark_decontamination", cut_benchmark),
+    ("secret_scan", mask_secrets),
+    ("packing", pack),
+]
+
+#: SQL can't express the trained scores, tokens by a vocabulary or spans cut out of texts.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STAGES in order over documents; every result but the last is written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kestrelq.llm import decontaminate, html_extract, lm_scoring, media, ngram_join, packing, secrets, token_counts, warc
+from kestrelq.llm import decontaminate, html_extract, lm_scoring, media, ngram_join, packing, secrets, token_counts, toxicity, warc
 from kestrelq.session import table
 
 QUERIES: dict = {}
@@ -72,3 +72,15 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), mod=5, remainder=0)
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
