@@ -364,7 +364,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = written(out, "ngram-classes")
     order = F.struct(F.col("id").isNull(), F.col("id"), F.col("rid"))
     first = out.groupBy("label").agg(F.min(order).alias("first"))
-    first = first.select("label", F.col("first.id").alias("class_id"), F.col("first.rid").alias("first_rid"))
+    # written, so that both sides of the join below are plain shuffles and a large class can be split
+    first = written(first, "ngram-firsts").select("label", F.col("first.id").alias("class_id"), F.col("first.rid").alias("first_rid"))
     out = out.join(first, "label").select(
         "rid",
         "class_id",
