@@ -17,6 +17,7 @@ of words outside the HEAD most frequent ones never leave the cluster; they are j
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections import Counter
 
@@ -31,8 +32,10 @@ from kestrelq.llm.common import LOWER, arrow_map, body, held_out, quoted, writte
 WORDS, SURFACES, HEAD, LONG = 391, 120, 65_536, 64
 SYMBOLS = WORDS + SURFACES
 #: Dimensions, noise samples a batch of positions, positions a batch, step, rounds (share of texts, step).
-DIM, NOISE, BATCH = 16, 96, 4096
-ROUNDS = ((8, 0.3), (1, 0.15))
+DIM, NOISE, BATCH = 16, 64, 4096
+ROUNDS = ((8, 0.15), (1, 0.1))
+#: Longest move of a parameter row in one step, so that no batch can make the training diverge.
+LONGEST = 0.5
 #: Distinct words that a counting worker holds before it passes them on.
 HELD = 150_000
 
@@ -51,9 +54,11 @@ def key_of(word: bytes) -> bytes:
 
 def surface(word: bytes) -> int:
     """Class of a word by its surface: punctuation at the end, and the last two letters or the script."""
-    bare = word.rstrip(b".,;:!?")
-    end = 0 if len(bare) == len(word) else 1 if word[-1:] == b"," else 2
-    tail = bare[-3:]
+    last = word[-1:]
+    if last not in b".,;:!?" or not word:
+        end, tail = 0, word[-3:]
+    else:
+        end, tail = 1 if last == b"," else 2, word[-4:-1]
     return end * 40 + (tail[0] * 31 + tail[-1] * 7 + len(tail) + 5 * (not tail.isascii())) % 40 if tail else end * 40
 
 
@@ -103,6 +108,23 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return rows.mapInArrow(run, "w binary, c long").groupBy("w").agg(F.sum("c").alias("c"))
 
 
+def head_words(counts: DataFrame) -> list[tuple[bytes, int]]:
+    """Words by falling count, HEAD at most: those of the highest counts that together fit. A histogram of
+    counts (exact below 1024, then 64 steps to a doubling) finds the limit, so no task sends more than it has
+    of these words. Keys have LONG bytes at most."""
+    step = F.when(F.col("c") < 1024, F.col("c")).otherwise(F.floor(F.log2("c") * 64) + 384)
+    bins = counts.groupBy(step.cast("long").alias("k")).agg(F.count("*").alias("n"), F.min("c").alias("low")).orderBy(F.desc("k")).collect()
+    total, low = 0, None
+    for r in bins:
+        total += r["n"]
+        if total > HEAD:
+            break
+        low = r["low"]
+    if low is None:
+        return []
+    return sorted(((bytes(r["w"]), r["c"]) for r in counts.where(F.col("c") >= low).collect()), key=lambda x: (-x[1], x[0]))
+
+
 def surface_totals(counts: DataFrame, own: set[bytes]) -> dict[int, tuple[int, int]]:
     """Tokens and words of each surface class, over the words without a class of their own."""
 
@@ -118,20 +140,34 @@ def surface_totals(counts: DataFrame, own: set[bytes]) -> dict[int, tuple[int, i
     return {r[0]: (r[1], r[2]) for r in rows}
 
 
-class Symbols(dict):
-    """Class of each word, remembered for a bounded number of words."""
-
-    KEPT = 100_000
-
-    def __init__(self, own: dict[bytes, int]):
-        super().__init__(own)
-        self.most = len(own) + self.KEPT
-
-    def __missing__(self, word: bytes) -> int:
-        s = WORDS + surface(key_of(word))
-        if len(self) < self.most and len(word) <= LONG:
-            self[word] = s
-        return s
+class Lookup:
+    """Numbers of words: head words by rank; others have none, and get their surface class one by one."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.rank = {w: i for i, w in enumerate(vocabulary.count)}
+        own = vocabulary.symbol
+        self.symbol = np.array([own[w] if w in own else WORDS + surface(w) for w in vocabulary.count], np.int64)
+        self.logs = np.log10(np.array(list(vocabulary.count.values()), np.float64) + 1)
+        self.end = self.rank.get(END, -1)
+
+    def ranks(self, words: list[bytes]) -> np.ndarray:
+        """Ranks of the words and the end; -1 without one."""
+        out = np.empty(len(words) + 1, np.int64)
+        out[:-1] = np.fromiter(map(self.rank.get, words, itertools.repeat(-1)), np.int64, len(words))
+        out[-1] = self.end
+        return out
+
+    def symbols(self, words: list[bytes], ranks: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+        """Classes of the words and the end, and the keys of the words without a rank."""
+        if not len(self.symbol):
+            keys = [*map(key_of, words), END]
+            return np.array([WORDS + surface(k) for k in keys], np.int64), keys
+        out = self.symbol[ranks]
+        rest = np.flatnonzero(ranks < 0).tolist()
+        keys = [key_of(words[k]) if k < len(words) else END for k in rest]
+        if rest:
+            out[rest] = [WORDS + surface(k) for k in keys]
+        return out, keys
 
 
 class Model:
@@ -158,33 +194,38 @@ class Model:
         return m
 
     def train(self, w: np.ndarray, a: np.ndarray, z: np.ndarray, noise: np.ndarray, log_noise: np.ndarray, step: float) -> None:
-        """One step on positions with classes w after a, after z; noise: classes drawn by exp(log_noise).
+        """One step on positions with classes w after a, after z; noise: classes drawn by exp(log_noise); all
+        in single precision.
         NCE: a class is told from NOISE drawn ones by s - log(NOISE * its noise probability)."""
         n, k = len(w), len(noise)
         ra, rz = self.r[a], self.r[z]
         h = ra @ self.c1 + rz @ self.c2
-        shift = math.log(k)
-        pos = 1 / (1 + np.exp(-np.clip((h * self.q[w]).sum(1) + self.b[w] - log_noise[w] - shift, -30, 30)))
-        qn = self.q[noise]
-        neg = 1 / (1 + np.exp(-np.clip(h @ qn.T + self.b[noise] - log_noise[noise] - shift, -30, 30)))
-        gp = (1 - pos).astype(np.float32)
-        gq_noise = -(neg.T @ h)
-        gh = gp[:, None] * self.q[w] - neg @ qn
-        one = np.zeros((SYMBOLS + 1, DIM + 1), np.float32)
+        bias = self.b - log_noise - np.float32(math.log(k))
+        qw, qn = self.q[w], self.q[noise]
+        pos = np.clip(np.einsum("nd,nd->n", h, qw) + bias[w], -30, 30)
+        gp = 1 / (1 + np.exp(pos))
+        neg = h @ qn.T
+        neg += bias[noise]
+        np.clip(neg, -30, 30, out=neg)
+        np.negative(neg, out=neg)
+        np.exp(neg, out=neg)
+        neg += 1
+        np.reciprocal(neg, out=neg)
+        gh = gp[:, None] * qw - neg @ qn
+        one, gr = np.zeros((SYMBOLS + 1, DIM + 1), np.float32), np.zeros_like(self.r)
         summed(one, w, np.concatenate((gp[:, None] * h, gp[:, None]), 1))
-        np.add.at(one, noise, np.concatenate((gq_noise, -neg.sum(0)[:, None]), 1))
-        gr = np.zeros_like(self.r)
+        np.add.at(one, noise, np.concatenate((-(neg.T @ h), -neg.sum(0)[:, None]), 1))
         summed(gr, a, gh @ self.c1.T)
         summed(gr, z, gh @ self.c2.T)
-        gc1, gc2 = ra.T @ gh, rz.T @ gh
         # rows are scaled by how often they occur, so that rare classes move too
-        for grad, counts in ((gr, np.bincount(a, minlength=SYMBOLS + 1) + np.bincount(z, minlength=SYMBOLS + 1)), (one, np.bincount(w, minlength=SYMBOLS + 1) + n * np.exp(np.append(log_noise, -30.0)))):
-            grad /= np.sqrt(counts * float(n) / 16 + 1)[:, None]
-        self.r += step * gr
-        self.q += step * one[:SYMBOLS, :DIM]
-        self.b += step * one[:SYMBOLS, DIM]
-        self.c1 += step * gc1 / n
-        self.c2 += step * gc2 / n
+        used = np.bincount(w, minlength=SYMBOLS + 1) + n * np.exp(np.append(log_noise, np.float32(-30)))
+        context = np.bincount(a, minlength=SYMBOLS + 1) + np.bincount(z, minlength=SYMBOLS + 1)
+        for grad, counts in ((gr, context), (one, used)):
+            grad *= (step / np.sqrt(counts * (n / 16) + 1)).astype(np.float32)[:, None]
+        for own, move in ((self.r, gr), (self.q, one[:SYMBOLS, :DIM]), (self.c1, ra.T @ gh * np.float32(step / n)), (self.c2, rz.T @ gh * np.float32(step / n))):
+            long = np.sqrt((move * move).sum(1, keepdims=True))
+            own += move * np.minimum(1, LONGEST / np.maximum(long, 1e-12))
+        self.b += np.clip(one[:SYMBOLS, DIM], -LONGEST, LONGEST)
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Scores by the first and by the second context (bias in the first), and log normalisers of all
@@ -198,7 +239,7 @@ class Model:
 
 def summed(out: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
     """out[at] += rows with repeats, by sorted segments."""
-    order = np.argsort(at, kind="stable")
+    order = np.argsort(at.astype(np.int16), kind="stable")
     s = at[order]
     start = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
     out[s[start]] += np.add.reduceat(rows[order], start, axis=0)
@@ -217,7 +258,7 @@ def trained(docs: DataFrame, vocabulary, unigram: np.ndarray, text_col: str) ->
     as rows by place, so the sums are made on the cluster; Model.SIZE of them reach the driver."""
     spark, model = docs.sparkSession, Model.start(unigram)
     rows = docs.select(body(text_col).alias("text"), quoted("__salt").alias("salt"))
-    log_noise = np.log(unigram)
+    log_noise = np.log(unigram).astype(np.float32)
     for parts, step in ROUNDS:
         begin = spark.sparkContext.broadcast(model.flat)
 
@@ -225,7 +266,7 @@ def trained(docs: DataFrame, vocabulary, unigram: np.ndarray, text_col: str) ->
             from pyspark import TaskContext
 
             m, seen = Model(begin.value), 0
-            symbols, rng = Symbols(vocabulary.value.symbol), np.random.default_rng(TaskContext.get().partitionId())
+            lookup, rng = Lookup(vocabulary.value), np.random.default_rng(TaskContext.get().partitionId())
             cdf = np.cumsum(np.exp(log_noise))
             held: list[np.ndarray] = []
             size = 0
@@ -240,18 +281,17 @@ def trained(docs: DataFrame, vocabulary, unigram: np.ndarray, text_col: str) ->
                 seen += len(w)
                 held.clear()
 
-            end = symbols[END]
             for b in batches:
                 for t in b["text"].to_pylist():
                     words = tokens_of(t)
-                    held.append(np.fromiter((*map(symbols.__getitem__, words), end), np.int64, len(words) + 1))
+                    held.append(lookup.symbols(words, lookup.ranks(words))[0])
                     size += len(words) + 1
                     if size > 16 * BATCH:
                         learn()
                         size = 0
             if held:
                 learn()
-            if seen and np.isfinite(m.flat).all():
+            if seen:
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(Model.SIZE)), pa.array(m.flat.astype(np.float64) * seen), pa.array(np.full(Model.SIZE, float(seen)))], ["i", "x", "n"])
 
         part = rows.where(F.pmod("salt", F.lit(parts)) == 0) if parts > 1 else rows
@@ -277,7 +317,7 @@ def score(docs: DataFrame, held: F.Column, id_col: str = "doc_id", text_col: str
     learn = rows.where(~F.col("held"))
     counts = written(word_counts(learn, "text"), "lm-counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    head = [(bytes(r["w"]), r["c"]) for r in counts.orderBy(F.desc("c"), "w").limit(HEAD).collect()]  # HEAD keys of LONG bytes
+    head = head_words(counts)
     own = Vocabulary(head, {}, n, v).symbol
     vocabulary = Vocabulary(head, surface_totals(counts, set(own)), n, v)
     unigram = np.concatenate(([vocabulary.count[w] for w in vocabulary.words], np.zeros(WORDS - len(own)), vocabulary.totals[:, 0])) + 0.5
@@ -291,23 +331,23 @@ def score(docs: DataFrame, held: F.Column, id_col: str = "doc_id", text_col: str
 
         voc = shared.value
         before, second, norm = tables.value
-        symbols = Symbols(voc.symbol)
+        lookup = Lookup(voc)
         row = TaskContext.get().partitionId() << 36
         log_v = math.log10(voc.n + voc.v + 1)
-        logs = {w: math.log10(c + 1) for w, c in voc.count.items()}
-        end = symbols[END]
+        logs = np.append(lookup.logs, 0.0)  # -1: no rank
+        own_logs = np.zeros(SYMBOLS)
+        for x, k in voc.symbol.items():
+            own_logs[k] = logs[lookup.rank[x]]
 
         def part(b: pa.RecordBatch):
             nonlocal row
             ids, lengths, known, base, rest = [], [], [], [], []
             for t in b["text"].to_pylist():
                 words = tokens_of(t)
-                s = np.fromiter((*map(symbols.__getitem__, words), end), np.int64, len(words) + 1)
-                words.append(END)
-                x = list(map(logs.get, words))
-                tail = [key_of(w) for w, y in zip(words, x) if y is None] if None in x else []
-                known.append(len(x) - len(tail))
-                base.append(sum(y for y in x if y is not None) if tail else sum(x))
+                ranks = lookup.ranks(words)
+                s, tail = lookup.symbols(words, ranks)
+                known.append(len(s) - len(tail))
+                base.append(logs[ranks].sum())
                 rest.append(tail)
                 ids.append(s)
                 lengths.append(len(s))
@@ -318,8 +358,7 @@ def score(docs: DataFrame, held: F.Column, id_col: str = "doc_id", text_col: str
             starts = np.cumsum([0, *lengths[:-1]])
             lm = np.add.reduceat(lm - inside, starts)
             # log10(count + 1) of head words: all of them in the base, those of surface classes in the score
-            own_logs = np.array([logs.get(x, 0.0) for x in voc.words] + [0.0] * (SYMBOLS - len(voc.words)))
-            own_part = np.add.reduceat(np.where(w < WORDS, own_logs[w], 0.0), starts)
+            own_part = np.add.reduceat(own_logs[w], starts)
             base = np.array(base)
             yield pa.RecordBatch.from_arrays(
                 [b["id"], b["held"], pa.array(np.arange(row, row + len(ids))), pa.array(lengths, pa.int64()), pa.array(known, pa.int64()), pa.array(base - np.array(lengths) * log_v), pa.array(lm + base - own_part), pa.array(rest, pa.list_(pa.binary()))],
