@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import array
+import json
 import os
 import tempfile
 import uuid
@@ -86,20 +86,37 @@ def held_out(id_col: str, mod: int, remainder: int) -> F.Column:
     return F.coalesce(F.pmod(F.crc32(quoted(id_col).cast("string").cast("binary")), F.lit(mod)) == remainder, F.lit(False))
 
 
+class _Table(dict):
+    """Answers by key in two generations. An unknown key gets an empty answer, which is filled later, and
+    stands in ``pending``."""
+
+    def __init__(self, older: dict):
+        super().__init__()
+        self.older, self.pending = older, []
+
+    def __missing__(self, key):
+        if (value := self.older.get(key)) is None:
+            value = bytearray()
+            self.pending.append(key)
+        self[key] = value
+        return value
+
+
 class Segments:
     """Text cut at safe boundaries, each distinct segment encoded once.
 
     With ``blanks`` (byte-level vocabularies) a cut falls before a single blank between two characters
-    that are not white space; without it (vocabularies that drop white space) at any white space. The
-    pre-tokenizers always break there and no special token holds white space, so the tokens of a text are
-    those of its segments in order. Prose repeats its segments; the table of answers is bounded: it has
-    two generations, and what the younger one does not ask for goes with the older.
+    that are not white space; without it (vocabularies that fold case and drop white space) at any white
+    space, and between a word and the full stop or comma that ends it. The pre-tokenizers always break
+    there and no special token holds such a place, so the tokens of a text are those of its segments in
+    order. Prose repeats its segments; the table of answers is bounded: it has two generations, and what
+    the younger one does not ask for goes with the older.
     """
 
     #: Segments in a generation at most. Longer ones are encoded anew each time.
     KEPT, LONG = 150_000, 64
-    #: Characters in one call of the library at most, beside the text that passes it.
-    CALL_CHARS = 1 << 20
+    #: Characters in one call of the library at most, beside the text that passes it; words joined into one text.
+    CALL_CHARS, JOINED = 1 << 20, 500
     #: Control characters that str.split takes for white space and the vocabularies do not.
     ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
     #: All other white space but blank and line feed.
@@ -110,8 +127,8 @@ class Segments:
 
     @classmethod
     def load(cls, path: str, counts: bool, blanks: bool) -> Segments:
-        """counts: a segment's value is its number of tokens; otherwise its ids as little-endian unsigned
-        32-bit numbers."""
+        """A segment's value is a byte array: its ids as little-endian unsigned 32-bit numbers, or with
+        ``counts`` a byte for each."""
         key = (path, counts, blanks)
         if key not in cls._loaded:
             cls._loaded[key] = cls(path, counts, blanks)
@@ -121,13 +138,17 @@ class Segments:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.blanks, self.known, self.older = Tokenizer.from_file(path), blanks, {}, {}
-        self.value = len if counts else (lambda e: array.array("I", e.ids).tobytes())
+        self.tokenizer, self.counts, self.blanks, self.known = Tokenizer.from_file(path), counts, blanks, _Table({})
+        suffix = None if blanks else json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        self.ends = None
+        if suffix:  # ids that end a word
+            vocabulary = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for w, i in vocabulary.items() if w.endswith(suffix)]] = True
 
-    # A key that starts with a blank stands for the rest of it, any other key for itself after a blank.
-    @staticmethod
-    def text_of(key: str) -> str:
-        return key[1:] if key[:1] == " " else " " + key
+    # With blanks, a key that starts with one stands for the rest of it, any other key for itself after a blank.
+    def text_of(self, key: str) -> str:
+        return key if not self.blanks else key[1:] if key[:1] == " " else " " + key
 
     @staticmethod
     def key_of(segment: str) -> str:
@@ -135,11 +156,14 @@ class Segments:
 
     def cut(self, text: str) -> list[str]:
         """Keys of the segments in order."""
+        odd = any(c in text for c in self.ODD)
         if not self.blanks:
-            return [" " + text] if any(c in text for c in self.ODD) else text.split()
+            if odd:
+                return [text]
+            # no special token whose case matters, no combining mark
+            return (text.lower() if "<|" not in text and latin(text) else text).split()
         parts = text.split(" ")
-        odd = "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or any(c in text for c in (*self.ODD, *self.SPACES))
-        if not odd:
+        if not (odd or "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or any(c in text for c in self.SPACES)):
             parts[0] = " " + parts[0]
             return parts
         out = [parts[0]]
@@ -151,35 +175,64 @@ class Segments:
         return [self.key_of(x) for x in out]
 
     def encode(self, keys: list[str]) -> None:
+        """Fills the answers of ``keys``."""
+        known, ends = self.known, self.ends
+        stops = []
+        if ends is not None:
+            stops = [k for k in keys if k[-1:] in (".", ",") and k[-2:-1].isalnum() and latin(k)]
+            for k in stops:
+                known[k[:-1]], known[k[-1]]  # asks for the word and the stop
+            done = set(stops)
+            keys = [k for k in keys if k not in done] + known.pending
+            known.pending = []
+            # words of letters only are one pre-token each: many in one text, told apart by their last ids
+            words = [k for k in keys if k.isalpha() and latin(k)]
+            keys = [k for k in keys if not (k.isalpha() and latin(k))]
+            lists = [words[a : a + self.JOINED] for a in range(0, len(words), self.JOINED)]
+            for some, e in zip(lists, self.tokenizer.encode_batch_fast([" ".join(x) for x in lists], add_special_tokens=False)):
+                ids = np.array(e.ids, "<u4")
+                end = np.flatnonzero(ends[ids]) + 1
+                if len(end) != len(some):
+                    keys += some
+                    continue
+                raw, size = (bytes(len(ids)), 1) if self.counts else (ids.tobytes(), 4)
+                cuts = (size * end).tolist()
+                for w, a, b in zip(some, [0, *cuts], cuts):
+                    known[w][:] = raw[a:b]
         call, size = [], 0
         for k in [*keys, None]:
             if call and (k is None or size + len(k) > self.CALL_CHARS):
                 for x, e in zip(call, self.tokenizer.encode_batch_fast([self.text_of(x) for x in call], add_special_tokens=False)):
-                    self.known[x] = self.value(e)
+                    known[x][:] = bytes(len(e)) if self.counts else np.array(e.ids, "<u4").tobytes()
                 call, size = [], 0
             if k is not None:
                 call.append(k)
                 size += len(k)
+        for k in stops:
+            known[k][:] = known[k[:-1]] + known[k[-1]]
 
-    def of(self, texts: list[str]) -> list[list]:
+    def of(self, texts: list[str]) -> list[list[bytearray]]:
         """For every text, the values of its segments in order."""
-        cut = [self.cut(t) for t in texts]
-        wanted: set[str] = set()
-        for c in cut:
-            wanted.update(c)
-        known, older = self.known, self.older
-        missing = []
-        for k in wanted - known.keys():
-            if (v := older.get(k)) is None:
-                missing.append(k)
-            else:
-                known[k] = v
-        self.encode(missing)
+        known = self.known
         get = known.__getitem__
-        out = [list(map(get, c)) for c in cut]
+        out = [list(map(get, self.cut(t))) for t in texts]
+        missing, known.pending = known.pending, []
+        self.encode(missing)
         for k in missing:
             if len(k) > self.LONG:
                 del known[k]
         if len(known) > self.KEPT:
-            self.known, self.older = {}, known
+            known.older = {}
+            self.known = _Table(known)
         return out
+
+
+def latin(text: str) -> bool:
+    """Whether all characters are below 256."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrelq.llm.common import Segments, arrow_map, body, pieces, quoted, written
+from kestrelq.llm.common import Segments, arrow_map, pieces, quoted, written
 
 #: Columns of a piece beside its document id.
 PIECE_SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -34,7 +34,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, window: int = 2048, id_col
     full, so padding is less than one window in all. A null or empty text is the end id alone. Repeated
     rows and null ids are documents of their own. Other columns are not read. An empty table has no piece.
     """
-    rows = docs.select(quoted(id_col).alias("id"), body(text_col).alias("text"))
+    rows = docs.select(quoted(id_col).alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
 
     def tokenize(batches):
@@ -45,7 +45,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, window: int = 2048, id_col
         for batch in batches:
             for b in pieces(batch, "text"):
                 part = b["part"]
-                out = [b"".join(v) + end for v in segments.of([x.decode() for x in b["text"].to_pylist()])]
+                out = [b"".join(v) + end for v in segments.of(b["text"].to_pylist())]
                 n = np.fromiter(map(len, out), np.int64, len(out)) // 4
                 first = at + np.cumsum(n) - n
                 at += int(n.sum())
