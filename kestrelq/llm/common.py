@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import tempfile
@@ -114,7 +115,7 @@ class Segments:
     """
 
     #: Segments in a generation at most. Longer ones are encoded anew each time.
-    KEPT, LONG = 150_000, 64
+    KEPT, LONG = 250_000, 64
     #: Characters in one call of the library at most, beside the text that passes it; words joined into one text.
     CALL_CHARS, JOINED = 1 << 20, 500
     #: Control characters that str.split takes for white space and the vocabularies do not.
@@ -215,9 +216,15 @@ class Segments:
         """For every text, the values of its segments in order."""
         known = self.known
         get = known.__getitem__
-        out = [list(map(get, self.cut(t))) for t in texts]
-        missing, known.pending = known.pending, []
-        self.encode(missing)
+        collecting = gc.isenabled()
+        gc.disable()  # many lists and no cycles
+        try:
+            out = [list(map(get, self.cut(t))) for t in texts]
+            missing, known.pending = known.pending, []
+            self.encode(missing)
+        finally:
+            if collecting:
+                gc.enable()
         for k in missing:
             if len(k) > self.LONG:
                 del known[k]
