@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrelq.llm.common import LOWER, arrow_map, body, quoted
+from kestrelq.llm.common import LOWER, arrow_map, body, quoted, written
 
 #: Fixed patterns of the base kinds, in the order in which kinds sort at equal starts.
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I)
@@ -97,24 +97,26 @@ def identifier_samples(n: int = 4000, seed: int = 12) -> list[bytes]:
 
 
 def ordinary_samples(docs: DataFrame, text_col: str, n: int = WORD_SAMPLES) -> list[bytes]:
-    """``n`` distinct corpus words of 5 to 64 token characters without a base span, those of the smallest hashes."""
+    """About ``n`` distinct corpus words of 5 to 64 token characters without a base span, those of the
+    smallest hashes. One in 16 is a candidate; the limit that leaves ``n`` follows from their number."""
 
     def run(b: pa.RecordBatch):
         import xxhash
 
         best: dict[bytes, int] = {}
         for text in b["text"].to_pylist():
-            plain = text.translate(bytes(c if chr(c) in TOKEN_CHARS else 32 for c in range(256)))
-            for w in {w for w in plain.split() if 5 <= len(w) <= 64}:
-                if w not in best and (h := xxhash.xxh64_intdigest(w)) < limit:
+            for w in set(text.translate(keep).split()):
+                if 5 <= len(w) <= 64 and w not in best and (h := xxhash.xxh64_intdigest(w)) < limit:
                     best[w] = h
         kept = [w for w in best if not base_spans(w) and sum(48 <= c <= 57 for c in w) * 4 <= len(w)]
-        yield pa.RecordBatch.from_arrays([pa.array(kept, pa.binary())], ["w"])
+        yield pa.RecordBatch.from_arrays([pa.array(kept, pa.binary()), pa.array([best[w] for w in kept], pa.int64())], ["w", "h"])
 
+    keep = bytes(c if chr(c) in TOKEN_CHARS else 32 for c in range(256))
+    limit = 1 << 60
     rows = docs.select(body(text_col).alias("text"))
-    limit = 1 << 60  # one distinct word in 16
-    found = rows.mapInArrow(arrow_map(run, "text"), "w binary").distinct().orderBy(F.xxhash64("w"), "w").limit(n).collect()
-    return [bytes(r["w"]) for r in found]
+    found = written(rows.mapInArrow(arrow_map(run, "text"), "w binary, h long").distinct(), "secret-words")
+    share = min(1.0, n / max(1, found.count()))
+    return sorted(bytes(r["w"]) for r in found.where(F.col("h") < int(limit * share)).collect())
 
 
 class Scanner:
