@@ -337,6 +337,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rid, fp, n_sh, sig, bands, words = own
     base = rows.select(quoted(rid).alias("rid"), quoted(fp).alias("fp"), quoted(id_col).alias("id"))
     multiple = base.where("fp IS NOT NULL").groupBy("fp").agg(F.min("rid").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
+    multiple = written(multiple, "ngram-copies")  # so that the join can split a large group of copies
     members = written(base.join(multiple, "fp", "left").select("rid", "id", F.coalesce("rep", "rid").alias("rep"), F.coalesce("copies", F.lit(1)).alias("copies")), "ngram-members")
     reps = members.where("rid = rep").select("rid", "copies")
 
