@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from kestrelq.plans import relational
+from kestrelq.plans import relational, scalar, temporal
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for _module in (relational,):
+for _module in (relational, scalar, temporal):
     QUERIES |= _module.QUERIES
     ORACLE |= _module.ORACLE
