@@ -3,7 +3,7 @@
 1. Texts with equal words become one representative with a number of copies.
 2. Every representative gets HASHES MinHash values of its word shingles and BANDS keys of ROWS values each.
    Representatives that share a key are candidates: at similarity 0.8 a pair shares none with probability
-   (1 - 0.8^5)^24 < 1e-4.
+   (1 - 0.8^4)^30 < 2e-7.
 3. The members of a key are dealt into blocks of bounded size, and pairs of blocks into tasks. A task compares
    the values of its pairs a few hashes at a time and drops a pair when the posterior probability of
    reaching the threshold falls below TOLERANCE. A pair belongs to the first key it shares, so it is judged
@@ -26,7 +26,7 @@ from pyspark.sql.types import ArrayType, BinaryType, LongType, StructType
 from kestrelq.llm.common import WORDS, arrow_map, body, free_name, quoted, written
 
 SHINGLE, THRESHOLD = 5, 0.8
-ROWS, BANDS = 5, 24
+ROWS, BANDS = 4, 30
 HASHES = ROWS * BANDS
 #: Hashes compared between two looks at the posterior, and the probability at which a pair is dropped.
 LOOK, TOLERANCE = 20, 1e-6
