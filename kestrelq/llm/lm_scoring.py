@@ -31,9 +31,10 @@ from kestrelq.llm.common import LOWER, arrow_map, body, held_out, quoted, writte
 #: Words with a class of their own, surface classes, words with broadcast counts (of LONG bytes at most).
 WORDS, SURFACES, HEAD, LONG = 391, 120, 65_536, 64
 SYMBOLS = WORDS + SURFACES
-#: Dimensions, noise samples a batch of positions, positions a batch, step, rounds (share of texts, step).
-DIM, NOISE, BATCH = 16, 64, 4096
-ROUNDS = ((8, 0.15), (1, 0.1))
+#: Dimensions, noise samples a batch of positions, positions that a task holds.
+DIM, NOISE, HELD_POSITIONS = 16, 64, 1 << 16
+#: Rounds: one text in so many, step, positions a batch, passes over each task's held positions.
+ROUNDS = ((8, 0.1, 1024, 2), (1, 0.1, 2048, 1))
 #: Longest move of a parameter row in one step, so that no batch can make the training diverge.
 LONGEST = 0.5
 #: Distinct words that a counting worker holds before it passes them on.
@@ -259,23 +260,23 @@ def trained(docs: DataFrame, vocabulary, unigram: np.ndarray, text_col: str) ->
     spark, model = docs.sparkSession, Model.start(unigram)
     rows = docs.select(body(text_col).alias("text"), quoted("__salt").alias("salt"))
     log_noise = np.log(unigram).astype(np.float32)
-    for parts, step in ROUNDS:
+    for parts, step, batch, passes in ROUNDS:
         begin = spark.sparkContext.broadcast(model.flat)
 
-        def run(batches, begin=begin, step=step):
+        def run(batches, begin=begin, step=step, size=batch, passes=passes):
             from pyspark import TaskContext
 
             m, seen = Model(begin.value), 0
             lookup, rng = Lookup(vocabulary.value), np.random.default_rng(TaskContext.get().partitionId())
             cdf = np.cumsum(np.exp(log_noise))
             held: list[np.ndarray] = []
-            size = 0
+            waiting = 0
 
             def learn():
                 nonlocal seen
                 w, a, z = contexts(held)
-                for k in range(0, len(w), BATCH):
-                    s = slice(k, k + BATCH)
+                for k in [*range(0, len(w), size)] * passes:
+                    s = slice(k, k + size)
                     noise = np.minimum(np.searchsorted(cdf, rng.random(NOISE) * cdf[-1]), SYMBOLS - 1)
                     m.train(w[s], a[s], z[s], noise, log_noise, step)
                 seen += len(w)
@@ -285,10 +286,10 @@ def trained(docs: DataFrame, vocabulary, unigram: np.ndarray, text_col: str) ->
                 for t in b["text"].to_pylist():
                     words = tokens_of(t)
                     held.append(lookup.symbols(words, lookup.ranks(words))[0])
-                    size += len(words) + 1
-                    if size > 16 * BATCH:
+                    waiting += len(words) + 1
+                    if waiting > HELD_POSITIONS:
                         learn()
-                        size = 0
+                        waiting = 0
             if held:
                 learn()
             if seen:
