@@ -360,7 +360,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     labels = components(linked.select(F.col("rid").alias("u"), F.col("root").alias("v")))
     counts = linked.groupBy("rid").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
-    out = members.join(counts.withColumnRenamed("rid", "rep"), "rep", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    # one row per linked representative, written so that the join with the members can split a large group
+    info = written(counts.join(labels.withColumnRenamed("node", "rid"), "rid", "left").withColumnRenamed("rid", "rep"), "ngram-linked")
+    out = members.join(info, "rep", "left")
     out = out.withColumn("label", F.coalesce("label", "rep"))
     out = written(out, "ngram-classes")
     order = F.struct(F.col("id").isNull(), F.col("id"), F.col("rid"))
