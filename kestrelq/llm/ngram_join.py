@@ -304,15 +304,16 @@ def verified(threshold: float):
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for all nodes with an edge but the labels themselves; label: the smallest node of the
-    component. edges: columns u, v. Alternating large-star and small-star rounds, each written."""
+    component. edges: columns u, v. Alternating large-star and small-star rounds, each written; so are the
+    nodes' minima, so that the join that gives them back can split a node with very many edges."""
     e = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     state = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "minima")
         e = both.where("v > u").join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         e = written(e, "edges")
-        low = e.groupBy("u").agg(F.min("v").alias("m"))
+        low = written(e.groupBy("u").agg(F.min("v").alias("m")), "minima")
         e = e.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         e = written(e, "edges")
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
