@@ -110,3 +110,22 @@ def test_articles_of_the_test_pages(spark):
         blocks = re.split(r"</?p>|<br>|</?h1>", article[1] if article else "")
         want = [re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]*>", "", b))).strip() for b in blocks]
         assert got[r.page_id] == "\n".join(b for b in want if b)
+
+
+@pytest.mark.parametrize("size", [1, 300, 6_000_000])
+def test_chunks_and_partitions_decide_nothing(spark, monkeypatch, size):
+    """Pages without an article, one hot host: repeats on distant pages are found whatever a chunk holds."""
+    rng = random.Random(8)
+    words = lambda n: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(n))
+    notice, short, rows, want = words(30), words(2), [], {}
+    for k in range(60):
+        own = [words(rng.choice([1, 3, 8, 40])) for _ in range(3)]
+        shared = notice if k in (0, 59) else words(12)
+        texts = [shared, *own, short if k % 20 == 0 else words(3)]
+        rows.append((k, "http://hot.example/x", "".join(f"<div>{t}</div>" for t in texts) + "<nav>menu of this host with many words in it</nav>", None, None))
+        want[k] = "\n".join(t for t in texts if t not in (notice, short))
+    rows.append((99, "http://other.example/", f"<div>{notice}</div>", None, None))
+    want[99] = notice  # another host
+    monkeypatch.setattr(H, "CHUNK_CHARS", size)
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()}
+    assert got == want
