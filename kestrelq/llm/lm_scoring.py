@@ -189,7 +189,7 @@ class Model:
         rng = np.random.default_rng(5)
         m = cls(np.zeros(cls.SIZE))
         m.r[:] = rng.normal(0, 0.3, m.r.shape)
-        m.q[:] = rng.normal(0, 0.3, m.q.shape)
+        m.q[:] = rng.normal(0, 0.03, m.q.shape)  # so that an untrained model is close to the unigram
         m.c1[:], m.c2[:] = np.eye(DIM), 0.5 * np.eye(DIM)
         m.b[:] = np.log(unigram)
         return m
