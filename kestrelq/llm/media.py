@@ -16,10 +16,10 @@ from kestrelq.llm.common import arrow_map, body, quoted
 
 RATE = 8000
 #: Samples a frame, between frame starts, frames a block of the transform.
-FRAME, HOP, BLOCK = 512, 256, 4096
-#: Spectral bands (of bins): the strongest bin of each is a peak if it stands out of its band.
-BANDS = ((1, 8), (8, 16), (16, 32), (32, 64), (64, 128), (128, 257))
-#: A peak pairs with the loudest peaks of the following frames.
+FRAME, HOP, BLOCK = 256, 128, 4096
+#: Spectral bands (of bins), each with one peak, its strongest bin.
+BANDS = ((1, 8), (8, 16), (16, 32), (32, 64), (64, 96), (96, 129))
+#: A frame's loudest peak pairs with its second one (0 frames between) and with those of the following frames.
 REACH = 3
 
 
@@ -44,7 +44,7 @@ def from_wav(media: bytes) -> bytes:
 
 
 def peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per frame: the loudest band's peak bin, and whether it stands out (twice the frame's mean)."""
+    """Per frame: the bins of the loudest and the second loudest band's peak, and whether there is sound."""
     n = max(1, -(-(len(samples) - FRAME) // HOP) + 1)
     x = np.zeros((n - 1) * HOP + FRAME, np.float32)
     x[: len(samples)] = samples.astype(np.float32) - 128
@@ -52,22 +52,24 @@ def peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     bins, loud = [], []
     for a in range(0, n, BLOCK):
         frames = np.lib.stride_tricks.sliding_window_view(x[a * HOP : (min(n, a + BLOCK) - 1) * HOP + FRAME], FRAME)[::HOP]
+        frames = frames - frames.mean(axis=1, keepdims=True)  # the level of a text's bytes is no tone
         power = np.abs(np.fft.rfft(frames * window, axis=1))
         best = np.stack([lo + power[:, lo:hi].argmax(1) for lo, hi in BANDS], 1)
         height = np.take_along_axis(power, best, 1)
-        top = height.argmax(1)
-        bins.append(best[np.arange(len(best)), top])
-        loud.append(height.max(1) >= 2 * power.mean(1))
+        top = np.argsort(-height, axis=1, kind="stable")[:, :2]
+        bins.append(np.take_along_axis(best, top, 1))
+        loud.append(height.max(1) > 1e-3)
     return np.concatenate(bins), np.concatenate(loud)
 
 
 def fingerprint(samples: np.ndarray) -> np.ndarray:
-    """Time-coded pairs of spectral peaks, in order of time: frame << 32 | bin << 20 | later bin << 8 | frames between."""
+    """Time-coded pairs of spectral peaks, in order of time: frame << 32 | bin << 20 | other bin << 8 | frames between."""
     bins, loud = peaks(samples)
     out = []
-    for d in range(1, REACH + 1):
-        at = np.flatnonzero(loud[:-d] & loud[d:])
-        out.append((at << 32) | (bins[at].astype(np.int64) << 20) | (bins[at + d].astype(np.int64) << 8) | d)
+    for d in range(REACH + 1):
+        at = np.flatnonzero(loud[: len(loud) - d] & loud[d:])
+        other = bins[at + d, 0] if d else bins[at, 1]
+        out.append((at << 32) | (bins[at, 0].astype(np.int64) << 20) | (other.astype(np.int64) << 8) | d)
     return np.sort(np.concatenate(out))
 
 
