@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import json
 import os
 import tempfile
 import uuid
@@ -116,8 +115,9 @@ class Segments:
 
     #: Segments in a generation at most. Longer ones are encoded anew each time.
     KEPT, LONG = 250_000, 64
-    #: Characters in one call of the library at most, beside the text that passes it; words joined into one text.
-    CALL_CHARS, JOINED = 1 << 20, 500
+    #: Characters in one call of the library at most, beside the text that passes it; words joined into one
+    #: text, such texts in one call.
+    CALL_CHARS, JOINED, LISTS = 1 << 17, 500, 8
     #: Control characters that str.split takes for white space and the vocabularies do not.
     ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
     #: All other white space but blank and line feed.
@@ -140,7 +140,7 @@ class Segments:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.counts, self.blanks, self.known = Tokenizer.from_file(path), counts, blanks, _Table({})
-        suffix = None if blanks else json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        suffix = None if blanks else self.tokenizer.model.end_of_word_suffix
         self.ends = None
         if suffix:  # ids that end a word
             vocabulary = self.tokenizer.get_vocab()
@@ -189,17 +189,18 @@ class Segments:
             # words of letters only are one pre-token each: many in one text, told apart by their last ids
             words = [k for k in keys if k.isalpha() and latin(k)]
             keys = [k for k in keys if not (k.isalpha() and latin(k))]
-            lists = [words[a : a + self.JOINED] for a in range(0, len(words), self.JOINED)]
-            for some, e in zip(lists, self.tokenizer.encode_batch_fast([" ".join(x) for x in lists], add_special_tokens=False)):
-                ids = np.array(e.ids, "<u4")
-                end = np.flatnonzero(ends[ids]) + 1
-                if len(end) != len(some):
-                    keys += some
-                    continue
-                raw, size = (bytes(len(ids)), 1) if self.counts else (ids.tobytes(), 4)
-                cuts = (size * end).tolist()
-                for w, a, b in zip(some, [0, *cuts], cuts):
-                    known[w][:] = raw[a:b]
+            for at in range(0, len(words), self.JOINED * self.LISTS):  # few at a time: an answer of the library is large
+                lists = [words[a : a + self.JOINED] for a in range(at, min(at + self.JOINED * self.LISTS, len(words)), self.JOINED)]
+                for some, e in zip(lists, self.tokenizer.encode_batch_fast([" ".join(x) for x in lists], add_special_tokens=False)):
+                    ids = np.array(e.ids, "<u4")
+                    end = np.flatnonzero(ends[ids]) + 1
+                    if len(end) != len(some):
+                        keys += some
+                        continue
+                    raw, size = (bytes(len(ids)), 1) if self.counts else (ids.tobytes(), 4)
+                    cuts = (size * end).tolist()
+                    for w, a, b in zip(some, [0, *cuts], cuts):
+                        known[w][:] = raw[a:b]
         call, size = [], 0
         for k in [*keys, None]:
             if call and (k is None or size + len(k) > self.CALL_CHARS):
