@@ -1,18 +1,21 @@
 """LM scoring: a log-bilinear neural model trained with noise-contrastive estimation.
 
-Words are mapped to SYMBOLS classes: the most frequent words are classes of their own, other words fall into
-surface classes (last letters, punctuation, script), inside which a word has its add-one share of the counts.
-The model predicts a position's class from the two before it:
+Every word that occurs often enough (``threshold``; their number grows with the corpus) has a target vector and a
+context vector of its own. The WORDS most frequent ones are classes, the others are members of surface classes
+(last letters, punctuation, script), and so is the rest of each class, inside which a rare word has its
+add-one share of the counts. With x, y the two words before a position,
 
-    s(w | c1, c2) = (C1 r[c1] + C2 r[c2]) . q[w] + b[w],   P = softmax over classes,
+    h = C1 v[x] + C2 v[y],   v[x] = r[class of x] + d[x],   d = 0 for the rare rest,
+    P(class | h) = softmax of h . q[class] + b[class],   P(member | class, h) = softmax of h . t[member] + u[member],
 
-so a token's probability is P(class) * share(word in class), and sums to one over the known words and an
-unknown one in each surface class. Since there are only SYMBOLS^2 contexts, matrix products give the scores of
-all of them and their normalisers once, and scoring a token is three look-ups.
+and a token's probability is P(class) * P(member) * share in the rest, which sums to one over the known words
+and an unknown one in each surface class. Normalisers are exact; those of contexts without an own d are looked
+up, as there are only SYMBOLS^2 of them.
 
 Everything counted is counted over all training texts: words (one shuffle), class totals, and the gradient
-steps: each task trains on all its tokens from common parameters, and results are averaged by tokens. Counts
-of words outside the HEAD most frequent ones never leave the cluster; they are joined.
+steps: each task trains on all its tokens from common parameters. Moves are averaged over the tasks, and those
+of a word too rare to be learnt in each task alone are summed. Counts of words outside the HEAD most frequent
+ones and the own ones never leave the cluster; they are joined.
 """
 
 from __future__ import annotations
@@ -31,6 +34,10 @@ from kestrelq.llm.common import LOWER, arrow_map, body, held_out, quoted, writte
 #: Words with a class of their own, surface classes, words with broadcast counts (of LONG bytes at most).
 WORDS, SURFACES, HEAD, LONG = 391, 120, 65_536, 64
 SYMBOLS = WORDS + SURFACES
+#: An own word's least count, and the same as a share of the square root of the tokens, whichever is more.
+OWN, OWN_SHARE = 20, 0.02
+#: Uses of a word whose moves are summed over tasks; above them, they are averaged.
+SUMMED = 1000
 #: Dimensions, noise samples a batch of positions, positions that a task holds.
 DIM, NOISE, HELD_POSITIONS = 16, 64, 1 << 16
 #: Rounds: one text in so many, step, positions a batch, passes over each task's held positions.
@@ -77,9 +84,16 @@ class Vocabulary:
         self.totals = np.zeros((SURFACES, 2))
         for s, t in totals.items():
             self.totals[s] = t
+        self.others = [w for w, c in head if c >= threshold(n) and w not in self.symbol]
+        self.members = np.bincount([surface(w) for w in self.others], [self.count[w] for w in self.others], SURFACES)
         self.share_base = np.log10(self.totals.sum(1) + 1)  # add-one over the class' words and an unknown one
 
 
+def threshold(n: int) -> float:
+    """Least count of a word with vectors of its own, among ``n`` tokens."""
+    return max(OWN, OWN_SHARE * math.sqrt(n))
+
+
 def tokens_of(text: bytes) -> list[bytes]:
     return text.translate(LOWER).split()
 
@@ -109,8 +123,8 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return rows.mapInArrow(run, "w binary, c long").groupBy("w").agg(F.sum("c").alias("c"))
 
 
-def head_words(counts: DataFrame) -> list[tuple[bytes, int]]:
-    """Words by falling count, HEAD at most: those of the highest counts that together fit. A histogram of
+def head_words(counts: DataFrame, own: float = math.inf) -> list[tuple[bytes, int]]:
+    """Words by falling count, HEAD at most and all that occur ``own`` times: those of the highest counts that together fit. A histogram of
     counts (exact below 1024, then 64 steps to a doubling) finds the limit, so no task sends more than it has
     of these words. Keys have LONG bytes at most."""
     step = F.when(F.col("c") < 1024, F.col("c")).otherwise(F.floor(F.log2("c") * 64) + 384)
@@ -121,15 +135,18 @@ def head_words(counts: DataFrame) -> list[tuple[bytes, int]]:
         if total > HEAD:
             break
         low = r["low"]
-    if low is None:
+    low = own if low is None else min(low, own)
+    if low == math.inf:
         return []
     return sorted(((bytes(r["w"]), r["c"]) for r in counts.where(F.col("c") >= low).collect()), key=lambda x: (-x[1], x[0]))
 
 
-def surface_totals(counts: DataFrame, own: set[bytes]) -> dict[int, tuple[int, int]]:
-    """Tokens and words of each surface class, over the words without a class of their own."""
+def surface_totals(counts: DataFrame, words: set[bytes]) -> dict[int, tuple[int, int]]:
+    """Tokens and words of each surface class, over the words without vectors of their own."""
+    shared = counts.sparkSession.sparkContext.broadcast(words)
 
     def run(batches):
+        own = shared.value
         total = np.zeros((SURFACES, 2), np.int64)
         for b in batches:
             for w, c in zip(b["w"].to_pylist(), b["c"].to_pylist()):
@@ -142,11 +159,19 @@ def surface_totals(counts: DataFrame, own: set[bytes]) -> dict[int, tuple[int, i
 
 
 class Lookup:
-    """Numbers of words: head words by rank; others have none, and get their surface class one by one."""
+    """Numbers of words: head words by rank; others have none, and get their surface class one by one. A class
+    is its own number, BEGIN follows, and then the own words that are no class."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.rank = {w: i for i, w in enumerate(vocabulary.count)}
-        own = vocabulary.symbol
+        own = vocabulary.symbol | {w: BEGIN + 1 + i for i, w in enumerate(vocabulary.others)}
+        self.known = {w: surface(w) for w in vocabulary.others}
+        m = len(vocabulary.others)
+        #: Of every number: its class, and its row in Model.words (members; the rests; no row, which stays zero).
+        self.group = np.array([*range(BEGIN + 1), *(WORDS + self.known[w] for w in vocabulary.others)], np.int64)
+        #: Rows of each surface class: its members and its rest.
+        self.inner = [np.append(np.flatnonzero(self.group[BEGIN + 1 :] == WORDS + s), m + s) for s in range(SURFACES)]
+        self.row = np.concatenate((np.full(WORDS, m + SURFACES), m + np.arange(SURFACES), [m + SURFACES], np.arange(m)))
         self.symbol = np.array([own[w] if w in own else WORDS + surface(w) for w in vocabulary.count], np.int64)
         self.logs = np.log10(np.array(list(vocabulary.count.values()), np.float64) + 1)
         self.end = self.rank.get(END, -1)
@@ -159,7 +184,7 @@ class Lookup:
         return out
 
     def symbols(self, words: list[bytes], ranks: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-        """Classes of the words and the end, and the keys of the words without a rank."""
+        """Numbers of the words and the end, and the keys of the words without a rank."""
         if not len(self.symbol):
             keys = [*map(key_of, words), END]
             return np.array([WORDS + surface(k) for k in keys], np.int64), keys
@@ -172,12 +197,14 @@ class Lookup:
 
 
 class Model:
-    """Parameters r, c1, c2, q, b, flat in one array."""
+    """Parameters r, c1, c2, q, b, flat in one array; words: d, t, u of members, rests and a row of zeros."""
 
     SHAPES = (("r", (SYMBOLS + 1, DIM)), ("c1", (DIM, DIM)), ("c2", (DIM, DIM)), ("q", (SYMBOLS, DIM)), ("b", (SYMBOLS,)))
     SIZE = sum(math.prod(s) for _, s in SHAPES)
 
-    def __init__(self, flat: np.ndarray):
+    def __init__(self, flat: np.ndarray, words: np.ndarray | None = None):
+        self.words = np.zeros((SURFACES + 1, 2 * DIM + 1), np.float32) if words is None else words.copy()
+        self.d, self.t, self.u = self.words[:, :DIM], self.words[:, DIM:-1], self.words[:, -1]
         self.flat, at = flat.astype(np.float32).copy(), 0
         for name, shape in self.SHAPES:
             n = math.prod(shape)
@@ -185,48 +212,72 @@ class Model:
             at += n
 
     @classmethod
-    def start(cls, unigram: np.ndarray) -> Model:
+    def start(cls, unigram: np.ndarray, members: np.ndarray | None = None) -> Model:
         rng = np.random.default_rng(5)
-        m = cls(np.zeros(cls.SIZE))
+        m = cls(np.zeros(cls.SIZE), None if members is None else np.zeros((len(members) + 1, 2 * DIM + 1), np.float32))
         m.r[:] = rng.normal(0, 0.3, m.r.shape)
         m.q[:] = rng.normal(0, 0.03, m.q.shape)  # so that an untrained model is close to the unigram
         m.c1[:], m.c2[:] = np.eye(DIM), 0.5 * np.eye(DIM)
         m.b[:] = np.log(unigram)
+        if members is not None:
+            m.t[:-1] = rng.normal(0, 0.03, m.t[:-1].shape)
+            m.u[:-1] = np.log(members)
         return m
 
-    def train(self, w: np.ndarray, a: np.ndarray, z: np.ndarray, noise: np.ndarray, log_noise: np.ndarray, step: float) -> None:
-        """One step on positions with classes w after a, after z; noise: classes drawn by exp(log_noise); all
-        in single precision.
-        NCE: a class is told from NOISE drawn ones by s - log(NOISE * its noise probability)."""
+    def hidden(self, a: np.ndarray, z: np.ndarray, da: np.ndarray, dz: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """h, and the vectors of the contexts, by their classes and rows."""
+        va, vz = self.r[a] + self.d[da], self.r[z] + self.d[dz]
+        return va @ self.c1 + vz @ self.c2, va, vz
+
+    def train(self, w: np.ndarray, a: np.ndarray, z: np.ndarray, da: np.ndarray, dz: np.ndarray, noise: np.ndarray, log_noise: np.ndarray, step: float, uses: np.ndarray | None = None) -> None:
+        """One step on positions with targets w after contexts of classes a, z and rows da, dz; noise: targets
+        drawn by exp(log_noise); all in single precision. Targets are classes, or with ``uses``, their shares
+        of the positions, rows of members.
+        NCE: a target is told from NOISE drawn ones by s - log(NOISE * its noise probability)."""
         n, k = len(w), len(noise)
-        ra, rz = self.r[a], self.r[z]
-        h = ra @ self.c1 + rz @ self.c2
-        bias = self.b - log_noise - np.float32(math.log(k))
-        qw, qn = self.q[w], self.q[noise]
-        pos = np.clip(np.einsum("nd,nd->n", h, qw) + bias[w], -30, 30)
+        q, b = (self.q, self.b) if uses is None else (self.t, self.u)
+        h, va, vz = self.hidden(a, z, da, dz)
+        rows, at = np.unique(np.concatenate((w, noise)), return_inverse=True)
+        qr = q[rows]
+        bias = b[rows] - log_noise[rows] - np.float32(math.log(k))
+        qw, qn = qr[at[:n]], qr[at[n:]]
+        pos = np.clip(np.einsum("nd,nd->n", h, qw) + bias[at[:n]], -30, 30)
         gp = 1 / (1 + np.exp(pos))
         neg = h @ qn.T
-        neg += bias[noise]
+        neg += bias[at[n:]]
         np.clip(neg, -30, 30, out=neg)
         np.negative(neg, out=neg)
         np.exp(neg, out=neg)
         neg += 1
         np.reciprocal(neg, out=neg)
         gh = gp[:, None] * qw - neg @ qn
-        one, gr = np.zeros((SYMBOLS + 1, DIM + 1), np.float32), np.zeros_like(self.r)
-        summed(one, w, np.concatenate((gp[:, None] * h, gp[:, None]), 1))
-        np.add.at(one, noise, np.concatenate((-(neg.T @ h), -neg.sum(0)[:, None]), 1))
-        summed(gr, a, gh @ self.c1.T)
-        summed(gr, z, gh @ self.c2.T)
-        # rows are scaled by how often they occur, so that rare classes move too
-        used = np.bincount(w, minlength=SYMBOLS + 1) + n * np.exp(np.append(log_noise, np.float32(-30)))
+        one, gr = np.zeros((len(rows), DIM + 1), np.float32), np.zeros_like(self.r)
+        summed(one, at[:n], np.concatenate((gp[:, None] * h, gp[:, None]), 1))
+        np.add.at(one, at[n:], np.concatenate((-(neg.T @ h), -neg.sum(0)[:, None]), 1))
+        ga, gz = gh @ self.c1.T, gh @ self.c2.T
+        summed(gr, a, ga)
+        summed(gr, z, gz)
+        # rows are scaled by how often they occur, so that rare classes move too; for members, by how often they
+        # are expected, as a scale that follows the draw would weigh their rare draws as noise too high
+        used = (np.bincount(at[:n], minlength=len(rows)) if uses is None else n * uses[rows]) + n * np.exp(log_noise[rows])
         context = np.bincount(a, minlength=SYMBOLS + 1) + np.bincount(z, minlength=SYMBOLS + 1)
         for grad, counts in ((gr, context), (one, used)):
             grad *= (step / np.sqrt(counts * (n / 16) + 1)).astype(np.float32)[:, None]
-        for own, move in ((self.r, gr), (self.q, one[:SYMBOLS, :DIM]), (self.c1, ra.T @ gh * np.float32(step / n)), (self.c2, rz.T @ gh * np.float32(step / n))):
-            long = np.sqrt((move * move).sum(1, keepdims=True))
-            own += move * np.minimum(1, LONGEST / np.maximum(long, 1e-12))
-        self.b += np.clip(one[:SYMBOLS, DIM], -LONGEST, LONGEST)
+        members = len(self.d) - 1 - SURFACES
+        if members:
+            both = np.concatenate((da, dz))
+            here = np.flatnonzero(both < members)
+            own, own_at = np.unique(both[here], return_inverse=True)
+            if len(own):
+                gd = np.zeros((len(own), DIM), np.float32)
+                summed(gd, own_at, np.concatenate((ga, gz))[here])
+                gd *= (step / np.sqrt(np.bincount(own_at) * (n / 256) + 1)).astype(np.float32)[:, None]
+                self.d[own] += bounded(gd)
+        self.r += bounded(gr)
+        q[rows] += bounded(one[:, :DIM])
+        self.c1 += bounded(va.T @ gh * np.float32(step / n))
+        self.c2 += bounded(vz.T @ gh * np.float32(step / n))
+        b[rows] += np.clip(one[:, DIM], -LONGEST, LONGEST)
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Scores by the first and by the second context (bias in the first), and log normalisers of all
@@ -238,6 +289,24 @@ class Model:
         return a, z, norm
 
 
+def bounded(move: np.ndarray) -> np.ndarray:
+    """Rows cut to LONGEST."""
+    return move * np.minimum(1, LONGEST / np.maximum(np.sqrt((move * move).sum(1, keepdims=True)), 1e-12))
+
+
+def log_sums(h: np.ndarray, q: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """log of the sum of exp(h . q + b) over the rows of q, in blocks of bounded size."""
+    out, size = np.empty(len(h), np.float32), max(1, (1 << 20) // len(q))
+    for k in range(0, len(h), size):
+        s = h[k : k + size] @ q.T
+        s += b
+        top = s.max(1)
+        s -= top[:, None]
+        np.exp(s, out=s)
+        out[k : k + size] = np.log(s.sum(1)) + top
+    return out
+
+
 def summed(out: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
     """out[at] += rows with repeats, by sorted segments."""
     order = np.argsort(at.astype(np.int16), kind="stable")
@@ -247,7 +316,7 @@ def summed(out: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
 
 
 def contexts(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(class, class before, class before that) of all positions of several texts."""
+    """(number, number before, number before that) of all positions of several texts."""
     pad = np.array([BEGIN, BEGIN])
     flat = np.concatenate([x for t in ids for x in (pad, t)])
     at = np.flatnonzero(flat != BEGIN)
@@ -255,30 +324,46 @@ def contexts(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def trained(docs: DataFrame, vocabulary, unigram: np.ndarray, text_col: str) -> Model:
-    """Rounds of local training and averaging. Every task returns its parameters, weighted by its tokens,
-    as rows by place, so the sums are made on the cluster; Model.SIZE of them reach the driver."""
-    spark, model = docs.sparkSession, Model.start(unigram)
+    """Rounds of local training. Every task returns the rows of its parameters that moved, and their sums are
+    made on the cluster: those of classes weighted by the task's tokens. One sum of each row reaches the driver."""
+    spark, voc, width = docs.sparkSession, vocabulary.value, 2 * DIM + 1
+    members = np.concatenate(([voc.count[w] for w in voc.others], voc.totals[:, 0])) + 0.5
+    uses = members / members.sum()
+    model = Model.start(unigram, uses)
     rows = docs.select(body(text_col).alias("text"), quoted("__salt").alias("salt"))
     log_noise = np.log(unigram).astype(np.float32)
+    # half of the members' noise is even, so that a rare one is no rarer as noise than as a target
+    log_even = np.log(0.5 * uses + 0.5 / len(uses)).astype(np.float32)
+    noises = spark.sparkContext.broadcast((log_noise, log_even, uses))
+    dense = -(-Model.SIZE // width)
+    columns = [f"x{k}" for k in range(width)]
     for parts, step, batch, passes in ROUNDS:
-        begin = spark.sparkContext.broadcast(model.flat)
+        begin = spark.sparkContext.broadcast((model.flat, model.words))
 
         def run(batches, begin=begin, step=step, size=batch, passes=passes):
             from pyspark import TaskContext
 
-            m, seen = Model(begin.value), 0
+            m, seen = Model(*begin.value), 0
+            log_noise, log_even, uses = noises.value
             lookup, rng = Lookup(vocabulary.value), np.random.default_rng(TaskContext.get().partitionId())
-            cdf = np.cumsum(np.exp(log_noise))
+            cdf, even = np.cumsum(np.exp(log_noise)), np.cumsum(np.exp(log_even))
             held: list[np.ndarray] = []
             waiting = 0
 
+            def drawn(cdf):
+                return np.minimum(np.searchsorted(cdf, rng.random(NOISE) * cdf[-1]), len(cdf) - 1)
+
             def learn():
                 nonlocal seen
-                w, a, z = contexts(held)
+                numbers = contexts(held)
+                (w, a, z), (dw, da, dz) = (tuple(x[i] for i in numbers) for x in (lookup.group, lookup.row))
                 for k in [*range(0, len(w), size)] * passes:
                     s = slice(k, k + size)
-                    noise = np.minimum(np.searchsorted(cdf, rng.random(NOISE) * cdf[-1]), SYMBOLS - 1)
-                    m.train(w[s], a[s], z[s], noise, log_noise, step)
+                    m.train(w[s], a[s], z[s], da[s], dz[s], drawn(cdf), log_noise, step)
+                    if lookup.known:
+                        i = k + np.flatnonzero(w[s] >= WORDS)
+                        if len(i):
+                            m.train(dw[i], a[i], z[i], da[i], dz[i], drawn(even), log_even, step, uses)
                 seen += len(w)
                 held.clear()
 
@@ -293,18 +378,49 @@ def trained(docs: DataFrame, vocabulary, unigram: np.ndarray, text_col: str) ->
             if held:
                 learn()
             if seen:
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(Model.SIZE)), pa.array(m.flat.astype(np.float64) * seen), pa.array(np.full(Model.SIZE, float(seen)))], ["i", "x", "n"])
+                flat, own = begin.value
+                moved = np.zeros(dense * width)
+                moved[: Model.SIZE] = (m.flat.astype(np.float64) - flat) * seen
+                at = np.flatnonzero((m.words != own).any(1))
+                x = np.concatenate((moved.reshape(dense, width), m.words[at] - own[at])).astype(np.float32)
+                at, n = np.concatenate((np.arange(-dense, 0), at)), np.concatenate((np.full(dense, float(seen)), np.ones(len(at))))
+                for k in range(0, len(at), 8192):
+                    p = slice(k, k + 8192)
+                    yield pa.RecordBatch.from_arrays([pa.array(at[p]), *(pa.array(c) for c in np.ascontiguousarray(x[p].T)), pa.array(n[p])], ["i", *columns, "n"])
 
         part = rows.where(F.pmod("salt", F.lit(parts)) == 0) if parts > 1 else rows
-        got = part.mapInArrow(run, "i long, x double, n double").groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x")).collect()
-        if got:
-            flat = np.zeros(Model.SIZE)
-            for i, x in got:
-                flat[i] = x
-            model = Model(flat)
+        moves = part.mapInArrow(run, f"i long, {', '.join(f'{c} float' for c in columns)}, n double")
+        got = moves.groupBy("i").agg(*(F.sum(c).cast("float").alias(c) for c in columns), F.sum("n").alias("n"), F.count("*").alias("tasks")).toArrow()
+        if len(got):
+            at, n = np.asarray(got["i"]), np.asarray(got["n"])
+            x = np.stack([np.asarray(got[c]) for c in columns], 1)
+            flat, own = np.zeros((dense, width)), at >= 0
+            flat[at[~own] + dense] = x[~own] / n[~own, None]
+            tasks = int(np.asarray(got["tasks"])[~own].max())
+            words = model.words.copy()
+            words[at[own]] += x[own] / np.clip(members[at[own]] / SUMMED, 1, tasks).astype(np.float32)[:, None]
+            model = Model(model.flat + flat.ravel()[: Model.SIZE], words)
     return model
 
 
+def log_probabilities(m: Model, norm: np.ndarray, lookup: Lookup, numbers: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Natural logarithms, at every position, of P(class) * P(member); numbers as from ``contexts``, norm as
+    from ``Model.tables``."""
+    (w, a, z), (dw, da, dz) = (tuple(x[i] for i in numbers) for x in (lookup.group, lookup.row))
+    h = m.hidden(a, z, da, dz)[0]
+    out = (np.einsum("nd,nd->n", h, m.q[w]) + m.b[w]).astype(np.float64)
+    own = (numbers[1] > BEGIN) | (numbers[2] > BEGIN)
+    out[~own] -= norm[a[~own], z[~own]]
+    out[own] -= log_sums(h[own], m.q, m.b)
+    order = np.argsort(w.astype(np.int16), kind="stable")
+    ends = np.searchsorted(w[order], np.arange(WORDS, SYMBOLS + 1))
+    for s, among in enumerate(lookup.inner):
+        at = order[ends[s] : ends[s + 1]]
+        if len(at) and len(among) > 1:
+            out[at] += np.einsum("nd,nd->n", h[at], m.t[dw[at]]) + m.u[dw[at]] - log_sums(h[at], m.t[among], m.u[among])
+    return out
+
+
 def score(docs: DataFrame, held: F.Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score per row of ``docs``; rows where
     ``held`` is false are learnt from.
@@ -318,26 +434,27 @@ def score(docs: DataFrame, held: F.Column, id_col: str = "doc_id", text_col: str
     learn = rows.where(~F.col("held"))
     counts = written(word_counts(learn, "text"), "lm-counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    head = head_words(counts)
-    own = Vocabulary(head, {}, n, v).symbol
-    vocabulary = Vocabulary(head, surface_totals(counts, set(own)), n, v)
-    unigram = np.concatenate(([vocabulary.count[w] for w in vocabulary.words], np.zeros(WORDS - len(own)), vocabulary.totals[:, 0])) + 0.5
+    head = head_words(counts, threshold(n))
+    plain = Vocabulary(head, {}, n, v)
+    own = plain.symbol
+    vocabulary = Vocabulary(head, surface_totals(counts, {*own, *plain.others}), n, v)
+    unigram = np.concatenate(([vocabulary.count[w] for w in vocabulary.words], np.zeros(WORDS - len(own)), vocabulary.totals[:, 0] + vocabulary.members)) + 0.5
     shared = spark.sparkContext.broadcast(vocabulary)
     model = trained(learn, shared, unigram / unigram.sum(), "text")
-    tables = spark.sparkContext.broadcast(tuple(x.astype(np.float32) for x in model.tables()))
+    tables = spark.sparkContext.broadcast((model.flat, model.words, model.tables()[2].astype(np.float32)))
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches):
         from pyspark import TaskContext
 
         voc = shared.value
-        before, second, norm = tables.value
-        lookup = Lookup(voc)
+        flat, own_words, norm = tables.value
+        m, lookup = Model(flat, own_words), Lookup(voc)
         row = TaskContext.get().partitionId() << 36
         log_v = math.log10(voc.n + voc.v + 1)
         logs = np.append(lookup.logs, 0.0)  # -1: no rank
-        own_logs = np.zeros(SYMBOLS)
-        for x, k in voc.symbol.items():
+        own_logs = np.zeros(len(lookup.group))
+        for x, k in [*voc.symbol.items(), *zip(voc.others, range(BEGIN + 1, len(own_logs)))]:
             own_logs[k] = logs[lookup.rank[x]]
 
         def part(b: pa.RecordBatch):
@@ -353,12 +470,12 @@ def score(docs: DataFrame, held: F.Column, id_col: str = "doc_id", text_col: str
                 ids.append(s)
                 lengths.append(len(s))
             w, a, z = contexts(ids)
-            lm = (before[a, w].astype(np.float64) + second[z, w] - norm[a, z]) / math.log(10)
-            # share of a word in its surface class, but for log10(count + 1); own classes have just one word
-            inside = np.where(w >= WORDS, voc.share_base[np.maximum(w - WORDS, 0)], 0.0)
+            lm = log_probabilities(m, norm, lookup, (w, a, z)) / math.log(10)
+            # share of a word in the rest of its surface class, but for log10(count + 1); own words have none
+            inside = np.where((w >= WORDS) & (w < BEGIN), voc.share_base[np.clip(w - WORDS, 0, SURFACES - 1)], 0.0)
             starts = np.cumsum([0, *lengths[:-1]])
             lm = np.add.reduceat(lm - inside, starts)
-            # log10(count + 1) of head words: all of them in the base, those of surface classes in the score
+            # log10(count + 1) of head words: all of them in the base, those of the rare rest in the score
             own_part = np.add.reduceat(own_logs[w], starts)
             base = np.array(base)
             yield pa.RecordBatch.from_arrays(

@@ -72,6 +72,31 @@ def test_model_beats_base_on_held_out_texts(make):
     assert sum(r.score - r.base_score for r in got) / n > 0.1
 
 
+def test_own_words_have_context(make):
+    """1200 words of two languages in one surface class: context tells which for every word, not for the most
+    frequent ones only."""
+    rng = random.Random(6)
+    langs = [[f"{p}{k}ing" for k in range(600)] for p in ("aa", "bb")]
+    texts = [" ".join(rng.choices(langs[i % 2], k=400)) for i in range(1200)]
+    got = [r for r in L.score_fold(make(texts).coalesce(1)).collect() if r.held_out]
+    n = sum(r.n_tokens for r in got)
+    gain = sum(r.score - r.base_score for r in got) / n
+    assert gain > 0.1  # log10(2) = 0.301 at best
+
+
+def test_probabilities_of_own_words_sum_to_one():
+    head = [(f"w{k}{'abc'[k % 3]}".encode(), 1000 - k) for k in range(700)]
+    voc = L.Vocabulary(head, {}, 400_000, 700)
+    look, rng = L.Lookup(voc), np.random.default_rng(3)
+    assert len(voc.others) == 700 - L.WORDS
+    m = L.Model.start(np.full(L.SYMBOLS, 1 / L.SYMBOLS), np.ones(len(voc.others) + L.SURFACES))
+    m.words[: len(voc.others)] += rng.normal(0, 0.3, (len(voc.others), 2 * L.DIM + 1))
+    norm, w = m.tables()[2], np.array([x for x in range(len(look.group)) if x != L.BEGIN])
+    for x, y in ((3, 5), (L.BEGIN, L.BEGIN), (L.BEGIN + 9, 7), (L.WORDS + 2, L.BEGIN + 40), (L.BEGIN + 1, L.BEGIN + 2)):
+        got = L.log_probabilities(m, norm, look, (w, np.full(len(w), x), np.full(len(w), y)))
+        assert np.exp(got).sum() == pytest.approx(1, abs=1e-4)
+
+
 def labelled(seed, n, bad=("nastyfoo", "vilebar", "awfulbaz", "nastyqux")):
     rng = random.Random(seed)
     words = [f"{a}{b}" for a in ("ba", "ce", "di", "fo", "gu", "la") for b in ("ran", "tel", "min", "sor", "pul", "k")]
