@@ -69,6 +69,15 @@ def test_repeated_blocks_of_pages_without_article():
     assert H.main_texts([H.blocks(p) for p in pages]) == [f"Unique story number {k} about topic {k * 7} and some more words" for k in range(4)]
 
 
+def test_text_beside_a_teaser_article_is_judged(spark):
+    shell = "<body><div>Cookies are used on this site for all of you</div><article>Teaser {0}</article><div>Unique story number {0} about topic x{0} and some more words</div></body>"
+    pages = [shell.format(k) for k in range(4)]
+    want = [f"Teaser {k}\nUnique story number {k} about topic x{k} and some more words" for k in range(4)]
+    rows = [(k, "http://host.example/x", p, None, None) for k, p in enumerate(pages)]
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, SCHEMA).repartition(2)).collect()}
+    assert got == dict(enumerate(want)) and H.main_texts([H.blocks(p) for p in pages]) == want
+
+
 def test_repeated_marks_equal_brute_force():
     import numpy as np
 
