@@ -69,6 +69,14 @@ def test_repeated_blocks_of_pages_without_article():
     assert H.main_texts([H.blocks(p) for p in pages]) == [f"Unique story number {k} about topic {k * 7} and some more words" for k in range(4)]
 
 
+def test_marks_are_whole_attributes():
+    for plain in (' style="overflow:hidden"', ' title="hidden gems"', ' data-id="share"', ' data-class=ad', " alt='a class=\"ad\" b'", ' href=/hidden', ' title="x > id=ad"'):
+        assert not H.unwanted("div", plain), plain
+        assert H.main_texts([H.blocks(f"<article><div{plain}>Text</div></article>")]) == ["Text"], plain
+    for marked in (" hidden", ' HIDDEN=""', ' class="x ad-box"', " id=share", ' style="a:b" class = \'ad\'', ' aria-hidden="true"', ' role=banner', ' title="a"class="ad"'):
+        assert H.unwanted("div", marked), marked
+
+
 def test_text_beside_a_teaser_article_is_judged(spark):
     shell = "<body><div>Cookies are used on this site for all of you</div><article>Teaser {0}</article><div>Unique story number {0} about topic x{0} and some more words</div></body>"
     pages = [shell.format(k) for k in range(4)]
