@@ -12,38 +12,44 @@ and a token's probability is P(class) * P(member) * share in the rest, which sum
 and an unknown one in each surface class. Normalisers are exact; those of contexts without an own d are looked
 up, as there are only SYMBOLS^2 of them.
 
-Everything counted is counted over all training texts: words (one shuffle), class totals, and the gradient
-steps: each task trains on all its tokens from common parameters. Moves are averaged over the tasks, and those
-of a word too rare to be learnt in each task alone are summed. Counts of words outside the HEAD most frequent
-ones and the own ones never leave the cluster; they are joined.
+Training is synchronous: in each of ROUNDS rounds all tasks add up the gradient of one slice of the texts (by a
+hash of the row) at common parameters, the cluster sums them, and the driver makes one step. All training texts
+are learnt from, once. A sum does not depend on how rows lie in partitions, so neither does the model, but for the
+noise samples and rounding. Counts of words outside the HEAD most frequent ones and the own ones never leave the
+cluster; they are joined.
 """
 
 from __future__ import annotations
 
 import itertools
 import math
+import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructType
 
-from kestrelq.llm.common import LOWER, arrow_map, body, held_out, quoted, written
+from kestrelq.llm.common import LOWER, arrow_map, body, held_out, pieces, quoted, written
 
 #: Words with a class of their own, surface classes, words with broadcast counts (of LONG bytes at most).
 WORDS, SURFACES, HEAD, LONG = 391, 120, 65_536, 64
 SYMBOLS = WORDS + SURFACES
 #: An own word's least count, and the same as a share of the square root of the tokens, whichever is more.
 OWN, OWN_SHARE = 20, 0.02
-#: Uses of a word whose moves are summed over tasks; above them, they are averaged.
-SUMMED = 1000
-#: Dimensions, noise samples a batch of positions, positions that a task holds.
-DIM, NOISE, HELD_POSITIONS = 16, 64, 1 << 16
-#: Rounds: one text in so many, step, positions a batch, passes over each task's held positions.
-ROUNDS = ((8, 0.1, 1024, 2), (1, 0.1, 2048, 1))
-#: Longest move of a parameter row in one step, so that no batch can make the training diverge.
-LONGEST = 0.5
+#: Dimensions, noise samples a batch of positions, positions a batch.
+DIM, NOISE, BATCH = 16, 64, 2048
+#: Synchronous rounds, longest step of a parameter, rounds over which the step grows to it (it falls as a cosine
+#: later), memory of the gradient's mean and of its square, size of a summed gradient that counts as evidence.
+ROUNDS, STEP, WARM, MEAN, SQUARE, EVIDENCE = 24, 0.3, 5, 0.5, 0.8, 10.0
+#: Share of the step for C1 and C2, on which every position pulls; longest move of a row in a round.
+SHARED, LONGEST = 0.1, 0.5
+#: Tokens of a training task for each row of parameters that it may return, so that sums stay small beside texts.
+TOKENS_A_ROW = 16
+#: Positions whose scores are computed at once.
+BLOCK = 1 << 16
 #: Distinct words that a counting worker holds before it passes them on.
 HELD = 150_000
 
@@ -95,7 +101,11 @@ def threshold(n: int) -> float:
 
 
 def tokens_of(text: bytes) -> list[bytes]:
-    return text.translate(LOWER).split()
+    """Keys of the words in order: the words, or for very long ones their digests."""
+    words = text.translate(LOWER).split()
+    if max(map(len, words), default=0) > LONG:
+        words = list(map(key_of, words))
+    return words
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -105,8 +115,7 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         held: Counter = Counter()
 
         def flush():
-            keys = [key_of(w) for w in held]
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(held.values(), pa.int64())], ["w", "c"])
+            return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], ["w", "c"])
 
         for b in batches:
             texts = b["text"].to_pylist()
@@ -167,7 +176,9 @@ class Lookup:
         own = vocabulary.symbol | {w: BEGIN + 1 + i for i, w in enumerate(vocabulary.others)}
         self.known = {w: surface(w) for w in vocabulary.others}
         m = len(vocabulary.others)
-        #: Of every number: its class, and its row in Model.words (members; the rests; no row, which stays zero).
+        #: Type of a stored number.
+        self.kind = np.dtype("<u2" if m + BEGIN + 1 < 1 << 16 else "<u4")
+        #: Of every number: its class, and its row among the members and the rests (the one behind them: none).
         self.group = np.array([*range(BEGIN + 1), *(WORDS + self.known[w] for w in vocabulary.others)], np.int64)
         #: Rows of each surface class: its members and its rest.
         self.inner = [np.append(np.flatnonzero(self.group[BEGIN + 1 :] == WORDS + s), m + s) for s in range(SURFACES)]
@@ -186,99 +197,53 @@ class Lookup:
     def symbols(self, words: list[bytes], ranks: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
         """Numbers of the words and the end, and the keys of the words without a rank."""
         if not len(self.symbol):
-            keys = [*map(key_of, words), END]
+            keys = [*words, END]
             return np.array([WORDS + surface(k) for k in keys], np.int64), keys
         out = self.symbol[ranks]
         rest = np.flatnonzero(ranks < 0).tolist()
-        keys = [key_of(words[k]) if k < len(words) else END for k in rest]
+        keys = [words[k] if k < len(words) else END for k in rest]
         if rest:
             out[rest] = [WORDS + surface(k) for k in keys]
         return out, keys
 
 
 class Model:
-    """Parameters r, c1, c2, q, b, flat in one array; words: d, t, u of members, rests and a row of zeros."""
+    """Parameters as views of one array ``p`` with a row per vector and its bias in the last column: r, q and b,
+    c1, c2, then d and t and u of the m own words that are no class (and t, u of the rests)."""
 
-    SHAPES = (("r", (SYMBOLS + 1, DIM)), ("c1", (DIM, DIM)), ("c2", (DIM, DIM)), ("q", (SYMBOLS, DIM)), ("b", (SYMBOLS,)))
-    SIZE = sum(math.prod(s) for _, s in SHAPES)
+    def __init__(self, p: np.ndarray, m: int):
+        self.p, self.m = p, m
+        ends = np.cumsum([0, SYMBOLS + 1, SYMBOLS, DIM, DIM, m, m + SURFACES])
+        self.at = dict(zip(("r", "q", "c1", "c2", "d", "t"), map(slice, ends, ends[1:])))
+        self.r, self.q, self.c1, self.c2, self.d, self.t = (p[s, :DIM] for s in self.at.values())
+        self.b, self.u = p[self.at["q"], DIM], p[self.at["t"], DIM]
 
-    def __init__(self, flat: np.ndarray, words: np.ndarray | None = None):
-        self.words = np.zeros((SURFACES + 1, 2 * DIM + 1), np.float32) if words is None else words.copy()
-        self.d, self.t, self.u = self.words[:, :DIM], self.words[:, DIM:-1], self.words[:, -1]
-        self.flat, at = flat.astype(np.float32).copy(), 0
-        for name, shape in self.SHAPES:
-            n = math.prod(shape)
-            setattr(self, name, self.flat[at : at + n].reshape(shape))
-            at += n
+    @staticmethod
+    def rows(m: int) -> int:
+        return 2 * SYMBOLS + 1 + 2 * DIM + 2 * m + SURFACES
 
     @classmethod
     def start(cls, unigram: np.ndarray, members: np.ndarray | None = None) -> Model:
-        rng = np.random.default_rng(5)
-        m = cls(np.zeros(cls.SIZE), None if members is None else np.zeros((len(members) + 1, 2 * DIM + 1), np.float32))
-        m.r[:] = rng.normal(0, 0.3, m.r.shape)
-        m.q[:] = rng.normal(0, 0.03, m.q.shape)  # so that an untrained model is close to the unigram
-        m.c1[:], m.c2[:] = np.eye(DIM), 0.5 * np.eye(DIM)
-        m.b[:] = np.log(unigram)
+        """Close to the unigram, and to the members' shares (even ones without ``members``)."""
+        m = 0 if members is None else len(members) - SURFACES
+        rng, out = np.random.default_rng(5), cls(np.zeros((cls.rows(m), DIM + 1), np.float32), m)
+        out.r[:] = rng.normal(0, 0.3, out.r.shape)
+        out.q[:] = rng.normal(0, 0.03, out.q.shape)
+        out.c1[:], out.c2[:] = np.eye(DIM), 0.5 * np.eye(DIM)
+        out.b[:] = np.log(unigram)
         if members is not None:
-            m.t[:-1] = rng.normal(0, 0.03, m.t[:-1].shape)
-            m.u[:-1] = np.log(members)
-        return m
+            out.t[:] = rng.normal(0, 0.03, out.t.shape)
+            out.u[:] = np.log(members / members.sum())
+        return out
 
     def hidden(self, a: np.ndarray, z: np.ndarray, da: np.ndarray, dz: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """h, and the vectors of the contexts, by their classes and rows."""
-        va, vz = self.r[a] + self.d[da], self.r[z] + self.d[dz]
+        """h, and the vectors of the contexts, by their classes and rows (m and more: no vector of their own)."""
+        va, vz = self.r[a], self.r[z]
+        for v, d in ((va, da), (vz, dz)):
+            own = np.flatnonzero(d < self.m)
+            v[own] += self.d[d[own]]
         return va @ self.c1 + vz @ self.c2, va, vz
 
-    def train(self, w: np.ndarray, a: np.ndarray, z: np.ndarray, da: np.ndarray, dz: np.ndarray, noise: np.ndarray, log_noise: np.ndarray, step: float, uses: np.ndarray | None = None) -> None:
-        """One step on positions with targets w after contexts of classes a, z and rows da, dz; noise: targets
-        drawn by exp(log_noise); all in single precision. Targets are classes, or with ``uses``, their shares
-        of the positions, rows of members.
-        NCE: a target is told from NOISE drawn ones by s - log(NOISE * its noise probability)."""
-        n, k = len(w), len(noise)
-        q, b = (self.q, self.b) if uses is None else (self.t, self.u)
-        h, va, vz = self.hidden(a, z, da, dz)
-        rows, at = np.unique(np.concatenate((w, noise)), return_inverse=True)
-        qr = q[rows]
-        bias = b[rows] - log_noise[rows] - np.float32(math.log(k))
-        qw, qn = qr[at[:n]], qr[at[n:]]
-        pos = np.clip(np.einsum("nd,nd->n", h, qw) + bias[at[:n]], -30, 30)
-        gp = 1 / (1 + np.exp(pos))
-        neg = h @ qn.T
-        neg += bias[at[n:]]
-        np.clip(neg, -30, 30, out=neg)
-        np.negative(neg, out=neg)
-        np.exp(neg, out=neg)
-        neg += 1
-        np.reciprocal(neg, out=neg)
-        gh = gp[:, None] * qw - neg @ qn
-        one, gr = np.zeros((len(rows), DIM + 1), np.float32), np.zeros_like(self.r)
-        summed(one, at[:n], np.concatenate((gp[:, None] * h, gp[:, None]), 1))
-        np.add.at(one, at[n:], np.concatenate((-(neg.T @ h), -neg.sum(0)[:, None]), 1))
-        ga, gz = gh @ self.c1.T, gh @ self.c2.T
-        summed(gr, a, ga)
-        summed(gr, z, gz)
-        # rows are scaled by how often they occur, so that rare classes move too; for members, by how often they
-        # are expected, as a scale that follows the draw would weigh their rare draws as noise too high
-        used = (np.bincount(at[:n], minlength=len(rows)) if uses is None else n * uses[rows]) + n * np.exp(log_noise[rows])
-        context = np.bincount(a, minlength=SYMBOLS + 1) + np.bincount(z, minlength=SYMBOLS + 1)
-        for grad, counts in ((gr, context), (one, used)):
-            grad *= (step / np.sqrt(counts * (n / 16) + 1)).astype(np.float32)[:, None]
-        members = len(self.d) - 1 - SURFACES
-        if members:
-            both = np.concatenate((da, dz))
-            here = np.flatnonzero(both < members)
-            own, own_at = np.unique(both[here], return_inverse=True)
-            if len(own):
-                gd = np.zeros((len(own), DIM), np.float32)
-                summed(gd, own_at, np.concatenate((ga, gz))[here])
-                gd *= (step / np.sqrt(np.bincount(own_at) * (n / 256) + 1)).astype(np.float32)[:, None]
-                self.d[own] += bounded(gd)
-        self.r += bounded(gr)
-        q[rows] += bounded(one[:, :DIM])
-        self.c1 += bounded(va.T @ gh * np.float32(step / n))
-        self.c2 += bounded(vz.T @ gh * np.float32(step / n))
-        b[rows] += np.clip(one[:, DIM], -LONGEST, LONGEST)
-
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Scores by the first and by the second context (bias in the first), and log normalisers of all
         contexts, from products of matrices; natural logarithms."""
@@ -289,16 +254,71 @@ class Model:
         return a, z, norm
 
 
-def bounded(move: np.ndarray) -> np.ndarray:
-    """Rows cut to LONGEST."""
-    return move * np.minimum(1, LONGEST / np.maximum(np.sqrt((move * move).sum(1, keepdims=True)), 1e-12))
+class Noise:
+    """Noise targets drawn by a distribution, and the logarithms of how many of each are expected."""
+
+    def __init__(self, share: np.ndarray):
+        self.cdf = np.cumsum(share)
+        self.log = np.log(share * NOISE).astype(np.float32)
+
+    def drawn(self, rng: np.random.Generator) -> np.ndarray:
+        return np.minimum(np.searchsorted(self.cdf, rng.random(NOISE) * self.cdf[-1]), len(self.cdf) - 1)
+
+
+def contrast(h: np.ndarray, w: np.ndarray, p: np.ndarray, noise: np.ndarray, log_noise: np.ndarray, grad: np.ndarray) -> np.ndarray:
+    """The gradient at h of the positions' log-likelihood ratio, where a target w is told from NOISE drawn ones by
+    s - log(expected noise); that at the targets' rows of p goes to ``grad``."""
+    rows = p[w]
+    x = np.einsum("nd,nd->n", h, rows[:, :DIM]) + rows[:, DIM] - log_noise[w]
+    miss = 1 / (1 + np.exp(np.clip(x, -30, 30)))
+    drawn = p[noise]
+    hit = h @ drawn[:, :DIM].T
+    hit += drawn[:, DIM] - log_noise[noise]
+    np.clip(hit, -30, 30, out=hit)
+    np.negative(hit, out=hit)
+    np.exp(hit, out=hit)
+    hit += 1
+    np.reciprocal(hit, out=hit)
+    one = np.empty_like(rows)
+    np.multiply(miss[:, None], h, out=one[:, :DIM])
+    one[:, DIM] = miss
+    add_rows(grad, w, one)
+    np.subtract.at(grad, noise, np.concatenate((hit.T @ h, hit.sum(0)[:, None]), 1))
+    return miss[:, None] * rows[:, :DIM] - hit @ drawn[:, :DIM]
+
+
+def add_rows(out: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """out[at] += rows with repeats, by sorted segments."""
+    order = np.argsort(at.astype(np.uint16) if len(out) < 1 << 16 else at, kind="stable")
+    s = at[order]
+    start = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+    out[s[start], : rows.shape[1]] += np.add.reduceat(rows[order], start, axis=0)
+
+
+def gradient(m: Model, grad: Model, numbers, noises: tuple[Noise, Noise], rng: np.random.Generator) -> None:
+    """Adds the gradient of the positions to ``grad``; numbers: (classes, rows) of targets and contexts."""
+    (w, a, z), (dw, da, dz) = numbers
+    noise, even = noises
+    h, va, vz = m.hidden(a, z, da, dz)
+    gh = contrast(h, w, m.p[m.at["q"]], noise.drawn(rng), noise.log, grad.p[grad.at["q"]])
+    i = np.flatnonzero(w >= WORDS)
+    if m.m and len(i):
+        gh[i] += contrast(h[i], dw[i], m.p[m.at["t"]], even.drawn(rng), even.log, grad.p[grad.at["t"]])
+    grad.c1 += va.T @ gh
+    grad.c2 += vz.T @ gh
+    both, g = np.concatenate((da, dz)), np.concatenate((gh @ m.c1.T, gh @ m.c2.T))
+    add_rows(grad.r, np.concatenate((a, z)), g)
+    own = np.flatnonzero(both < m.m)
+    if len(own):
+        add_rows(grad.d, both[own], g[own])
 
 
 def log_sums(h: np.ndarray, q: np.ndarray, b: np.ndarray) -> np.ndarray:
     """log of the sum of exp(h . q + b) over the rows of q, in blocks of bounded size."""
-    out, size = np.empty(len(h), np.float32), max(1, (1 << 20) // len(q))
+    out, size = np.empty(len(h), np.float32), max(1, (1 << 18) // len(q))
+    q = np.ascontiguousarray(q.T)
     for k in range(0, len(h), size):
-        s = h[k : k + size] @ q.T
+        s = h[k : k + size] @ q
         s += b
         top = s.max(1)
         s -= top[:, None]
@@ -307,14 +327,6 @@ def log_sums(h: np.ndarray, q: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def summed(out: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
-    """out[at] += rows with repeats, by sorted segments."""
-    order = np.argsort(at.astype(np.int16), kind="stable")
-    s = at[order]
-    start = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-    out[s[start]] += np.add.reduceat(rows[order], start, axis=0)
-
-
 def contexts(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(number, number before, number before that) of all positions of several texts."""
     pad = np.array([BEGIN, BEGIN])
@@ -323,83 +335,60 @@ def contexts(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return flat[at], flat[at - 1], flat[at - 2]
 
 
-def trained(docs: DataFrame, vocabulary, unigram: np.ndarray, text_col: str) -> Model:
-    """Rounds of local training. Every task returns the rows of its parameters that moved, and their sums are
-    made on the cluster: those of classes weighted by the task's tokens. One sum of each row reaches the driver."""
-    spark, voc, width = docs.sparkSession, vocabulary.value, 2 * DIM + 1
-    members = np.concatenate(([voc.count[w] for w in voc.others], voc.totals[:, 0])) + 0.5
+def trained(encoded: DataFrame, lookup: Lookup, unigram: np.ndarray, members: np.ndarray, n: int) -> Model:
+    """ROUNDS synchronous steps over the training rows of ``encoded``. A task returns the rows of its gradient that
+    are not zero, the cluster adds them up, and one sum of each row reaches the driver."""
+    spark, m = encoded.sparkSession, len(members) - SURFACES
     uses = members / members.sum()
     model = Model.start(unigram, uses)
-    rows = docs.select(body(text_col).alias("text"), quoted("__salt").alias("salt"))
-    log_noise = np.log(unigram).astype(np.float32)
     # half of the members' noise is even, so that a rare one is no rarer as noise than as a target
-    log_even = np.log(0.5 * uses + 0.5 / len(uses)).astype(np.float32)
-    noises = spark.sparkContext.broadcast((log_noise, log_even, uses))
-    dense = -(-Model.SIZE // width)
+    fixed = spark.sparkContext.broadcast((lookup.group, lookup.row, unigram, 0.5 * uses + 0.5 / len(uses)))
+    width, kind = DIM + 1, lookup.kind
     columns = [f"x{k}" for k in range(width)]
-    for parts, step, batch, passes in ROUNDS:
-        begin = spark.sparkContext.broadcast((model.flat, model.words))
-
-        def run(batches, begin=begin, step=step, size=batch, passes=passes):
-            from pyspark import TaskContext
-
-            m, seen = Model(*begin.value), 0
-            log_noise, log_even, uses = noises.value
-            lookup, rng = Lookup(vocabulary.value), np.random.default_rng(TaskContext.get().partitionId())
-            cdf, even = np.cumsum(np.exp(log_noise)), np.cumsum(np.exp(log_even))
-            held: list[np.ndarray] = []
-            waiting = 0
-
-            def drawn(cdf):
-                return np.minimum(np.searchsorted(cdf, rng.random(NOISE) * cdf[-1]), len(cdf) - 1)
-
-            def learn():
-                nonlocal seen
-                numbers = contexts(held)
-                (w, a, z), (dw, da, dz) = (tuple(x[i] for i in numbers) for x in (lookup.group, lookup.row))
-                for k in [*range(0, len(w), size)] * passes:
-                    s = slice(k, k + size)
-                    m.train(w[s], a[s], z[s], da[s], dz[s], drawn(cdf), log_noise, step)
-                    if lookup.known:
-                        i = k + np.flatnonzero(w[s] >= WORDS)
-                        if len(i):
-                            m.train(dw[i], a[i], z[i], da[i], dz[i], drawn(even), log_even, step, uses)
-                seen += len(w)
-                held.clear()
+    rows = encoded.where(~F.col("held")).select("slice", "ids")
+    # fewer tasks than partitions where a task would return more than it reads
+    tasks = int(n / ROUNDS / (TOKENS_A_ROW * Model.rows(m))) + 1
+    mean, square = np.zeros_like(model.p), np.zeros_like(model.p)
+    for k in range(ROUNDS):
+        begin = spark.sparkContext.broadcast(model.p)
+
+        def run(batches, begin=begin, k=k):
+            now, (group, row, one, two) = Model(begin.value, m), fixed.value
+            grad, noises = Model(np.zeros_like(now.p), m), (Noise(one), Noise(two))
+            seen = 0
+
+            def learn(raw: list[bytes]):
+                rng = np.random.default_rng((k, zlib.crc32(raw[0])))  # a retried task draws the same
+                numbers = contexts([np.frombuffer(x, kind) for x in raw])
+                for a in range(0, len(numbers[0]), BATCH):
+                    part = [x[a : a + BATCH] for x in numbers]
+                    gradient(now, grad, ([group[x] for x in part], [row[x] for x in part]), noises, rng)
 
             for b in batches:
-                for t in b["text"].to_pylist():
-                    words = tokens_of(t)
-                    held.append(lookup.symbols(words, lookup.ranks(words))[0])
-                    waiting += len(words) + 1
-                    if waiting > HELD_POSITIONS:
-                        learn()
-                        waiting = 0
-            if held:
-                learn()
+                for part in pieces(b, "ids", BLOCK * kind.itemsize):
+                    learn(part["ids"].to_pylist())
+                    seen += 1
             if seen:
-                flat, own = begin.value
-                moved = np.zeros(dense * width)
-                moved[: Model.SIZE] = (m.flat.astype(np.float64) - flat) * seen
-                at = np.flatnonzero((m.words != own).any(1))
-                x = np.concatenate((moved.reshape(dense, width), m.words[at] - own[at])).astype(np.float32)
-                at, n = np.concatenate((np.arange(-dense, 0), at)), np.concatenate((np.full(dense, float(seen)), np.ones(len(at))))
-                for k in range(0, len(at), 8192):
-                    p = slice(k, k + 8192)
-                    yield pa.RecordBatch.from_arrays([pa.array(at[p]), *(pa.array(c) for c in np.ascontiguousarray(x[p].T)), pa.array(n[p])], ["i", *columns, "n"])
-
-        part = rows.where(F.pmod("salt", F.lit(parts)) == 0) if parts > 1 else rows
-        moves = part.mapInArrow(run, f"i long, {', '.join(f'{c} float' for c in columns)}, n double")
-        got = moves.groupBy("i").agg(*(F.sum(c).cast("float").alias(c) for c in columns), F.sum("n").alias("n"), F.count("*").alias("tasks")).toArrow()
+                at = np.flatnonzero(grad.p.any(1))
+                for a in range(0, len(at), 8192):
+                    x = np.ascontiguousarray(grad.p[at[a : a + 8192]].T)
+                    yield pa.RecordBatch.from_arrays([pa.array(at[a : a + 8192]), *map(pa.array, x)], ["i", *columns])
+
+        part = rows.where(F.col("slice") == k).select("ids").coalesce(tasks)
+        moves = part.mapInArrow(run, f"i long, {', '.join(f'{c} float' for c in columns)}")
+        got = moves.groupBy("i").agg(*(F.sum(c).cast("float").alias(c) for c in columns)).toArrow()
+        begin.destroy()
+        g = np.zeros_like(model.p)
         if len(got):
-            at, n = np.asarray(got["i"]), np.asarray(got["n"])
-            x = np.stack([np.asarray(got[c]) for c in columns], 1)
-            flat, own = np.zeros((dense, width)), at >= 0
-            flat[at[~own] + dense] = x[~own] / n[~own, None]
-            tasks = int(np.asarray(got["tasks"])[~own].max())
-            words = model.words.copy()
-            words[at[own]] += x[own] / np.clip(members[at[own]] / SUMMED, 1, tasks).astype(np.float32)[:, None]
-            model = Model(model.flat + flat.ravel()[: Model.SIZE], words)
+            g[np.asarray(got["i"])] = np.stack([np.asarray(got[c]) for c in columns], 1)
+        mean += (1 - MEAN) * (g - mean)
+        square += (1 - SQUARE) * (g * g - square)
+        step = STEP * min(1, (k + 1) / WARM) * (0.05 + 0.95 * (0.5 + 0.5 * math.cos(math.pi * k / ROUNDS)))
+        move = step * mean / (1 - MEAN ** (k + 1)) / (np.sqrt(square / (1 - SQUARE ** (k + 1))) + EVIDENCE)
+        for c in ("c1", "c2"):
+            move[model.at[c]] *= SHARED
+        move *= np.minimum(1, LONGEST / np.maximum(np.sqrt((move * move).sum(1, keepdims=True)), 1e-12))
+        model = Model(model.p + move.astype(np.float32), m)
     return model
 
 
@@ -425,82 +414,103 @@ def score(docs: DataFrame, held: F.Column, id_col: str = "doc_id", text_col: str
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score per row of ``docs``; rows where
     ``held`` is false are learnt from.
 
-    A null or empty text is its end alone. Repeated rows count as often as they stand there. With no
-    training row every token is unknown: the base is log10(1/1) and the model's classes are even. Other
-    columns are not read.
+    A null or empty text is its end alone. Repeated rows count as often as they stand there. A very long text is
+    scored whole, in blocks of positions; a very long word is told from others by its digest. Words of equal
+    counts rank by their bytes. With no training row every token is unknown: the base is log10(1/1) and the model's
+    classes are even. An empty table has no row. Other columns, whatever their names, are not read.
     """
     spark = docs.sparkSession
-    rows = docs.select(quoted(id_col).alias("id"), held.alias("held"), F.col(f"`{text_col}`").alias("text"), F.xxhash64(quoted(id_col)).alias("__salt"))
-    learn = rows.where(~F.col("held"))
-    counts = written(word_counts(learn, "text"), "lm-counts")
+    rows = docs.select(quoted(id_col).alias("id"), held.alias("held"), F.col(f"`{text_col}`").alias("text"))
+    rows = rows.withColumn("slice", F.pmod(F.xxhash64("id", "text"), F.lit(ROUNDS)).cast("int"))
+    counts = written(word_counts(rows.where(~F.col("held")), "text"), "lm-counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     head = head_words(counts, threshold(n))
     plain = Vocabulary(head, {}, n, v)
     own = plain.symbol
     vocabulary = Vocabulary(head, surface_totals(counts, {*own, *plain.others}), n, v)
+    lookup = Lookup(vocabulary)
     unigram = np.concatenate(([vocabulary.count[w] for w in vocabulary.words], np.zeros(WORDS - len(own)), vocabulary.totals[:, 0] + vocabulary.members)) + 0.5
-    shared = spark.sparkContext.broadcast(vocabulary)
-    model = trained(learn, shared, unigram / unigram.sum(), "text")
-    tables = spark.sparkContext.broadcast((model.flat, model.words, model.tables()[2].astype(np.float32)))
+    members = np.concatenate(([vocabulary.count[w] for w in vocabulary.others], vocabulary.totals[:, 0])) + 0.5
+    encoded = written(encode(rows, vocabulary, lookup.kind), "lm-encoded")
+    model = trained(encoded, lookup, unigram / unigram.sum(), members, n) if n else Model.start(unigram / unigram.sum(), members)
+    lookup.rank = {}  # words are not needed any more
+    fixed = spark.sparkContext.broadcast((model.p, model.m, model.tables()[2].astype(np.float32), lookup))
+
+    def run(batches):
+        p, own, norm, lookup = fixed.value
+        m = Model(p, own)
+
+        def part(b: pa.RecordBatch):
+            ids = [np.frombuffer(x, lookup.kind) for x in b["ids"].to_pylist()]
+            numbers = contexts(ids)
+            lm = np.concatenate([log_probabilities(m, norm, lookup, tuple(x[a : a + BLOCK] for x in numbers)) for a in range(0, len(numbers[0]), BLOCK)])
+            sums = np.add.reduceat(lm / math.log(10), np.cumsum([0, *map(len, ids[:-1])]))
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in kept), pa.array(sums)], [*kept, "lm"])
+
+        yield from arrow_map(part, "ids")(batches)
+
+    kept = [c for c in encoded.columns if c not in ("ids", "rest", "slice")]
+    texts = encoded.drop("rest", "slice")
+    schema = StructType([texts.schema[c] for c in kept]).add("lm", DoubleType())
+    scored = texts.mapInArrow(run, schema)
+    # words outside the head meet their counts on the cluster; an unknown one adds log10(0 + 1)
+    logs = F.log10(F.col("c") + 1.0)
+    rest = encoded.select("row", F.explode("rest").alias("w")).join(counts, "w").groupBy("row").agg(F.count("*").alias("found"), F.sum(logs).alias("logs"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return scored.join(rest, "row", "left").select(
+        F.col("id").alias(id_col),
+        F.col("held").alias("held_out"),
+        "n_tokens",
+        (F.col("known") + zero(F.col("found"))).alias("n_known"),
+        F.lit(int(n)).cast("long").alias("train_tokens"),
+        (F.col("base") + zero(F.col("logs"))).alias("base_score"),
+        (F.col("lm") + F.col("inside") + zero(F.col("logs"))).alias("score"),
+    )
+
+
+def encode(rows: DataFrame, vocabulary: Vocabulary, number: np.dtype) -> DataFrame:
+    """Per text, beside id, held and slice: a number of the row, n_tokens, known words in the head, the head's part
+    of the base score, that of the shares in the rests, the tokens' numbers, and the words outside the head."""
+    shared = rows.sparkSession.sparkContext.broadcast(vocabulary)
     kind = rows.schema["id"].dataType.simpleString()
+    names = ["id", "held", "slice", "row", "n_tokens", "known", "base", "inside", "ids", "rest"]
 
     def run(batches):
         from pyspark import TaskContext
 
         voc = shared.value
-        flat, own_words, norm = tables.value
-        m, lookup = Model(flat, own_words), Lookup(voc)
+        lookup = Lookup(voc)
         row = TaskContext.get().partitionId() << 36
         log_v = math.log10(voc.n + voc.v + 1)
         logs = np.append(lookup.logs, 0.0)  # -1: no rank
-        own_logs = np.zeros(len(lookup.group))
+        own_logs, shares = np.zeros(len(lookup.group)), np.zeros(len(lookup.group))
         for x, k in [*voc.symbol.items(), *zip(voc.others, range(BEGIN + 1, len(own_logs)))]:
             own_logs[k] = logs[lookup.rank[x]]
+        shares[WORDS:BEGIN] = voc.share_base
+        minus = own_logs + shares  # a rare word's share in its class' rest, but for log10(count + 1)
 
         def part(b: pa.RecordBatch):
             nonlocal row
-            ids, lengths, known, base, rest = [], [], [], [], []
+            cols: list[list] = [[] for _ in range(6)]
             for t in b["text"].to_pylist():
                 words = tokens_of(t)
                 ranks = lookup.ranks(words)
                 s, tail = lookup.symbols(words, ranks)
-                known.append(len(s) - len(tail))
-                base.append(logs[ranks].sum())
-                rest.append(tail)
-                ids.append(s)
-                lengths.append(len(s))
-            w, a, z = contexts(ids)
-            lm = log_probabilities(m, norm, lookup, (w, a, z)) / math.log(10)
-            # share of a word in the rest of its surface class, but for log10(count + 1); own words have none
-            inside = np.where((w >= WORDS) & (w < BEGIN), voc.share_base[np.clip(w - WORDS, 0, SURFACES - 1)], 0.0)
-            starts = np.cumsum([0, *lengths[:-1]])
-            lm = np.add.reduceat(lm - inside, starts)
-            # log10(count + 1) of head words: all of them in the base, those of the rare rest in the score
-            own_part = np.add.reduceat(own_logs[w], starts)
-            base = np.array(base)
-            yield pa.RecordBatch.from_arrays(
-                [b["id"], b["held"], pa.array(np.arange(row, row + len(ids))), pa.array(lengths, pa.int64()), pa.array(known, pa.int64()), pa.array(base - np.array(lengths) * log_v), pa.array(lm + base - own_part), pa.array(rest, pa.list_(pa.binary()))],
-                ["id", "held", "row", "n_tokens", "known", "base", "lm", "rest"],
-            )
-            row += len(ids)
+                head = logs[ranks].sum()
+                values = (len(s), len(s) - len(tail), head - len(s) * log_v, head - minus[s].sum(), s.astype(number).tobytes(), tail)
+                for c, v in zip(cols, values):
+                    c.append(v)
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.binary()))
+            own = [pa.array(c, k) for c, k in zip(cols, kinds)]
+            yield pa.RecordBatch.from_arrays([b["id"], b["held"], b["slice"], pa.array(np.arange(row, row + b.num_rows)), *own], names)
+            row += b.num_rows
 
         yield from arrow_map(part, "text")(batches)
 
-    texts = rows.select("id", "held", body("text").alias("text"))
-    scored = written(texts.mapInArrow(run, f"id {kind}, held boolean, row long, n_tokens long, known long, base double, lm double, rest array<binary>"), "lm-scored")
-    # words outside the head meet their counts on the cluster; an unknown one adds log10(0 + 1)
-    logs = F.log10(F.col("c") + 1.0)
-    rest = scored.select("row", F.explode("rest").alias("w")).join(counts, "w").groupBy("row").agg(F.count("*").alias("found"), F.sum(logs).alias("logs"))
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    return scored.drop("rest").join(rest, "row", "left").select(
-        F.col("id").alias(id_col),
-        F.col("held").alias("held_out"),
-        "n_tokens",
-        (F.col("known") + zero(F.col("found"))).alias("n_known"),
-        F.lit(int(n)).cast("long").alias("train_tokens"),
-        (F.col("base") + zero(F.col("logs"))).alias("base_score"),
-        (F.col("lm") + zero(F.col("logs"))).alias("score"),
-    )
+    texts = rows.select("id", "held", "slice", body("text").alias("text"))
+    schema = f"id {kind}, held boolean, slice int, row long, n_tokens long, known long, base double, inside double, ids binary, rest array<binary>"
+    # in order of the slices, so that a round reads its own pages of the files
+    return texts.mapInArrow(run, schema).sortWithinPartitions("slice")
 
 
 def score_fold(docs: DataFrame, mod: int = 7, remainder: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
