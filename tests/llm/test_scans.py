@@ -49,11 +49,27 @@ def test_find(spark, make, awkward, nothing):
     assert {r.n_hit for r in D.find(make(DOCS), items.limit(0)).collect()} == {0}
 
 
-def test_find_in_shards_equals_one(spark, make, monkeypatch):
+def test_find_in_shards_equals_one(spark, make, awkward, nothing, monkeypatch):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
-    want = sorted(map(tuple, D.find(make(DOCS), items).collect()))
+    df = make([*DOCS, ITEMS[0][1], "a b " * 500, None, ""])
+    key = lambda r: tuple(map(str, r))
+    want = [sorted(map(key, D.find(x, items).collect())) for x in (df, awkward)]
+    kept = sorted(map(key, D.clean(df, items).collect()))
     monkeypatch.setattr(D, "SHARD_BYTES", 40)
-    assert sorted(map(tuple, D.find(make(DOCS), items).collect())) == want
+    assert [sorted(map(key, D.find(x, items).collect())) for x in (df, awkward)] == want
+    assert sorted(map(key, D.clean(df, items).collect())) == kept and D.clean(df, items).schema == df.schema
+    assert D.find(nothing, items).count() == 0
+
+
+def test_hits_come_from_the_states():
+    """Every occurring window's items stand on the state in which the automaton is, and nothing else does."""
+    m = D.Matcher([(str(k), (t or "").encode()) for k, t in ITEMS], 4)
+    w = D.words(ITEMS[0][1].encode())
+    state = matched = 0
+    for i, c in enumerate(m.filter.ids(w).tolist()):
+        state, matched = m.auto.step(state, matched, c)
+        got = list(m.ending(state, matched))
+        assert got == ([(4, {"10", "11"} if i > 3 else {"10"})] if i >= 3 else [])
 
 
 @settings(max_examples=200, deadline=None)
@@ -61,7 +77,7 @@ def test_find_in_shards_equals_one(spark, make, monkeypatch):
 def test_matcher_on_random_words(items, doc, n):
     named = [(k, " ".join(x)) for k, x in enumerate(items)]
     m = D.Matcher([(str(k), t.encode()) for k, t in named], n)
-    spans, found = m.match(m.ids([w.encode() for w in doc]))
+    spans, found = m.match([w.encode() for w in doc])
     want = brute_hits(" ".join(doc), named, n)
     assert (D.covered(spans), len(found)) == want[1:3]
 
