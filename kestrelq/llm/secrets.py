@@ -1,8 +1,10 @@
 """Secret scans: three base patterns, and character Markov models for what has no pattern.
 
-Two order-1 models over characters are trained from labelled samples: random strings
-over the alphabets that keys use, and ordinary long words and identifiers of the corpus itself. A token is
-taken for a secret if its log-likelihood ratio a character passes a margin.
+Two models over characters are trained from labelled samples: one of random strings over the alphabets that keys
+use, and one of ordinary words and identifiers, the corpus' own among them. Every character of a run of token
+characters has a log-likelihood ratio of random against ordinary, given the two before it. Stretches in which
+the ratio adds up are found, widened to whole pieces between separators, and taken for secrets if they are long
+enough and their mean ratio passes a margin.
 """
 
 from __future__ import annotations
@@ -31,10 +33,14 @@ CODE = np.full(256, -1, np.int64)
 for _i, _c in enumerate(TOKEN_CHARS):
     CODE[ord(_c)] = _i
 
-#: Characters of the shortest token that the models judge, and the margin a character (natural log).
-SHORTEST, MARGIN = 20, 0.9
-#: Labelled samples: generated random strings, and distinct corpus words with few digits (bounded, those of the smallest hashes).
-RANDOM_SAMPLES, WORD_SAMPLES = 4000, 20_000
+#: Characters of the shortest stretch that the models take for a secret, the mean ratio a character that it has to
+#: pass (natural log), and the fall of the summed ratio at which a stretch has ended.
+SHORTEST, MARGIN, DROP = 16, 0.9, 12.0
+#: Labelled samples: generated random strings and identifiers; documents and distinct ordinary words from them,
+#: at most, those of the smallest hashes.
+RANDOM_SAMPLES, ROW_SAMPLES, WORD_SAMPLES = 4000, 4000, 20_000
+#: Bits of a hash by whose histogram the smallest ones are found.
+BIN_BITS = 16
 
 
 def long_runs(text: bytes, table: bytes, least: int):
@@ -61,25 +67,29 @@ def base_spans(text: bytes) -> list[tuple[int, int, int]]:
 
 
 class Markov:
-    """Add-half order-1 transition model over the token characters, with start probabilities."""
+    """Transition model of order 2 over the token characters: counts, smoothed by those of order 1, and these by
+    those of order 0. ``log[a, b, c]``: of c after a and b; number N stands for the start."""
+
+    N = len(TOKEN_CHARS)
 
     def __init__(self, samples: list[bytes]):
-        n = len(TOKEN_CHARS)
-        pair, first = np.full((n, n), 0.5), np.full(n, 0.5)
+        n = self.N
+        triple = np.zeros((n + 1, n + 1, n))
         for s in samples:
             c = CODE[np.frombuffer(s, np.uint8)]
-            c = c[c >= 0]
-            if len(c):
-                first[c[0]] += 1
-                np.add.at(pair, (c[:-1], c[1:]), 1)
-        self.pair, self.first = np.log(pair / pair.sum(1, keepdims=True)), np.log(first / first.sum())
+            c = np.concatenate(([n, n], c[c >= 0]))
+            np.add.at(triple, (c[:-2], c[1:-1], c[2:]), 1)
+        pair = triple.sum(0)
+        single = pair.sum(0) + 0.5
+        one = (pair + 5 * single / single.sum()) / (pair.sum(1, keepdims=True) + 5)
+        self.log = np.log((triple + 5 * one) / (triple.sum(2, keepdims=True) + 5))
 
 
 def random_samples(n: int = RANDOM_SAMPLES, seed: int = 11) -> list[bytes]:
-    """Labelled 'random': strings over base-64, letters and digits, upper case and digits, and hex."""
+    """Labelled 'random': strings over both kinds of base 64, letters and digits, upper case and digits, and hex."""
     rng = random.Random(seed)
     upper, lower, digit = TOKEN_CHARS[:26], TOKEN_CHARS[26:52], TOKEN_CHARS[52:62]
-    sets = (upper + lower + digit + "+/", upper + lower + digit, upper + digit, lower + digit, digit + "abcdef")
+    sets = (upper + lower + digit + "+/", upper + lower + digit + "-_", upper + lower + digit, upper + digit, lower + digit, digit + "abcdef")
     return ["".join(rng.choices(sets[i % len(sets)], k=rng.randint(20, 48))).encode() for i in range(n)]
 
 
@@ -91,56 +101,113 @@ def identifier_samples(n: int = 4000, seed: int = 12) -> list[bytes]:
     rng, out = random.Random(seed), []
     for i in range(n):
         parts = rng.choices(IDENTIFIER_PARTS, k=rng.randint(3, 6))
-        joined = ("_".join(parts), "-".join(parts), "".join(p.title() for p in parts), "/".join(parts), "_".join(parts).upper())[i % 5]
+        joined = ("_".join(parts), "-".join(parts), "".join(p.title() for p in parts), "/" + "/".join(parts), "_".join(parts).upper())[i % 5]
         out.append(joined.encode() + (str(rng.randint(0, 99)).encode() if i % 4 == 0 else b""))
-    return out
+    return out + [c.encode() * rng.randint(3, 60) for c in "-=_+/" for _ in range(n // 100)]  # rules across a page
+
+
+def smallest(df: DataFrame, hash_col: str, n: int) -> F.Column:
+    """Condition for ``n`` rows, at most, of the smallest non-negative hashes; all of a bin of hashes or none.
+    A histogram is counted, so nothing but its 2^BIN_BITS numbers reaches the driver."""
+    bins = df.groupBy(F.shiftright(hash_col, 63 - BIN_BITS).alias("bin")).count().toPandas().sort_values("bin")
+    inside = bins["bin"][bins["count"].cumsum() <= n]
+    limit = 1 + int(inside.max()) if len(inside) else 0
+    return F.shiftright(hash_col, 63 - BIN_BITS) < limit
+
 
+def ordinary(word: bytes) -> bool:
+    """Label of a corpus word: no base span, few digits, and capitals at the start, throughout or few."""
+    digits, capitals = sum(48 <= c <= 57 for c in word), sum(65 <= c <= 90 for c in word[1:])
+    return digits * 8 <= len(word) and (capitals * 5 <= len(word) or word.isupper()) and not base_spans(word)
 
-def ordinary_samples(docs: DataFrame, text_col: str, n: int = WORD_SAMPLES) -> list[bytes]:
-    """About ``n`` distinct corpus words of 5 to 64 token characters without a base span, those of the
-    smallest hashes. One in 16 is a candidate; the limit that leaves ``n`` follows from their number."""
+
+def ordinary_samples(docs: DataFrame, text_col: str) -> list[bytes]:
+    """Distinct ``ordinary`` words of 5 to 64 token characters, WORD_SAMPLES at most, from ROW_SAMPLES documents at most: those of the smallest hashes. Equal texts are drawn together or not at all."""
 
     def run(b: pa.RecordBatch):
         import xxhash
 
-        best: dict[bytes, int] = {}
-        for text in b["text"].to_pylist():
-            for w in set(text.translate(keep).split()):
-                if 5 <= len(w) <= 64 and w not in best and (h := xxhash.xxh64_intdigest(w)) < limit:
-                    best[w] = h
-        kept = [w for w in best if not base_spans(w) and sum(48 <= c <= 57 for c in w) * 4 <= len(w)]
-        yield pa.RecordBatch.from_arrays([pa.array(kept, pa.binary()), pa.array([best[w] for w in kept], pa.int64())], ["w", "h"])
+        found = {w for text in b["text"].to_pylist() for w in text.translate(keep).split() if 5 <= len(w) <= 64}
+        kept = [w for w in found if ordinary(w)]
+        yield pa.RecordBatch.from_arrays([pa.array(kept, pa.binary()), pa.array([xxhash.xxh64_intdigest(w) >> 1 for w in kept], pa.int64())], ["w", "h"])
 
     keep = bytes(c if chr(c) in TOKEN_CHARS else 32 for c in range(256))
-    limit = 1 << 60
     rows = docs.select(body(text_col).alias("text"))
-    found = written(rows.mapInArrow(arrow_map(run, "text"), "w binary, h long").distinct(), "secret-words")
-    share = min(1.0, n / max(1, found.count()))
-    return sorted(bytes(r["w"]) for r in found.where(F.col("h") < int(limit * share)).collect())
+    rows = rows.withColumn("h", F.shiftrightunsigned(F.xxhash64("text"), 1))
+    few = rows.where(smallest(rows, "h", ROW_SAMPLES)).select("text")
+    found = written(few.mapInArrow(arrow_map(run, "text"), "w binary, h long").distinct(), "secret-words")
+    return sorted(bytes(r["w"]) for r in found.where(smallest(found, "h", WORD_SAMPLES)).collect())
 
 
 class Scanner:
     def __init__(self, ordinary: list[bytes], margin: float = MARGIN):
-        rnd, words = Markov(random_samples()), Markov(ordinary + identifier_samples())
-        self.pair, self.first, self.margin = rnd.pair - words.pair, rnd.first - words.first, margin
+        self.gain, self.margin = Markov(random_samples()).log - Markov(ordinary + identifier_samples()).log, margin
+
+    def ratios(self, token: bytes) -> np.ndarray:
+        """Log-likelihood ratio of random against ordinary of each character."""
+        c = np.concatenate(([Markov.N, Markov.N], CODE[np.frombuffer(token, np.uint8)]))
+        return self.gain[c[:-2], c[1:-1], c[2:]]
 
     def ratio(self, token: bytes) -> float:
-        """Log-likelihood ratio of random against ordinary, a character."""
-        c = CODE[np.frombuffer(token, np.uint8)]
-        return float(self.first[c[0]] + self.pair[c[:-1], c[1:]].sum()) / len(c)
+        """The mean over the characters."""
+        return float(self.ratios(token).mean())
+
+    def stretches(self, token: bytes) -> list[tuple[int, int]]:
+        """Parts of a run of token characters that are taken for secrets, in one pass over the run."""
+        out: list[tuple[int, int]] = []
+        ratios = self.ratios(token)
+        total = best = 0.0
+        start = end = last = 0
+
+        def close():
+            nonlocal last
+            a, b = start, end
+            while a > last and token[a - 1 : a].isalnum():
+                a -= 1
+            while b < len(token) and token[b : b + 1].isalnum():
+                b += 1
+            # pieces at either end that speak for ordinary text go
+            cuts = [a, *(x for x in range(a, b) if not token[x : x + 1].isalnum()), b]
+            cuts = [x for k, x in enumerate(cuts) if not k or x > cuts[k - 1]]
+            while len(cuts) > 1 and ratios[cuts[0] : cuts[1]].mean() <= self.margin / 2:
+                del cuts[0]
+            while len(cuts) > 1 and ratios[cuts[-2] : cuts[-1]].mean() <= self.margin / 2:
+                del cuts[-1]
+            a, b = cuts[0], cuts[-1]
+            a += a < b and token[a : a + 1] in b"-_="
+            if b - a >= SHORTEST and ratios[a:b].mean() > self.margin:
+                out.append((a, b))
+                last = b
+
+        for i, x in enumerate(ratios.tolist(), 1):
+            total += x - self.margin / 2
+            if total <= 0 or total < best - DROP:
+                if best > 0:
+                    close()
+                total = best = 0.0
+                start = end = max(i, last)
+            elif total > best:
+                best, end = total, i
+        if best > 0:
+            close()
+        return out
 
     def spans(self, text: bytes) -> list[tuple[int, int, int]]:
-        """Base spans, and the judged tokens that touch none of them. Bytes; by start, then kind."""
+        """Base spans, and the stretches between them that the models take for secrets. Bytes; by start, then kind."""
         base = base_spans(text)
         out, k = list(base), 0
-        ends = sorted(base)
         for a, b in long_runs(text, TOKEN_TABLE, SHORTEST):
-            while k < len(ends) and ends[k][1] <= a:
+            while k < len(base) and base[k][1] <= a:
                 k += 1
-            if any(s[0] < b and a < s[1] for s in ends[k : k + 4]):
-                continue
-            if self.ratio(text[a:b]) > self.margin:
-                out.append((a, b, 3))
+            at, j = a, k
+            parts = []
+            while j < len(base) and base[j][0] < b:
+                parts.append((at, base[j][0]))
+                at = max(at, base[j][1])
+                j += 1
+            for c, d in (*parts, (at, b)):
+                if d - c >= SHORTEST:
+                    out += [(c + x, c + y, 3) for x, y in self.stretches(text[c:d])]
         return sorted(out, key=lambda s: (s[0], s[2], s[1]))
 
 
@@ -159,20 +226,22 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_assign, n_access, n_hex, n_markov, base_sha256, spans per row of ``docs``.
 
-    A null or empty text has no span (the digest is that of no bytes). Repeated rows and null ids give a
-    row each; other columns are not read. The models learn from a bounded sample of the corpus' words.
+    A null or empty text has no span (the digest is that of no bytes). Very long texts are scanned whole, in linear
+    time. Spans that start at one place stand in the order of KINDS. Repeated rows and null ids give a row each, an
+    empty table none; other columns, whatever their names, are not read. The models are fitted once, on a bounded
+    sample of the corpus' words (``ordinary_samples``) and generated strings.
     """
     rows = docs.select(quoted(id_col).alias("id"), body(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    ordinary = docs.sparkSession.sparkContext.broadcast(ordinary_samples(docs, text_col))
+    scanner = docs.sparkSession.sparkContext.broadcast(Scanner(ordinary_samples(docs, text_col)))
 
     def run(batches):
-        scanner = Scanner(ordinary.value)
+        find_in = scanner.value.spans
 
         def part(b: pa.RecordBatch):
             out = []
             for text in b["text"].to_pylist():
-                spans = code_points(text, scanner.spans(text))
+                spans = code_points(text, find_in(text))
                 base = [s for s in spans if s[2] < 3]
                 out.append((*(sum(s[2] == k for s in spans) for k in range(4)), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans)))
             cols = [pa.array([r[i] for r in out], pa.int64() if i < 4 else pa.string()) for i in range(6)]
@@ -185,12 +254,13 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def mask(docs: DataFrame, text_col: str = "text", count_col: str = "n_chars", word: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span replaced by ``word``; an assignment keeps its key and loses its value. No
-    row is dropped, untouched and null texts stay as they are, ``count_col`` becomes a changed text's length."""
+    row is dropped, untouched, empty and null texts stay as they are, ``count_col`` becomes a changed text's length.
+    Long texts are scanned whole; repeated rows are treated alike; all columns stay, whatever their names."""
     names = list(docs.columns)
-    ordinary = docs.sparkSession.sparkContext.broadcast(ordinary_samples(docs, text_col))
+    scanner = docs.sparkSession.sparkContext.broadcast(Scanner(ordinary_samples(docs, text_col)))
 
     def run(batches):
-        scanner = Scanner(ordinary.value)
+        find_in = scanner.value.spans
 
         def part(b: pa.RecordBatch):
             texts = b[text_col].to_pylist()
@@ -199,7 +269,7 @@ def mask(docs: DataFrame, text_col: str = "text", count_col: str = "n_chars", wo
                 if not t:
                     continue
                 raw = t.encode()
-                if spans := scanner.spans(raw):
+                if spans := find_in(raw):
                     texts[i] = masked(raw, spans, word.encode()).decode()
                     if counts:
                         counts[i] = len(texts[i])

@@ -114,13 +114,39 @@ def test_base_spans(make, awkward):
             assert ",".join(s for s in r.spans.split(",") if not s.startswith("markov")) == text
 
 
-def test_models_tell_random_from_ordinary():
-    s = S.Scanner([b"ordinary", b"words", b"of", b"prose", b"information", b"development", b"international"])
+def test_models_tell_random_from_ordinary(spark):
+    """Recall and precision on random tokens of no base kind and on ordinary ones, the models learnt from the corpus."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    scan = S.Scanner(S.ordinary_samples(docs, "text"))
     rng = random.Random(99)
-    letters = S.TOKEN_CHARS[:62]
-    hits = sum(s.ratio("".join(rng.choices(letters, k=32)).encode()) > S.MARGIN for _ in range(500))
-    wrong = sum(s.ratio(x) > S.MARGIN for x in S.identifier_samples(500, seed=77))
-    assert hits >= 490 and wrong <= 5
+    letters = S.TOKEN_CHARS
+    for chars in (letters[:62], letters[:62] + "+/", letters[26:62], letters[:62] + "-_"):
+        for size in (20, 32, 44):
+            tokens = ["".join(rng.choices(chars, k=size)).encode() for _ in range(300)]
+            tokens = [t for t in tokens if not S.base_spans(t)]
+            found = sum(bool(scan.stretches(t)) for t in tokens)
+            assert found >= 0.9 * len(tokens), (chars, size, found)
+            inside = sum(bool(scan.spans(b"some words before " + t + b" and after it")) for t in tokens)
+            assert inside >= 0.9 * len(tokens)
+    wrong = sum(bool(scan.stretches(x)) for x in S.identifier_samples(500, seed=77))
+    assert wrong <= 5
+    for plain in (b"https://example.com/articles/2023/the-quick-brown-fox", b"-" * 500, b"internationalization_configuration_manager", b"x" * 200_000):
+        assert scan.stretches(plain) == [] or plain[:1] == b"x", plain
+
+
+def test_secret_beside_words_and_base_spans(spark):
+    scan = S.Scanner([b"ordinary", b"words", b"prose", b"information", b"development", b"international", b"files", b"path"])
+    found = [x for x in scan.spans(f"path/to/{KEY}/ordinary/files".encode()) if x[2] == 3]
+    assert len(found) == 1 and found[0][0] <= 8 and found[0][1] >= 8 + len(KEY)
+    both = scan.spans(f"AKIA{'Q7' * 9}/{KEY}x4{KEY}".encode())
+    assert [k for *_, k in both] == [1, 3]
+
+
+def test_samples_cover_every_word(make):
+    """No word is shut out by its hash: with few words all are samples."""
+    words = [f"word{a}{b}{c}" for a in "abcdefgh" for b in "ijklmnop" for c in "qrstuvwx"]
+    got = S.ordinary_samples(make([" ".join(words[k::8]) for k in range(8)]), "text")
+    assert got == sorted(w.encode() for w in words)
 
 
 def test_added_spans_and_masks(make, nothing):
