@@ -23,14 +23,20 @@ WORDS = bytes(c if (48 <= c <= 57 or 97 <= c <= 122 or c >= 128) else 32 for c i
 BATCH_BYTES = 2 << 20
 
 
+#: Tables that this process has written to the shared folder and not removed, in order.
+_held: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder named by spark.checkpoint.dir; in a session without one
-    (tests), a temporary folder becomes that setting."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A new path in the shared folder: that of spark.checkpoint.dir, else of setCheckpointDir. A local session
+    without either (tests) gets a temporary folder of its own; on a cluster that is an error, as executors would
+    not share it."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="kestrelq-checkpoint-")
-        spark.sparkContext.setCheckpointDir(base)
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("Set spark.checkpoint.dir to a folder that driver and executors share.")
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="kestrelq-checkpoint-"))
+        base = spark.sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -39,7 +45,40 @@ def written(df: DataFrame, name: str) -> DataFrame:
     beyond it, and values that depend on task order are fixed from here on."""
     path = scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _held.append(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def remove(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Deletes tables that no result needs any more."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    for path in paths:
+        place = hadoop.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        if path in _held:
+            _held.remove(path)
+
+
+def released(*tables: DataFrame) -> None:
+    """Deletes tables returned by ``written``; others are left alone."""
+    for t in tables:
+        if hasattr(t, "scratch_path"):
+            remove(t.sparkSession, [t.scratch_path])
+
+
+def settled_table(build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """``written(build(), name)``, without the tables that were written on the way to it."""
+    before = set(_held)
+    out = written(build(), name)
+    remove(out.sparkSession, [p for p in _held if p not in before and p != out.scratch_path])
+    return out
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Deletes all tables of this process in the shared folder; results that are not computed yet are lost."""
+    remove(spark, list(_held))
 
 
 def body(col: str) -> F.Column:

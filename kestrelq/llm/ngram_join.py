@@ -1,10 +1,11 @@
 """N-gram Jaccard join: MinHash candidates, Bayesian pruning, exact verification.
 
 1. Texts with equal words become one representative with a number of copies.
-2. Every representative gets HASHES MinHash values of its word shingles and BANDS keys of ROWS values each.
-   Representatives that share a key are candidates: at similarity 0.8 a pair shares none with probability
-   (1 - 0.8^4)^30 < 2e-7.
-3. The members of a key are dealt into blocks of bounded size, and pairs of blocks into tasks. A task compares
+2. Every representative gets HASHES MinHash values of its word shingles, and keys of a few values each (4 at
+   similarity 0.8, ``rows_for``). Representatives that share a key are candidates: at similarity 0.8 a pair shares
+   none with probability (1 - 0.8^4)^30 < 2e-7.
+3. The members of a key are dealt into blocks, and pairs of blocks into tasks, so that a key of m members makes
+   about m^1.5 / 2 rows at most; memory is bounded by a block's size. A task compares
    the values of its pairs a few hashes at a time and drops a pair when the posterior probability of
    reaching the threshold falls below TOLERANCE. A pair belongs to the first key it shares, so it is judged
    once. What leaves the task are members that have a surviving pair, never pairs.
@@ -15,6 +16,7 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
 from math import comb
 
 import numpy as np
@@ -23,21 +25,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructType
 
-from kestrelq.llm.common import WORDS, arrow_map, body, free_name, quoted, written
+from kestrelq.llm.common import WORDS, arrow_map, body, free_name, quoted, released, written
 
 SHINGLE, THRESHOLD = 5, 0.8
-ROWS, BANDS = 4, 30
-HASHES = ROWS * BANDS
+HASHES = 120
+#: Probability at which a pair at the threshold may share no key.
+MISSED = 1e-6
 #: Hashes compared between two looks at the posterior, and the probability at which a pair is dropped.
 LOOK, TOLERANCE = 20, 1e-6
-#: Members and shingles of a block at most (a longer text is a block's own excess).
-BLOCK_MEMBERS, BLOCK_SHINGLES = 256, 400_000
+#: Members of a block: this many, or SPREAD times the root of the key's members if that is more; at most so many.
+BLOCK_MEMBERS, SPREAD, BLOCK_LARGEST = 64, 2, 8192
+#: Members on either side of the pairs that are compared at once.
+TILE = 512
+#: Shingles of a block at most (a longer text is a block's own excess).
+BLOCK_SHINGLES = 400_000
 
 _rng = np.random.default_rng(20240917)
 _MULTIPLY = (_rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) * 2 + 1)[:, None]
 _ADD = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)[:, None]
 _PLACE = _rng.integers(0, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BAND = _rng.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BAND = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def rows_for(threshold: float) -> int:
+    """Values in a key: the most of 4, 3, 2, 1 with which a pair at the threshold shares a key but for MISSED."""
+    for rows in (4, 3, 2, 1):
+        if (1 - threshold**rows) ** (HASHES // rows) < MISSED:
+            return rows
+    raise ValueError(f"threshold {threshold} is too low for {HASHES} MinHash values")
 
 
 class WordHashes(dict):
@@ -81,12 +96,13 @@ def signature(shingle_hashes: np.ndarray) -> np.ndarray:
     return best.astype(np.uint16)
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
-    """One key per band, the band's number in it."""
-    x = ((sig.reshape(BANDS, ROWS).astype(np.uint64) + np.uint64(1)) * _BAND).sum(axis=1, dtype=np.uint64)
+def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
+    """One key for every ``rows`` values, their place in it."""
+    x = ((sig.astype(np.uint64) + np.uint64(1)) * _BAND).reshape(-1, rows).sum(axis=1, dtype=np.uint64)
     return mixed(x).view(np.int64)
 
 
+@lru_cache
 def least_matches(n: int, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> int:
     """Matches of ``n`` hashes below which P(similarity >= threshold) < tolerance, from a uniform prior:
     the posterior is Beta(m + 1, n - m + 1), whose upper tail is P(Binomial(n + 1, threshold) <= m)."""
@@ -97,24 +113,24 @@ def least_matches(n: int, threshold: float = THRESHOLD, tolerance: float = TOLER
     return m
 
 
-def surviving(sigs: np.ndarray, i: np.ndarray, j: np.ndarray, band: np.ndarray) -> np.ndarray:
+def surviving(sigs: np.ndarray, i: np.ndarray, j: np.ndarray, band: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
     """Numbers of the pairs (i, j) whose first common key is of ``band`` and which no look has dropped."""
     left, matches = np.arange(len(i)), np.zeros(len(i), np.int64)
     for n in range(LOOK, HASHES + 1, LOOK):
         equal = sigs[i[left], n - LOOK : n] == sigs[j[left], n - LOOK : n]
         matches = matches + equal.sum(axis=1)
-        ok = matches >= least_matches(n)
+        ok = matches >= least_matches(n, threshold)
         left, matches = left[ok], matches[ok]
         if not len(left):
             return left
-    first = np.empty(len(left), np.int64)
+    first, rows = np.empty(len(left), np.int64), rows_for(threshold)
     for a in range(0, len(left), 1 << 16):
         part = left[a : a + (1 << 16)]
-        first[a : a + (1 << 16)] = (sigs[i[part]] == sigs[j[part]]).reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
+        first[a : a + (1 << 16)] = (sigs[i[part]] == sigs[j[part]]).reshape(-1, HASHES // rows, rows).all(axis=2).argmax(axis=1)
     return left[first == band[left]]
 
 
-def prepared(docs: DataFrame, text_col: str, keep: list[str]) -> tuple[DataFrame, list[str]]:
+def prepared(docs: DataFrame, text_col: str, keep: list[str], band_rows: int) -> tuple[DataFrame, list[str]]:
     """``keep`` columns of ``docs``, and as columns of the returned names rid (a number per row), fp (digest of the words, null without any),
     n_sh, sig, bands, body (compressed words). Written, so that rid is fixed."""
     text = free_name(docs, "words_text")
@@ -140,7 +156,7 @@ def prepared(docs: DataFrame, text_col: str, keep: list[str]) -> tuple[DataFrame
                 plain = b" ".join(words)
                 h = shingles(words, hashes)
                 sig = signature(h)
-                values = (count, xxhash.xxh3_128_digest(plain), len(h), sig.tobytes(), band_keys(sig), press.compress(plain)) if words else (count, None, 0, None, None, None)
+                values = (count, xxhash.xxh3_128_digest(plain), len(h), sig.tobytes(), band_keys(sig, band_rows), press.compress(plain)) if words else (count, None, 0, None, None, None)
                 for c, v in zip(cols, values):
                     c.append(v)
                 count += 1
@@ -183,14 +199,17 @@ def candidate_pairs(key, x, y, block):
     for a, b in zip([0, *cut], [*cut, n]):
         if b - a == 2 and x[a] == y[a]:
             yield np.array([a]), np.array([a + 1])
-        elif x[a] == y[a]:
-            i, j = np.triu_indices(b - a, 1)
-            yield i + a, j + a
-        else:
-            one = np.flatnonzero(block[a:b] == x[a]) + a
-            two = np.flatnonzero(block[a:b] == y[a]) + a
-            if len(one) and len(two):
-                yield np.repeat(one, len(two)), np.tile(two, len(one))
+            continue
+        one = np.flatnonzero(block[a:b] == x[a]) + a
+        two = np.flatnonzero(block[a:b] == y[a]) + a
+        for c in range(0, len(one), TILE):  # tiles, so that a large block's pairs are never all in memory
+            for d in range(c if x[a] == y[a] else 0, len(two), TILE):
+                i, j = one[c : c + TILE], two[d : d + TILE]
+                i, j = np.repeat(i, len(j)), np.tile(j, len(i))
+                if x[a] == y[a] and c == d:
+                    i, j = i[i < j], j[i < j]
+                if len(i):
+                    yield i, j
 
 
 def batched_pairs(groups, limit: int = 1 << 17):
@@ -214,17 +233,21 @@ def sigs_of(t: pa.Table) -> np.ndarray:
     return np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint16).reshape(-1, HASHES)
 
 
-def pruned(batches):
+def pruned(threshold: float):
     """Members of tasks that have a surviving pair."""
-    for t in grouped(batches, TASK):
-        key, x, y, block, band = (np.asarray(t[c]) for c in (*TASK, "block", "band"))
-        sigs, alive = sigs_of(t), np.zeros(len(key), bool)
-        for i, j in batched_pairs(candidate_pairs(key, x, y, block)):
-            s = surviving(sigs, i, j, band[i])
-            alive[i[s]] = True
-            alive[j[s]] = True
-        t = t.select(["rid", "n_sh", "copies", "sig", "key", "band", "block", "x", "y"]).filter(pa.array(alive))
-        yield from t.combine_chunks().to_batches()
+
+    def run(batches):
+        for t in grouped(batches, TASK):
+            key, x, y, block, band = (np.asarray(t[c]) for c in (*TASK, "block", "band"))
+            sigs, alive = sigs_of(t), np.zeros(len(key), bool)
+            for i, j in batched_pairs(candidate_pairs(key, x, y, block)):
+                s = surviving(sigs, i, j, band[i], threshold)
+                alive[i[s]] = True
+                alive[j[s]] = True
+            t = t.select(["rid", "n_sh", "copies", "sig", "key", "band", "block", "x", "y"]).filter(pa.array(alive))
+            yield from t.combine_chunks().to_batches()
+
+    return run
 
 
 def overlaps(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -272,7 +295,7 @@ def verified(threshold: float):
                 return k
 
             for i, j in candidate_pairs(key, x, y, block):
-                s = surviving(sigs, i, j, band[i])
+                s = surviving(sigs, i, j, band[i], threshold)
                 if not len(s):
                     continue
                 i, j = i[s], j[s]
@@ -309,13 +332,16 @@ def components(edges: DataFrame) -> DataFrame:
     e = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     state = None
     while True:
+        old = e
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "minima")
         e = both.where("v > u").join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         e = written(e, "edges")
-        low = written(e.groupBy("u").agg(F.min("v").alias("m")), "minima")
+        released(old, low)
+        old, low = e, written(e.groupBy("u").agg(F.min("v").alias("m")), "minima")
         e = e.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         e = written(e, "edges")
+        released(old, low)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state or not now[0]:
             return e.select(F.col("u").alias("node"), F.col("v").alias("label"))
@@ -331,10 +357,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     words are copies. n_links: other documents linked with this one, copies included; n_text_links: other
     texts linked; class_id: the smallest id connected by links (nulls last). A text that is null or has no
     word has no links and is a class of its own. Repeated rows are copies; the first row of a class is that
-    with the smallest id, then the earliest. ``threshold`` below 0.8 would need other bands.
+    with the smallest id, then the earliest. Very long texts are compared whole; an empty table has no row; columns
+    of ``docs`` with the names of added ones stay, and the added ones get free names. A ``threshold`` below 0.8 takes
+    shorter keys; one too low for HASHES values raises ValueError.
+
+    A key of m different texts costs m^1.5 / 2 rows of shuffle and time in m^2, as the exact number of links of m
+    texts that are all alike is that of their pairs.
     """
     keep = [id_col] if keep is None else keep
-    rows, own = prepared(docs, text_col, keep)
+    rows, own = prepared(docs, text_col, keep, rows_for(threshold))
     rid, fp, n_sh, sig, bands, words = own
     base = rows.select(quoted(rid).alias("rid"), quoted(fp).alias("fp"), quoted(id_col).alias("id"))
     multiple = base.where("fp IS NOT NULL").groupBy("fp").agg(F.min("rid").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
@@ -345,27 +376,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     data = rows.where(quoted(fp).isNotNull()).select(quoted(rid).alias("rid"), quoted(n_sh).alias("n_sh"), quoted(bands).alias("bands"))
     keyed = written(data.join(reps, "rid").select("rid", "n_sh", "copies", F.posexplode("bands").alias("band", "key")), "ngram-keys")
     shared = keyed.groupBy("key").agg(F.count("*").alias("m"), F.sum("n_sh").alias("total")).where("m > 1")
-    blocks = F.greatest(F.ceil(F.col("m") / BLOCK_MEMBERS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
+    size = F.least(F.greatest(F.lit(BLOCK_MEMBERS), SPREAD * F.sqrt("m")), F.lit(BLOCK_LARGEST))
+    blocks = F.greatest(F.ceil(F.col("m") / size), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
     dealt = keyed.join(shared, "key").select("rid", "n_sh", "copies", "band", "key", blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("rid", "key"), F.col("blocks")).cast("int"))
     sigs = rows.where(quoted(fp).isNotNull()).select(quoted(rid).alias("rid"), quoted(sig).alias("sig"))
     dealt = written(dealt, "ngram-dealt")
+    released(keyed)
     tasks = dealt.join(sigs, "rid").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tasks = tasks.select("rid", "n_sh", "copies", "sig", "key", "band", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     schema = "rid long, n_sh long, copies long, sig binary, key long, band int, block int, x int, y int"
-    alive = written(tasks.repartition(n, *TASK).sortWithinPartitions(*TASK).mapInArrow(pruned, schema), "ngram-alive")
+    alive = written(tasks.repartition(n, *TASK).sortWithinPartitions(*TASK).mapInArrow(pruned(threshold), schema), "ngram-alive")
+    released(dealt)
 
     bodies = rows.where(quoted(fp).isNotNull()).select(quoted(rid).alias("rid"), quoted(words).alias("body"))
     linked = alive.join(bodies, "rid").repartition(n, *TASK).sortWithinPartitions(*TASK).mapInArrow(verified(threshold), "rid long, root long, texts long, docs long")
     linked = written(linked, "ngram-links")
+    released(alive)
 
     labels = components(linked.select(F.col("rid").alias("u"), F.col("root").alias("v")))
     counts = linked.groupBy("rid").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
     # one row per linked representative, written so that the join with the members can split a large group
     info = written(counts.join(labels.withColumnRenamed("node", "rid"), "rid", "left").withColumnRenamed("rid", "rep"), "ngram-linked")
+    released(linked)
     out = members.join(info, "rep", "left")
     out = out.withColumn("label", F.coalesce("label", "rep"))
     out = written(out, "ngram-classes")
+    released(info, multiple)
     order = F.struct(F.col("id").isNull(), F.col("id"), F.col("rid"))
     first = out.groupBy("label").agg(F.min(order).alias("first"))
     # written, so that both sides of the join below are plain shuffles and a large class can be split

@@ -70,6 +70,8 @@ def test_large_group_is_dealt_into_blocks(make, monkeypatch):
     rng = random.Random(6)
     base = [f"w{rng.randint(0, 900)}" for _ in range(300)]
     monkeypatch.setattr(N, "BLOCK_MEMBERS", 16)
+    monkeypatch.setattr(N, "SPREAD", 1)
+    monkeypatch.setattr(N, "TILE", 7)
     compare(make([edited(rng, base, 3) for _ in range(120)] + [" ".join(base)] * 30).repartition(4))
 
 
@@ -98,5 +100,58 @@ def test_pruning_bound(n):
     assert N.least_matches(n) > 0
 
 
-def test_candidate_recall_at_the_threshold():
-    assert (1 - 0.8**N.ROWS) ** N.BANDS < 2e-7
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.7, 0.8, 0.95])
+def test_candidate_recall_at_the_threshold(threshold):
+    rows = N.rows_for(threshold)
+    assert (1 - threshold**rows) ** (N.HASHES // rows) < 1e-6
+
+
+def test_threshold_too_low(make):
+    with pytest.raises(ValueError):
+        N.near_duplicates(make(["a"]), threshold=0.05)
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.9])
+def test_other_thresholds(make, threshold):
+    rng = random.Random(15)
+    texts = []
+    for g in range(12):
+        base = [f"w{rng.randint(0, 3000)}" for _ in range(120)]
+        texts += [edited(rng, base, rng.choice([0, 1, 2, 5, 8])) for _ in range(6)]
+    sets = [shingles(t) for t in texts]
+    want = [sum(len(a & b) / len(a | b) >= threshold for b in sets) - 1 for a in sets]
+    got = {r.doc_id: r.n_links for r in N.near_duplicates(make(texts), threshold=threshold).collect()}
+    assert got == dict(enumerate(want)) and sum(want)
+
+
+def test_tables_are_removed(spark, make):
+    from kestrelq.llm import common
+
+    before = len(common._held)
+    out = common.settled_table(lambda: N.deduplicated(make(["a b c d e f", "a b c d e f", "x"])), "dedup")
+    assert len(common._held) == before + 1 and out.count() == 2
+    common.released(out)
+    assert len(common._held) == before
+
+
+def test_shared_folder_is_needed(spark, monkeypatch):
+    """Neither setting: a local session gets a folder of its own, a cluster an error."""
+    from kestrelq.llm import common
+
+    class Context:
+        master, folder = "spark://host:7077", None
+        getCheckpointDir = lambda self: self.folder
+
+        def setCheckpointDir(self, folder):
+            self.folder = folder
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.scratch(Session, "x")
+    Session.sparkContext.folder = "hdfs://x/y"
+    assert common.scratch(Session, "x").startswith("hdfs://x/y/x-")
+    Session.sparkContext.folder, Context.master = None, "local[2]"
+    assert common.scratch(Session, "x").startswith("file:")
