@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import gc
 import os
 import tempfile
@@ -109,10 +111,28 @@ def pieces(batch: pa.RecordBatch, col: str, limit: int = BATCH_BYTES) -> Iterato
         yield batch.slice(int(a), int(b - a))
 
 
+@functools.cache
+def one_thread() -> None:
+    """Keeps matrix products of this worker process on the task's one core: the library's other threads would
+    spin there and speed nothing up at these sizes. Does nothing where the library can't be told."""
+    try:
+        with open("/proc/self/maps") as maps:
+            paths = {line.split()[-1] for line in maps if "openblas" in line}
+    except OSError:
+        return
+    for path in paths:
+        library = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+                break
+
+
 def arrow_map(f: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], col: str) -> Callable:
     """``f`` per byte-balanced part of every incoming batch, for mapInArrow."""
 
     def run(batches):
+        one_thread()
         for batch in batches:
             for part in pieces(batch, col):
                 yield from f(part)

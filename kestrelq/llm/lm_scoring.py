@@ -32,10 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from kestrelq.llm.common import LOWER, arrow_map, body, held_out, pieces, quoted, written
+from kestrelq.llm.common import LOWER, arrow_map, body, held_out, one_thread, pieces, quoted, written
 
 #: Words with a class of their own, surface classes, words with broadcast counts (of LONG bytes at most).
-WORDS, SURFACES, HEAD, LONG = 391, 120, 65_536, 64
+WORDS, SURFACES, HEAD, LONG = 391, 120, 262_144, 64
 SYMBOLS = WORDS + SURFACES
 #: An own word's least count, and the same as a share of the square root of the tokens, whichever is more.
 OWN, OWN_SHARE = 20, 0.02
@@ -49,7 +49,7 @@ SHARED, LONGEST = 0.1, 0.5
 #: Tokens of a training task for each row of parameters that it may return, so that sums stay small beside texts.
 TOKENS_A_ROW = 16
 #: Positions whose scores are computed at once.
-BLOCK = 1 << 16
+BLOCK = 1 << 17
 #: Distinct words that a counting worker holds before it passes them on.
 HELD = 150_000
 
@@ -80,7 +80,7 @@ class Vocabulary:
     """Head words' counts and classes, and the totals of the surface classes."""
 
     def __init__(self, head: list[tuple[bytes, int]], totals: dict[int, tuple[int, int]], n: int, v: int):
-        self.n, self.v = n, v
+        self.n, self.v, self._lookup = n, v, None
         words = [w for w, _ in head[:WORDS]]
         if END not in words and any(w == END for w, _ in head):
             words[-1] = END
@@ -94,6 +94,12 @@ class Vocabulary:
         self.members = np.bincount([surface(w) for w in self.others], [self.count[w] for w in self.others], SURFACES)
         self.share_base = np.log10(self.totals.sum(1) + 1)  # add-one over the class' words and an unknown one
 
+    def lookup(self) -> Lookup:
+        """Built once in a worker process, which keeps broadcast objects over its tasks."""
+        if self._lookup is None:
+            self._lookup = Lookup(self)
+        return self._lookup
+
 
 def threshold(n: int) -> float:
     """Least count of a word with vectors of its own, among ``n`` tokens."""
@@ -315,15 +321,18 @@ def gradient(m: Model, grad: Model, numbers, noises: tuple[Noise, Noise], rng: n
 
 def log_sums(h: np.ndarray, q: np.ndarray, b: np.ndarray) -> np.ndarray:
     """log of the sum of exp(h . q + b) over the rows of q, in blocks of bounded size."""
-    out, size = np.empty(len(h), np.float32), max(1, (1 << 18) // len(q))
-    q = np.ascontiguousarray(q.T)
-    for k in range(0, len(h), size):
-        s = h[k : k + size] @ q
-        s += b
-        top = s.max(1)
-        s -= top[:, None]
-        np.exp(s, out=s)
-        out[k : k + size] = np.log(s.sum(1)) + top
+    out, size = np.empty(len(h), np.float32), max(1, (1 << 17) // len(q))
+    h = np.concatenate((h, np.ones((len(h), 1), np.float32)), 1)
+    q = np.concatenate((q, b[:, None]), 1).T.copy()
+    ones = np.ones(q.shape[1], np.float32)
+    with np.errstate(over="ignore", divide="ignore"):
+        for k in range(0, len(h), size):
+            s = h[k : k + size] @ q
+            np.exp(s, out=s)
+            out[k : k + size] = np.log(s @ ones)
+    for k in np.flatnonzero(~np.isfinite(out)):  # beyond the range of single precision
+        s = (h[k] @ q).astype(np.float64)
+        out[k] = s.max() + np.log(np.exp(s - s.max()).sum())
     return out
 
 
@@ -353,6 +362,7 @@ def trained(encoded: DataFrame, lookup: Lookup, unigram: np.ndarray, members: np
         begin = spark.sparkContext.broadcast(model.p)
 
         def run(batches, begin=begin, k=k):
+            one_thread()
             now, (group, row, one, two) = Model(begin.value, m), fixed.value
             grad, noises = Model(np.zeros_like(now.p), m), (Noise(one), Noise(two))
             seen = 0
@@ -479,7 +489,7 @@ def encode(rows: DataFrame, vocabulary: Vocabulary, number: np.dtype) -> DataFra
         from pyspark import TaskContext
 
         voc = shared.value
-        lookup = Lookup(voc)
+        lookup = voc.lookup()
         row = TaskContext.get().partitionId() << 36
         log_v = math.log10(voc.n + voc.v + 1)
         logs = np.append(lookup.logs, 0.0)  # -1: no rank

@@ -82,8 +82,10 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", me
     """id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature per row;
     with ``media`` and ``codes`` the stored form and the fingerprint array too.
 
-    A null or empty text is one unit of zero bytes. Equal texts have equal values whatever their ids;
-    repeated rows give a row each. Other columns are not read.
+    A null or empty text is one unit of zero bytes. Very long texts are transformed whole, in blocks of frames; of
+    equally loud peaks the lower one counts. Equal texts have equal values whatever their ids; texts of a few frames
+    with the same peaks share a feature (and no digest). Repeated rows give a row each, an empty table none. Other
+    columns, whatever their names, are not read.
     """
     rows = docs.select(quoted(id_col).alias("id"), body(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructType
 
-from kestrelq.llm.common import WORDS, arrow_map, body, free_name, quoted, released, written
+from kestrelq.llm.common import WORDS, arrow_map, body, free_name, one_thread, quoted, released, written
 
 SHINGLE, THRESHOLD = 5, 0.8
 HASHES = 120
@@ -281,6 +281,7 @@ def verified(threshold: float):
     def run(batches):
         import zstandard
 
+        one_thread()
         hashes, press = WordHashes(), zstandard.ZstdDecompressor()
         for t in grouped(batches, TASK):
             key, x, y, block, band, rid, copies = (np.asarray(t[c]) for c in (*TASK, "block", "band", "rid", "copies"))

@@ -66,7 +66,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.features(table(spark, sf_dir, "documents"))
+    return media.features(table(spark, sf_dir, "documents"), codes=True)
 
 
 @query

@@ -22,9 +22,11 @@ from kestrelq.llm.common import WORDS, arrow_map, body, free_name, held_out, quo
 #: Words of a window and between window starts; hidden units a direction; embedding widths.
 WINDOW, STRIDE, HIDDEN, WORD_DIM, GRAM_DIM = 48, 24, 8, 6, 6
 INPUT = WORD_DIM + GRAM_DIM + 3
-#: Labelled sample: rows of each label at most (those of the smallest hashes of the id), bytes of a text in
-#: it at most. Sizes of the word and n-gram vocabularies.
-SAMPLE, SAMPLE_BYTES, VOCABULARY, GRAMS = 1500, 30_000, 4000, 6000
+#: Labelled sample: rows of each label at most (those of the smallest hashes of the id), bytes of a text in it at
+#: most: of a longer one, PARTS parts that are evenly spread over it, its start and end among them, are learnt from.
+SAMPLE, SAMPLE_BYTES, PARTS = 1500, 30_000, 10
+#: Words and character n-grams with embeddings and log-odds, at most: those that tell the labels apart best.
+VOCABULARY, GRAMS = 4000, 6000
 ROUNDS, STEPS, BATCH, RATE, SEED = 4, 80, 128, 0.01, 3
 #: Buckets of hashed character n-grams.
 BUCKET_BITS = 21
@@ -316,8 +318,8 @@ def fit(texts: list[bytes], labels: list[int]) -> Network | None:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, mod: int, remainder: int) -> tuple[list[bytes], list[int]]:
-    """At most SAMPLE training rows of each label. Ids are drawn from the labels alone; the texts of these
-    few then come by a join that broadcasts at most twice SAMPLE ids."""
+    """At most SAMPLE training rows of each label, SAMPLE_BYTES of each. Ids are drawn from the labels alone; the
+    texts of these few then come by a join that broadcasts at most twice SAMPLE ids."""
     ids = labels.where(quoted(label_col).isin(0, 1) & quoted(id_col).isNotNull() & ~held_out(id_col, mod, remainder)).groupBy(quoted(id_col).alias("id")).agg(F.max(quoted(label_col)).alias("y"))
     spark, drawn = docs.sparkSession, []
     for y in (0, 1):
@@ -325,7 +327,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     if not drawn:
         return [], []
     few = spark.createDataFrame(drawn, StructType([docs.schema[id_col]]).add("y", IntegerType()))
-    rows = docs.select(quoted(id_col), body(text_col).alias("x")).where(F.length("x") <= SAMPLE_BYTES).join(F.broadcast(few), id_col).select("x", "y")
+    size = SAMPLE_BYTES // PARTS
+    part = lambda k: F.substring("x", (F.floor((F.length("x") - size) * k / (PARTS - 1)) + 1).cast("int"), F.lit(size))
+    spread = F.concat(*(x for k in range(PARTS) for x in (part(k), F.lit(b" "))))
+    rows = docs.select(quoted(id_col), body(text_col).alias("x")).join(F.broadcast(few), id_col)
+    rows = rows.select(F.when(F.length("x") <= SAMPLE_BYTES, F.col("x")).otherwise(spread).alias("x"), "y")
     got = sorted({(bytes(r["x"]), r["y"]) for r in rows.collect()})
     return [t for t, _ in got], [y for _, y in got]
 
@@ -352,16 +358,19 @@ def scored(docs: DataFrame, labels: DataFrame, keep: list[str], id_col: str, tex
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", mod: int = 5, remainder: int = 0) -> DataFrame:
     """id, held_out, score, predicted per row of ``docs``; labels of held-out ids are never read.
 
-    A null or empty text is one empty window and has the network's score for it. Repeated rows have equal
+    A null or empty text is one empty window and has the network's score for it. A very long text is scored in all
+    its windows; of windows of equal scores it does not matter which counts. Repeated rows have equal
     scores; an id that is labelled twice counts as toxic if either is. Without training rows of both labels
-    every score is 0. Only the text enters a score.
+    every score is 0. An empty table has no row. Only the text enters a score; other columns, whatever their names,
+    are not read.
     """
     out = scored(docs, labels, [id_col], id_col, text_col, label_col, mod, remainder, "score")
     return out.select(quoted(id_col), held_out(id_col, mod, remainder).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, limit: float = 0.5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", mod: int = 5, remainder: int = 0) -> DataFrame:
-    """``docs`` without the rows that score ``limit`` or more. All columns stay."""
+    """``docs`` without the rows that score ``limit`` or more; nulls, long texts, repeated rows and an empty table as
+    in ``score``. All columns stay, whatever their names."""
     name = free_name(docs, "toxic_score")
     out = scored(docs, labels, list(docs.columns), id_col, text_col, label_col, mod, remainder, name)
     return out.where(quoted(name) < limit).drop(name)

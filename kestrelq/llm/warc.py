@@ -23,6 +23,10 @@ from kestrelq.llm.common import BATCH_BYTES, body, quoted, scratch, written
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 #: Payloads below this are always stored; file bytes of a reading task; bytes of one read.
 REVISIT_BYTES, SPLIT_BYTES, READ_BYTES = 100, 4 << 20, 1 << 20
+#: Ranges that a reading task takes when there are many; up to SPREAD_TASKS tasks have one each.
+RANGES_A_TASK, SPREAD_TASKS = 32, 200
+#: Characters of an address that are stored as they are: what ASCII prints, but for the sign that begins an escape.
+PLAIN = "".join(chr(c) for c in range(33, 127) if chr(c) != "%")
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
@@ -49,7 +53,7 @@ def record(kind: str, page_id, url: str | None, digest: str, length: int, payloa
     if page_id is not None:
         head.append(f"X-Page-ID: {page_id}")
     if url is not None:
-        head.append("WARC-Target-URI: " + urllib.parse.quote(url, safe="".join(map(chr, range(33, 127)))))
+        head.append("WARC-Target-URI: " + urllib.parse.quote(url, safe=PLAIN))
     if kind == "revisit":
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page: {refers_to}"]
     plain = "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -61,15 +65,22 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     """Writes one archive per task into ``folder`` and returns the manifest (path, size, records).
 
     Of records with equal payloads of REVISIT_BYTES or more, that with the smallest id is a response (all
-    rows with that id, if it repeats) and the others revisit it. A null html is an empty payload; a row
-    with a null id is a response, as it can't be told from others. A retried task writes a file of another
-    name; files that no manifest row names are never read.
+    rows with that id, if it repeats) and the others revisit it. A null html is an empty payload, a null url stays
+    null; a row with a null id is a response, as it can't be told from others. Very long payloads are one record.
+    An empty table has an empty manifest; other columns, whatever their names, are not read. A retried task writes
+    a file of another name; files that no manifest row names are never read.
+
+    Payloads stay where they are while the table of repeated digests, which is written first, is below Spark's
+    broadcast threshold; beyond it Spark joins by a shuffle.
     """
     rows = pages.select(quoted(id_col).cast("long").alias("id"), quoted(url_col).cast("string").alias("url"), body(html_col).alias("html"))
     rows = rows.withColumn("digest", F.sha2("html", 256))
     # digests and ids only: the payloads do not move for this
-    first = rows.where(F.octet_length("html") >= REVISIT_BYTES).groupBy("digest").agg(F.min("id").alias("first"), F.count("id").alias("copies")).where("copies > 1").drop("copies")
-    rows = rows.join(first, "digest", "left")
+    first = rows.where(F.octet_length("html") >= REVISIT_BYTES).groupBy("digest").agg(F.min("id").alias("first"), F.count("id").alias("copies")).where("copies > 1").select(F.col("digest").alias("key"), "first")
+    first = written(first, "warc-repeats")  # its size is known when the join is planned
+    # payloads that are always stored have no partner, and keys that do not meet
+    key = F.when(F.octet_length("html") >= REVISIT_BYTES, F.col("digest")).otherwise(F.concat(F.lit("-"), F.pmod(F.monotonically_increasing_id(), F.lit(4096))))
+    rows = rows.withColumn("key", key).join(first, "key", "left").drop("key")
 
     def run(batches):
         fs, base = file_system(folder)
@@ -149,10 +160,11 @@ def read_range(file, size: int, start: int, end: int):
 
 def read(manifest: DataFrame, split: int = SPLIT_BYTES) -> DataFrame:
     """page_id, url, record_type, refers_to, payload_digest, payload_bytes, payload per record of the
-    manifest's files. A revisit's digest and length are those of the payload that it refers to."""
+    manifest's files. A revisit's digest and length are those of the payload that it refers to. A record longer than
+    a range is read past its end by the task in whose range it starts; an empty manifest has no record."""
     ranges = manifest.select("path", "size", F.explode(F.expr(f"sequence(0L, greatest(size - 1, 0L), {split}L)")).alias("start"))
     n = max(1, ranges.count())  # files and ranges are few beside records
-    ranges = ranges.repartition(min(n, 10_000), "path", "start")
+    ranges = ranges.repartition(min(n, max(SPREAD_TASKS, n // RANGES_A_TASK)), "path", "start")
 
     def run(batches):
         names = ("page_id", "url", "record_type", "refers_to", "payload_digest", "payload_bytes", "payload")

@@ -15,7 +15,7 @@ SCHEMA = "page_id long, url string, html string, text string, salt string"
 def page_rows():
     big = "<p>" + "long text " * 200_000 + "</p>"
     magic = "\x1f\u008b\x08 WARC/1.1 \r\n\r\n " * 30
-    return [(0, "http://a.example/é b", None, "x", "y"), (1, None, "", None, None), (2, "u", "same" * 30, None, None), (3, "u", "same" * 30, None, None), (4, "u", "tiny", None, None), (5, "u", "tiny", None, None), (6, "u", big, None, None), (7, "u", magic, None, None), (2, "u", "same" * 30, None, None), (None, "u", "same" * 30, None, None), (8, "line\r\nbreak", "東京 🙂" * 40, None, None)]
+    return [(0, "http://a.example/é b", None, "x", "y"), (1, None, "", None, None), (2, "u", "same" * 30, None, None), (3, "u", "same" * 30, None, None), (4, "u", "tiny", None, None), (5, "u", "tiny", None, None), (6, "u", big, None, None), (7, "u", magic, None, None), (2, "u", "same" * 30, None, None), (None, "u", "same" * 30, None, None), (8, "line\r\nbreak", "東京 🙂" * 40, None, None), (9, "http://a/b%20c?x=%C3%A9&y=é %", "z" * 200, None, None), (10, None, "no address " * 20, None, None)]
 
 
 @pytest.mark.parametrize("split", [257, 4 << 20])

@@ -175,3 +175,35 @@ def test_media_round_trip(awkward, nothing):
         assert by_text.setdefault(texts[r.doc_id], r.feature) == r.feature
         assert sorted(r.fingerprint) == r.fingerprint
     assert by_text[""] != by_text[max(texts.values(), key=len)]
+
+
+def plain_fingerprint(samples):
+    """Peaks and pairs by the definition of the transform, one frame at a time."""
+    import math
+
+    n = max(1, -(-(len(samples) - M.FRAME) // M.HOP) + 1)
+    x = [s - 128 for s in samples] + [0] * ((n - 1) * M.HOP + M.FRAME - len(samples))
+    window = [0.5 - 0.5 * math.cos(2 * math.pi * k / (M.FRAME - 1)) for k in range(M.FRAME)]
+    frames = []
+    for f in range(n):
+        part = x[f * M.HOP : f * M.HOP + M.FRAME]
+        mean = sum(part) / M.FRAME
+        part = [(v - mean) * w for v, w in zip(part, window)]
+        power = [abs(sum(v * complex(math.cos(2 * math.pi * b * k / M.FRAME), -math.sin(2 * math.pi * b * k / M.FRAME)) for k, v in enumerate(part))) for b in range(M.FRAME // 2 + 1)]
+        best = [max(range(lo, hi), key=lambda b: power[b]) for lo, hi in M.BANDS]
+        top = sorted(best, key=lambda b: -power[b])[:2]
+        frames.append((top, power[top[0]] > 1e-3))
+    out = []
+    for d in range(M.REACH + 1):
+        for f in range(n - d):
+            if frames[f][1] and frames[f + d][1]:
+                out.append(f << 32 | frames[f][0][0] << 20 | (frames[f + d][0][0] if d else frames[f][0][1]) << 8 | d)
+    return sorted(out)
+
+
+def test_fingerprint_equals_the_plain_transform(make):
+    rng = random.Random(21)
+    texts = ["".join(rng.choices("abcdefgh ,.\nXYZ", k=n)) for n in (1, 200, 300, 700, 1500)] + ["ab" * 300, ""]
+    got = {r.doc_id: r.fingerprint for r in M.features(make(texts), codes=True).collect()}
+    for k, t in enumerate(texts):
+        assert got[k] == plain_fingerprint(M.payload_of(t.encode())), k
