@@ -35,19 +35,19 @@ from pyspark.sql.types import DoubleType, StructType
 from kestrelq.llm.common import LOWER, arrow_map, body, held_out, one_thread, pieces, quoted, written
 
 #: Words with a class of their own, surface classes, words with broadcast counts (of LONG bytes at most).
-WORDS, SURFACES, HEAD, LONG = 391, 120, 262_144, 64
+WORDS, SURFACES, HEAD, LONG = 127, 180, 262_144, 64
 SYMBOLS = WORDS + SURFACES
 #: An own word's least count, and the same as a share of the square root of the tokens, whichever is more.
-OWN, OWN_SHARE = 20, 0.02
+OWN, OWN_SHARE = 20, 0.06
 #: Dimensions, noise samples a batch of positions, positions a batch.
-DIM, NOISE, BATCH = 16, 64, 2048
+DIM, NOISE, BATCH = 16, 32, 768
 #: Synchronous rounds, longest step of a parameter, rounds over which the step grows to it (it falls as a cosine
 #: later), memory of the gradient's mean and of its square, size of a summed gradient that counts as evidence.
-ROUNDS, STEP, WARM, MEAN, SQUARE, EVIDENCE = 24, 0.3, 5, 0.5, 0.8, 10.0
+ROUNDS, STEP, WARM, MEAN, SQUARE, EVIDENCE = 24, 0.4, 4, 0.3, 0.8, 10.0
 #: Share of the step for C1 and C2, on which every position pulls; longest move of a row in a round.
 SHARED, LONGEST = 0.1, 0.5
 #: Tokens of a training task for each row of parameters that it may return, so that sums stay small beside texts.
-TOKENS_A_ROW = 16
+TOKENS_A_ROW = 32
 #: Positions whose scores are computed at once.
 BLOCK = 1 << 17
 #: Distinct words that a counting worker holds before it passes them on.
@@ -73,7 +73,8 @@ def surface(word: bytes) -> int:
         end, tail = 0, word[-3:]
     else:
         end, tail = 1 if last == b"," else 2, word[-4:-1]
-    return end * 40 + (tail[0] * 31 + tail[-1] * 7 + len(tail) + 5 * (not tail.isascii())) % 40 if tail else end * 40
+    each = SURFACES // 3
+    return end * each + (tail[0] * 31 + tail[-1] * 7 + len(tail) + 5 * (not tail.isascii())) % each if tail else end * each
 
 
 class Vocabulary:
