@@ -7,6 +7,7 @@ import random
 import pytest
 
 from kestrelq.llm import html_extract as H
+from kestrelq.llm import queries as Q
 from kestrelq.llm import warc as W
 
 SCHEMA = "page_id long, url string, html string, text string, salt string"
@@ -53,6 +54,15 @@ def test_empty_table(spark):
     assert W.round_trip(df).count() == 0 and H.extract(df).count() == 0
 
 
+def main_texts(pages_blocks):
+    """The main text of every page of a host that is one chunk, by the operator's own parts."""
+    around = [H.outside(found) for found in pages_blocks]
+    keys, pages, _ = H.substrings([t for t, _ in around], [j for _, j in around])
+    keys = keys[pages >= H.PAGES]
+    texts = [H.settled(found) for found in pages_blocks]
+    return [H.judged_text(*H.candidates(found), keys) if t is None else t for t, found in zip(texts, pages_blocks)]
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <nav><ul><li><a href="/x">Menu</a></li></ul></nav><!-- c --><div class="ad">Buy this now</div>
 <article><h1>Head &amp; line</h1><p><b>First  para<br><p>Second &lt;b&gt; para.</p><aside>Side</aside><p>Third</p><div class="comments"><p>Nice!</p></div></article>
@@ -60,19 +70,19 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 
 
 def test_blocks_by_structure():
-    assert H.main_texts([H.blocks(PAGE)]) == ["Head & line\nFirst para\nSecond <b> para.\nThird"]
+    assert main_texts([H.blocks(PAGE)]) == ["Head & line\nFirst para\nSecond <b> para.\nThird"]
 
 
 def test_repeated_blocks_of_pages_without_article():
     shell = "<body><div>Cookies are used on this site for all of you</div><div>{}</div><div>Follow us</div></body>"
     pages = [shell.format(f"Unique story number {k} about topic {k * 7} and some more words") for k in range(4)]
-    assert H.main_texts([H.blocks(p) for p in pages]) == [f"Unique story number {k} about topic {k * 7} and some more words" for k in range(4)]
+    assert main_texts([H.blocks(p) for p in pages]) == [f"Unique story number {k} about topic {k * 7} and some more words" for k in range(4)]
 
 
 def test_marks_are_whole_attributes():
     for plain in (' style="overflow:hidden"', ' title="hidden gems"', ' data-id="share"', ' data-class=ad', " alt='a class=\"ad\" b'", ' href=/hidden', ' title="x > id=ad"'):
         assert not H.unwanted("div", plain), plain
-        assert H.main_texts([H.blocks(f"<article><div{plain}>Text</div></article>")]) == ["Text"], plain
+        assert main_texts([H.blocks(f"<article><div{plain}>Text</div></article>")]) == ["Text"], plain
     for marked in (" hidden", ' HIDDEN=""', ' class="x ad-box"', " id=share", ' style="a:b" class = \'ad\'', ' aria-hidden="true"', ' role=banner', ' title="a"class="ad"'):
         assert H.unwanted("div", marked), marked
 
@@ -83,28 +93,58 @@ def test_text_beside_a_teaser_article_is_judged(spark):
     want = [f"Teaser {k}\nUnique story number {k} about topic x{k} and some more words" for k in range(4)]
     rows = [(k, "http://host.example/x", p, None, None) for k, p in enumerate(pages)]
     got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, SCHEMA).repartition(2)).collect()}
-    assert got == dict(enumerate(want)) and H.main_texts([H.blocks(p) for p in pages]) == want
-
+    assert got == dict(enumerate(want)) and main_texts([H.blocks(p) for p in pages]) == want
 
-def test_repeated_marks_equal_brute_force():
-    import numpy as np
 
+def test_repeats_equal_brute_force():
+    """Keys, page counts and flags of a chunk's substrings against a plain count of its runs of LEAST tokens."""
     rng = random.Random(3)
     for _ in range(40):
-        n = rng.randint(1, 60)
-        stream = np.array([rng.randint(0, 2) for _ in range(n)])
-        page = np.sort(np.array([rng.randint(0, 3) for _ in range(n)]))
-        least = rng.randint(2, 5)
-        got = H.repeated(stream, page, least, 2)
-        where = {}
-        for i in range(n - least + 1):
-            where.setdefault(tuple(stream[i : i + least]), []).append(i)
-        want = np.zeros(n, bool)
-        for at in where.values():
-            if len({page[i] for i in at}) >= 2:
-                for i in at:
-                    want[i : i + least] = True
-        assert (got == want).all()
+        pages = [[" ".join(rng.choices("abc", k=rng.randint(1, 14))) for _ in range(rng.randint(0, 4))] for _ in range(rng.randint(1, 5))]
+        judged = [[rng.random() < 0.5 for _ in p] for p in pages]
+        keys, n, asked = H.substrings(pages, judged)
+        where, flags = {}, {}
+        for k, (texts, marks) in enumerate(zip(pages, judged)):
+            for text, mark in zip(texts, marks):
+                t = text.split(" ") + [""] * max(0, H.LEAST - len(text.split(" ")))
+                for i in range(len(t) - H.LEAST + 1):
+                    where.setdefault(tuple(t[i : i + H.LEAST]), set()).add(k)
+                    flags[tuple(t[i : i + H.LEAST])] = flags.get(tuple(t[i : i + H.LEAST]), False) or mark
+        assert len(set(keys.tolist())) == len(keys) == len(where)
+        assert sorted(n.tolist()) == sorted(map(len, where.values()))
+        assert sorted(zip(n.tolist(), asked.tolist())) == sorted((len(v), flags[w]) for w, v in where.items())
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ('<article>Text <x( class="ad">advert</x(> more</article>', "Text more"),
+        ("<html><head><title>t</title><body><article>Body text</article>", "Body text"),
+        ("<head><meta charset=x><p>Plain", "Plain"),
+        ('<article><ul><li class="ad">Advert<li>One<li>Two</ul></article>', "One\nTwo"),
+        ('<article><dl><dt>T<dd class="ad">Advert<dt>U<dd>V</dl></article>', "T\nU\nV"),
+        ('<article><table><tr><td class="ad">Advert<td>One<tr><td>Two</table></article>', "One\nTwo"),
+        ('<article><p class="ad">Advert<div>Story</div></article>', "Story"),
+        ('<article>One</article><article>Two</article><nav>Menu</nav>', "One\nTwo"),
+        ('<article><a title="x > y" href=\'q"\'>Link</a> and a < b, "quoted</article>', 'Link and a < b, "quoted'),
+        ('<article>A <b title="unclosed>bold</b> text</article>', "A bold text"),
+        ("<article>End <!-- unclosed > comment</article>", "End"),
+        ("<article>1 <", "1 <"),
+        ("<article><ul><li>a<ul><li>b</ul><li>c</ul></article>", "a\nb\nc"),
+    ],
+)
+def test_awkward_markup(page, want):
+    assert main_texts([H.blocks(page)]) == [want]
+
+
+@pytest.mark.parametrize("part", ["<a ", '<a "', "<a '\"", '<b class="ad">', "<x( class=ad>", "<!--", "<li>", "<p>", "<", "</p>", '<a b="c" ', "<td>x", '"><a "', "<div>", "<div></p>", "<div><li>"])
+def test_parsing_takes_linear_time(part):
+    import time
+
+    page = "<article>" + part * (500_000 // len(part))
+    begin = time.process_time()
+    H.blocks(page)
+    assert time.process_time() - begin < 8
 
 
 def test_extract(spark):
@@ -121,7 +161,8 @@ def test_articles_of_the_test_pages(spark):
     import re
 
     df = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
-    got = {r.page_id: r.text for r in H.extract(df).collect()}
+    got = {r.page_id: r.text for r in Q.QUERIES["op6_html_extraction"](spark, "/root/testdata/sf0.001").collect()}
+    assert len(got) == df.count()
     for r in df.collect():
         article = re.search(r"<article>(.*?)</article>", r.html, re.S)
         blocks = re.split(r"</?p>|<br>|</?h1>", article[1] if article else "")
