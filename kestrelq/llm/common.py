@@ -42,11 +42,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """``df`` as a table in the shared folder. Cuts the lineage: lost executors cost no recomputation
     beyond it, and values that depend on task order are fixed from here on."""
     path = scratch(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").options(**options).parquet(path)
     _held.append(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.scratch_path = path

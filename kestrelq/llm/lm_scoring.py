@@ -21,13 +21,13 @@ cluster; they are joined.
 
 from __future__ import annotations
 
-import itertools
 import math
 import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
@@ -40,7 +40,7 @@ SYMBOLS = WORDS + SURFACES
 #: An own word's least count, and the same as a share of the square root of the tokens, whichever is more.
 OWN, OWN_SHARE = 20, 0.06
 #: Dimensions, noise samples a batch of positions, positions a batch.
-DIM, NOISE, BATCH = 16, 32, 768
+DIM, NOISE, BATCH = 16, 24, 768
 #: Synchronous rounds, longest step of a parameter, rounds over which the step grows to it (it falls as a cosine
 #: later), memory of the gradient's mean and of its square, size of a summed gradient that counts as evidence.
 ROUNDS, STEP, WARM, MEAN, SQUARE, EVIDENCE = 24, 0.4, 4, 0.3, 0.8, 10.0
@@ -48,6 +48,8 @@ ROUNDS, STEP, WARM, MEAN, SQUARE, EVIDENCE = 24, 0.4, 4, 0.3, 0.8, 10.0
 SHARED, LONGEST = 0.1, 0.5
 #: Tokens of a training task for each row of parameters that it may return, so that sums stay small beside texts.
 TOKENS_A_ROW = 32
+#: Rows of a page in the files of encoded texts: pages of other slices are passed over when a round reads its own.
+PAGE_ROWS = 200
 #: Positions whose scores are computed at once.
 BLOCK = 1 << 17
 #: Distinct words that a counting worker holds before it passes them on.
@@ -179,7 +181,7 @@ class Lookup:
     is its own number, BEGIN follows, and then the own words that are no class."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.rank = {w: i for i, w in enumerate(vocabulary.count)}
+        self.words = pa.array(list(vocabulary.count), pa.binary())
         own = vocabulary.symbol | {w: BEGIN + 1 + i for i, w in enumerate(vocabulary.others)}
         self.known = {w: surface(w) for w in vocabulary.others}
         m = len(vocabulary.others)
@@ -192,26 +194,37 @@ class Lookup:
         self.row = np.concatenate((np.full(WORDS, m + SURFACES), m + np.arange(SURFACES), [m + SURFACES], np.arange(m)))
         self.symbol = np.array([own[w] if w in own else WORDS + surface(w) for w in vocabulary.count], np.int64)
         self.logs = np.log10(np.array(list(vocabulary.count.values()), np.float64) + 1)
-        self.end = self.rank.get(END, -1)
 
-    def ranks(self, words: list[bytes]) -> np.ndarray:
-        """Ranks of the words and the end; -1 without one."""
-        out = np.empty(len(words) + 1, np.int64)
-        out[:-1] = np.fromiter(map(self.rank.get, words, itertools.repeat(-1)), np.int64, len(words))
-        out[-1] = self.end
-        return out
-
-    def symbols(self, words: list[bytes], ranks: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-        """Numbers of the words and the end, and the keys of the words without a rank."""
-        if not len(self.symbol):
-            keys = [*words, END]
-            return np.array([WORDS + surface(k) for k in keys], np.int64), keys
-        out = self.symbol[ranks]
-        rest = np.flatnonzero(ranks < 0).tolist()
-        keys = [words[k] if k < len(words) else END for k in rest]
-        if rest:
-            out[rest] = [WORDS + surface(k) for k in keys]
-        return out, keys
+    def ranks(self, words: pa.Array) -> np.ndarray:
+        """Ranks of the words; -1 without one."""
+        found = pa.compute.index_in(words, value_set=self.words)
+        return np.asarray(found.fill_null(-1), np.int64)
+
+    def symbols(self, words: pa.Array, ranks: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+        """Numbers of the words, and the words without a rank."""
+        rest = np.flatnonzero(ranks < 0)
+        tail = words.take(pa.array(rest))
+        out = self.symbol[ranks] if len(self.symbol) else np.empty(len(ranks), np.int64)
+        if len(rest):
+            out[rest] = [WORDS + surface(w) for w in tail.to_pylist()]
+        return out, tail
+
+
+def split_texts(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Keys of the words of all texts in order, each text followed by its end; the number of keys of each."""
+    lists = pa.compute.ascii_split_whitespace(pa.compute.ascii_lower(texts.cast(pa.string())))
+    words, sizes = lists.flatten().cast(pa.binary()), np.asarray(pa.compute.list_value_length(lists), np.int64)
+    lengths = np.asarray(pa.compute.binary_length(words), np.int64)
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    if not lengths.all():  # blanks at a text's start and end
+        words, owner, lengths = words.filter(pa.array(lengths > 0)), owner[lengths > 0], lengths[lengths > 0]
+    if len(lengths) and lengths.max() > LONG:
+        words = pa.array([key_of(w) for w in words.to_pylist()], pa.binary())
+    sizes = np.bincount(owner, minlength=len(texts))
+    at = np.arange(len(owner)) + owner  # every text before has an end
+    place = np.full(len(owner) + len(texts), len(words))
+    place[at] = np.arange(len(words))
+    return pa.concat_arrays([words, pa.array([END], pa.binary())]).take(pa.array(place)), sizes + 1
 
 
 class Model:
@@ -442,9 +455,9 @@ def score(docs: DataFrame, held: F.Column, id_col: str = "doc_id", text_col: str
     lookup = Lookup(vocabulary)
     unigram = np.concatenate(([vocabulary.count[w] for w in vocabulary.words], np.zeros(WORDS - len(own)), vocabulary.totals[:, 0] + vocabulary.members)) + 0.5
     members = np.concatenate(([vocabulary.count[w] for w in vocabulary.others], vocabulary.totals[:, 0])) + 0.5
-    encoded = written(encode(rows, vocabulary, lookup.kind), "lm-encoded")
+    encoded = written(encode(rows, vocabulary, lookup.kind), "lm-encoded", **{"parquet.page.row.count.limit": str(PAGE_ROWS)})
     model = trained(encoded, lookup, unigram / unigram.sum(), members, n) if n else Model.start(unigram / unigram.sum(), members)
-    lookup.rank = {}  # words are not needed any more
+    lookup.words = None  # not needed any more
     fixed = spark.sparkContext.broadcast((model.p, model.m, model.tables()[2].astype(np.float32), lookup))
 
     def run(batches):
@@ -495,25 +508,26 @@ def encode(rows: DataFrame, vocabulary: Vocabulary, number: np.dtype) -> DataFra
         log_v = math.log10(voc.n + voc.v + 1)
         logs = np.append(lookup.logs, 0.0)  # -1: no rank
         own_logs, shares = np.zeros(len(lookup.group)), np.zeros(len(lookup.group))
-        for x, k in [*voc.symbol.items(), *zip(voc.others, range(BEGIN + 1, len(own_logs)))]:
-            own_logs[k] = logs[lookup.rank[x]]
+        own = (lookup.symbol < WORDS) | (lookup.symbol > BEGIN)
+        own_logs[lookup.symbol[own]] = lookup.logs[own]
         shares[WORDS:BEGIN] = voc.share_base
         minus = own_logs + shares  # a rare word's share in its class' rest, but for log10(count + 1)
 
         def part(b: pa.RecordBatch):
             nonlocal row
-            cols: list[list] = [[] for _ in range(6)]
-            for t in b["text"].to_pylist():
-                words = tokens_of(t)
-                ranks = lookup.ranks(words)
-                s, tail = lookup.symbols(words, ranks)
-                head = logs[ranks].sum()
-                values = (len(s), len(s) - len(tail), head - len(s) * log_v, head - minus[s].sum(), s.astype(number).tobytes(), tail)
-                for c, v in zip(cols, values):
-                    c.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.binary()))
-            own = [pa.array(c, k) for c, k in zip(cols, kinds)]
-            yield pa.RecordBatch.from_arrays([b["id"], b["held"], b["slice"], pa.array(np.arange(row, row + b.num_rows)), *own], names)
+            words, sizes = split_texts(b["text"])
+            ranks = lookup.ranks(words)
+            numbers, tail = lookup.symbols(words, ranks)
+            ends = np.cumsum(sizes)
+            starts = ends - sizes
+            unknown = np.add.reduceat((ranks < 0).astype(np.int64), starts)
+            head = np.add.reduceat(logs[ranks], starts)
+            inside = head - np.add.reduceat(minus[numbers], starts)
+            raw = numbers.astype(number)
+            ids = [raw[x:y].tobytes() for x, y in zip(starts.tolist(), ends.tolist())]
+            rest = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(unknown))), pa.int32()), tail)
+            longs = [pa.array(np.arange(row, row + b.num_rows)), pa.array(sizes), pa.array(sizes - unknown)]
+            yield pa.RecordBatch.from_arrays([b["id"], b["held"], b["slice"], *longs, pa.array(head - sizes * log_v), pa.array(inside), pa.array(ids, pa.binary()), rest], names)
             row += b.num_rows
 
         yield from arrow_map(part, "text")(batches)

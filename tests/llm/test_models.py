@@ -7,11 +7,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from kestrelq.llm import lm_scoring as L
 from kestrelq.llm import toxicity as T
+from tests.llm.conftest import AWKWARD
 
 TOKEN = re.compile(rb"[^\x20\x09-\x0D]+")
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -127,7 +129,8 @@ def test_distribution_over_all_words_sums_to_one(make):
     m = L.Model.start(np.full(L.SYMBOLS, 1 / L.SYMBOLS), members)
     m.p[:] += np.random.default_rng(2).normal(0, 0.2, m.p.shape)
     words = [*count, *(None for _ in range(L.SURFACES))]
-    numbers = np.array([look.symbols([w], look.ranks([w]))[0][0] if w is not None else L.WORDS + k - len(count) for k, w in enumerate(words)])
+    known = pa.array(list(count), pa.binary())
+    numbers = np.append(look.symbols(known, look.ranks(known))[0], L.WORDS + np.arange(L.SURFACES))
     p = np.exp(L.log_probabilities(m, m.tables()[2], look, (numbers, np.full(len(words), 3), np.full(len(words), L.BEGIN))))
     for k, w in enumerate(words):
         if w not in own:
@@ -138,6 +141,14 @@ def test_distribution_over_all_words_sums_to_one(make):
     assert p.sum() + p_unused == pytest.approx(1, abs=1e-4)
 
 
+def test_split_texts_equals_the_pattern():
+    texts = [t for t in AWKWARD if t is not None] + ["\x0b\x0cA\x0dB ", "a" * 65 + " b", "İ É ß"]
+    words, sizes = L.split_texts(pa.array([t.encode() for t in texts], pa.binary()))
+    want = [[*map(L.key_of, TOKEN.findall(t.encode().translate(FOLD))), b""] for t in texts]
+    assert sizes.tolist() == list(map(len, want)) and words.to_pylist() == [w for t in want for w in t]
+    assert [[*L.tokens_of(t.encode()), b""] for t in texts] == want
+
+
 def test_layout_does_not_matter(make):
     """Equal texts in 1, 8 and 200 partitions: the gain on held-out texts differs by less than a tenth."""
     rng = random.Random(14)
