@@ -38,7 +38,7 @@ from kestrelq.llm.common import LOWER, arrow_map, body, held_out, one_thread, pi
 WORDS, SURFACES, HEAD, LONG = 127, 180, 262_144, 64
 SYMBOLS = WORDS + SURFACES
 #: An own word's least count, and the same as a share of the square root of the tokens, whichever is more.
-OWN, OWN_SHARE = 20, 0.06
+OWN, OWN_SHARE = 20, 0.08
 #: Dimensions, noise samples a batch of positions, positions a batch.
 DIM, NOISE, BATCH = 16, 24, 768
 #: Synchronous rounds, longest step of a parameter, rounds over which the step grows to it (it falls as a cosine
