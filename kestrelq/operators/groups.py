@@ -25,3 +25,13 @@ def latest(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
 def sessions(df: DataFrame, by: str, time: str, gap: str) -> DataFrame:
     """Start, end and size of each run of rows less than ``gap`` apart."""
     return df.groupBy(by, F.session_window(time, gap).alias("s")).agg(F.count("*").alias("n")).select(by, F.col("s.start").alias("started"), F.col("s.end").alias("ended"), "n")
+
+
+def median(counts: DataFrame, key: str, value: str, count: str, name: str) -> DataFrame:
+    """Exact medians of groups from one row for each distinct value with its count: the mean of the values that hold
+    the two middle places. The window sees distinct values, not rows."""
+    w = Window.partitionBy(key).orderBy(value)
+    places = counts.withColumn("__upto", F.sum(count).over(w)).withColumn("__all", F.sum(count).over(Window.partitionBy(key)))
+    at = [F.floor((F.col("__all") - 1) / 2), F.floor(F.col("__all") / 2)]
+    held = lambda p: (p < F.col("__upto")) & (p >= F.col("__upto") - F.col(count))
+    return places.groupBy(key).agg((sum(F.max(F.when(held(p), F.col(value))) for p in at) / 2).alias(name))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof(left: DataFrame, right: DataFrame, by: str, left_time: str, right_time: str, values: list[str], step: str = "1 day") -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, by: str, left_time: str, right_time: str, values: list[str]) -> DataFrame:
     """Every left row with the ``values`` of the latest right row of the same key that is not later (null
     without one). Of right rows with equal times the one with the largest values wins.
 
@@ -59,7 +59,8 @@ def interval(left: DataFrame, right: DataFrame, by: str, left_time: str, right_t
 
 def salted(left: DataFrame, right: DataFrame, on: str, salts: int = 16, how: str = "inner") -> DataFrame:
     """An equi-join whose left side has hot keys: left rows are dealt over ``salts`` copies of the right rows.
-    For inner, left and semi joins; adaptive execution does this at run time where both sides are shuffles."""
-    l = left.withColumn("salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))  # noqa: E741
+    For inner, left and semi joins; adaptive execution does this at run time where both sides are shuffles. The salt
+    follows the row's place too, so equal rows are dealt over all salts; a retried task deals them in the same way."""
+    l = left.withColumn("salt", F.pmod(F.xxhash64(F.monotonically_increasing_id(), *left.columns), F.lit(salts)).cast("int"))  # noqa: E741
     r = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return l.join(r, [on, "salt"], how).drop("salt")

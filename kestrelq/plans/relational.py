@@ -148,10 +148,36 @@ def agg_dedup(spark, sf_dir):
     return table(spark, sf_dir, "orders").dropDuplicates(["o_custkey"]).select("o_custkey")
 
 
-@cases.frame()
+@cases.frame("SELECT true AS close, count(DISTINCT l_orderkey) AS exact FROM lineitem")
 def agg_approx_distinct(spark, sf_dir):
-    """HyperLogLog count beside the exact one; engines' sketches differ, so there is no oracle."""
-    return table(spark, sf_dir, "lineitem").agg(F.approx_count_distinct("l_orderkey", 0.02).alias("approx"), F.countDistinct("l_orderkey").alias("exact"))
+    """Whether the HyperLogLog count is within 5 % of the exact one (engines' sketches differ), and the exact one."""
+    out = table(spark, sf_dir, "lineitem").agg(F.approx_count_distinct("l_orderkey", 0.02).alias("approx"), F.countDistinct("l_orderkey").alias("exact"))
+    return out.select((F.abs(F.col("approx") - F.col("exact")) <= 0.05 * F.col("exact")).alias("close"), "exact")
+
+
+cases.sql("agg_avg", "lineitem", "SELECT l_returnflag, round(avg(l_quantity), 6) AS q, round(avg(l_extendedprice), 4) AS p, min(l_discount) AS lo, max(l_discount) AS hi, count(*) AS n FROM lineitem GROUP BY l_returnflag")
+cases.sql("agg_grouping_id", "orders", "SELECT o_orderstatus, o_orderpriority, CAST(grouping_id(o_orderstatus, o_orderpriority) AS BIGINT) AS g, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)", "SELECT o_orderstatus, o_orderpriority, CAST(grouping_id(o_orderstatus, o_orderpriority) AS BIGINT) AS g, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
+cases.sql("agg_covariance", "lineitem", "SELECT l_returnflag, round(covar_pop(l_quantity, l_extendedprice), 2) AS p, round(covar_samp(l_quantity, l_extendedprice), 2) AS s FROM lineitem GROUP BY l_returnflag")
+cases.sql("agg_kurtosis_sample", "lineitem", """WITH k AS (SELECT count(*) AS n, kurtosis(l_extendedprice) AS k FROM lineitem)
+SELECT round((n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * k + 6), 6) AS k FROM k""", "SELECT round(kurtosis(l_extendedprice), 6) AS k FROM lineitem")
+cases.sql("agg_listagg", "nation", "SELECT n_regionkey, listagg(n_name, ',') WITHIN GROUP (ORDER BY n_name DESC) AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name DESC) AS names FROM nation GROUP BY n_regionkey")
+cases.sql("subquery_not_in_null", "customer orders", "SELECT count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT CASE WHEN o_orderstatus = 'F' THEN NULL ELSE o_custkey END FROM orders)")
+cases.sql("q5_region_year", "customer orders lineitem supplier nation region", f"""
+SELECT n_name, {REVENUE} FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey
+JOIN supplier ON l_suppkey = s_suppkey AND c_nationkey = s_nationkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+WHERE r_regionkey IN (1, 2) AND o_orderdate >= TIMESTAMP_NTZ '1996-01-01' AND o_orderdate < TIMESTAMP_NTZ '1999-01-01' GROUP BY n_name""")
+ORACLE["q5_region_year"] = ORACLE["q5_region_year"].replace("TIMESTAMP_NTZ", "TIMESTAMP")
+cases.sql("q6_year", "lineitem", """
+SELECT CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_discount AS DECIMAL(4,2))) AS DOUBLE) AS revenue FROM lineitem
+WHERE l_shipdate >= TIMESTAMP_NTZ '1996-01-01' AND l_shipdate < TIMESTAMP_NTZ '1997-01-01' AND l_discount BETWEEN 0.049 AND 0.071 AND l_quantity < 24""")
+ORACLE["q6_year"] = ORACLE["q6_year"].replace("TIMESTAMP_NTZ", "TIMESTAMP")
+
+
+@cases.frame("SELECT l_returnflag, median(l_quantity) AS med FROM lineitem GROUP BY l_returnflag")
+def agg_median_by_counts(spark, sf_dir):
+    """The exact median from counts by value and their running sums: no group's values meet in one buffer."""
+    counts = table(spark, sf_dir, "lineitem").where("l_quantity IS NOT NULL").groupBy("l_returnflag", F.col("l_quantity").alias("x")).agg(F.count("*").alias("c"))
+    return groups.median(counts, "l_returnflag", "x", "c", "med")
 
 
 @cases.frame("""SELECT l_returnflag, count(*) FILTER (WHERE l_linestatus = 'F') AS F, count(*) FILTER (WHERE l_linestatus = 'O') AS O FROM lineitem GROUP BY l_returnflag""")

@@ -26,6 +26,10 @@ cases.sql("math_division_by_zero", "lineitem", "SELECT l_orderkey, l_linenumber,
 cases.sql("array_access", "embeddings", "SELECT vec_id, CAST(size(embedding) AS INT) AS n, CAST(element_at(embedding, 1) AS DOUBLE) AS a, CAST(embedding[1] AS DOUBLE) AS b, CAST(array_max(embedding) AS DOUBLE) AS m FROM embeddings", "SELECT vec_id, CAST(len(embedding) AS INT) AS n, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b, CAST(list_max(embedding) AS DOUBLE) AS m FROM embeddings")
 cases.sql("array_explode", "embeddings", "SELECT vec_id, CAST(p AS INT) AS p, CAST(v AS DOUBLE) AS v FROM embeddings LATERAL VIEW posexplode(embedding) t AS p, v", "SELECT vec_id, CAST(p - 1 AS INT) AS p, CAST(v AS DOUBLE) AS v FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS p FROM embeddings)")
 cases.sql("array_dot_product", "embeddings", "SELECT vec_id, round(aggregate(zip_with(embedding, embedding, (x, y) -> CAST(x AS DOUBLE) * y), 0D, (s, x) -> s + x), 6) AS dot FROM embeddings", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x)), 6) AS dot FROM embeddings")
+cases.sql("string_upper_unicode", "documents", "SELECT doc_id, upper(replace(text, 'ß', 'ss')) AS u FROM documents")
+cases.sql("math_power", "lineitem", "SELECT l_orderkey, l_linenumber, l_partkey, power(l_quantity, 2) AS p, round(power(l_discount + 1, 0.5), 9) AS r FROM lineitem")
+cases.sql("array_slice", "embeddings", "SELECT vec_id, CAST(p AS INT) AS p, CAST(v AS DOUBLE) AS v FROM embeddings LATERAL VIEW posexplode(slice(embedding, 3, 4)) t AS p, v", "SELECT vec_id, CAST(p - 1 AS INT) AS p, CAST(v AS DOUBLE) AS v FROM (SELECT vec_id, unnest(embedding[3:6]) AS v, generate_subscripts(embedding[3:6], 1) AS p FROM embeddings)")
+cases.sql("array_transform", "embeddings", "SELECT vec_id, round(aggregate(transform(embedding, x -> CAST(x AS DOUBLE) * 2 + 1), 0D, (s, x) -> s + x), 6) AS t FROM embeddings", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * 2 + 1)), 6) AS t FROM embeddings")
 cases.sql("map_from_entries", "nation", "SELECT n_regionkey, element_at(map_from_entries(collect_list(struct(n_nationkey, n_name))), min(n_nationkey)) AS first FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, arg_min(n_name, n_nationkey) AS first FROM nation GROUP BY n_regionkey")
 cases.sql("json_path", "events", "SELECT event_id, CAST(get_json_object(props, '$.k') AS STRING) AS k FROM events", "SELECT event_id, props ->> '$.k' AS k FROM events")
 cases.sql("json_schema", "events", "SELECT event_id, from_json(props, 'k STRING').k AS k FROM events", "SELECT event_id, props ->> '$.k' AS k FROM events")

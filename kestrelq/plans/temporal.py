@@ -102,6 +102,69 @@ def stream_arbitrary_state(spark, sf_dir):
     return out.groupBy("user_id").agg(F.max(F.struct("n", "total")).alias("m")).select("user_id", "m.n", F.round("m.total", 4).alias("total"))
 
 
+def halves(spark, sf_dir):
+    """The events before and after the middle of the month, and a closing row; ts as an instant."""
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    middle = F.lit("2024-01-16").cast("timestamp")
+    return e.where(F.col("ts") < middle), e.where(F.col("ts") >= middle), streams.closing(e)
+
+
+def appended(spark, sf_dir, f, name):
+    """The windows that a watermark of an hour closes, over events in order of time."""
+    early, later, end = halves(spark, sf_dir)
+    return streams.fed([early, later, end], lambda e: f(e.withWatermark("ts", "1 hour")), "append", name)
+
+
+@cases.frame(TUMBLING)
+def stream_tumbling_append(spark, sf_dir):
+    return appended(spark, sf_dir, tumbling, "tumbling")
+
+
+@cases.frame(SLIDING)
+def stream_sliding_append(spark, sf_dir):
+    return appended(spark, sf_dir, sliding, "sliding")
+
+
+@cases.frame(SESSION)
+def stream_session_append(spark, sf_dir):
+    return appended(spark, sf_dir, sessions, "session").where("user_id IS NOT NULL")
+
+
+@cases.frame(TUMBLING.replace("FROM events", "FROM events WHERE ts >= TIMESTAMP '2024-01-16'"))
+def stream_late_drop(spark, sf_dir):
+    """The earlier half arrives after the later one: its windows are closed, so its rows are dropped."""
+    early, later, end = halves(spark, sf_dir)
+    return streams.fed([later, early, end], lambda e: tumbling(e.withWatermark("ts", "1 hour")), "append", "late")
+
+
+@cases.frame("SELECT count(*) AS n FROM events WHERE false")
+def stream_append_before_the_end(spark, sf_dir):
+    """A watermark of 60 days closes no window of a month: nothing is emitted, and the count is 0."""
+    early, later, _ = halves(spark, sf_dir)
+    out = streams.fed([early, later], lambda e: tumbling(e.withWatermark("ts", "60 days")), "append", "open")
+    return out.agg(F.count("*").alias("n"))
+
+
+@cases.frame(TUMBLING)
+def stream_tumbling_update(spark, sf_dir):
+    return streams.run(tumbling(streams.events_stream(spark, sf_dir)), "update", "update", ("started", "event_type"))
+
+
+@cases.frame("SELECT user_id, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY user_id")
+def stream_transform_with_state(spark, sf_dir):
+    """Arbitrary state, second form; it needs the RocksDB store, which is set for this query alone."""
+    key, store = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(key)
+    spark.conf.set(key, store)
+    try:
+        e = streams.events_stream(spark, sf_dir).select("user_id", "value")
+        s = e.groupBy("user_id").transformWithStateInPandas(streams.Totals(), "user_id long, n long, total double", "Update", "None")
+        out = streams.run(s, "update", "state2", ("user_id",))
+    finally:
+        spark.conf.set(key, before)
+    return out.select("user_id", "n", F.round("total", 4).alias("total"))
+
+
 for _fmt in ("parquet", "orc", "csv", "json", "xml"):
 
     def _round_trip(spark, sf_dir, fmt=_fmt):

@@ -31,8 +31,10 @@ def round_trip(df: DataFrame, fmt: str, partition_by: tuple[str, ...] = ()) -> D
 
 
 def bucketed(df: DataFrame, name: str, by: str, buckets: int = 8) -> DataFrame:
-    """``df`` as a table dealt into buckets of ``by``: joins and groupings on it need no shuffle."""
-    df.write.bucketBy(buckets, by).sortBy(by).mode("overwrite").saveAsTable(name)
+    """``df`` as a new table, ``name`` and a number of its own, dealt into buckets of ``by``: joins and groupings on it
+    need no shuffle. No other table is touched; the caller drops it when it is done."""
+    name = f"{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, by).sortBy(by).saveAsTable(name)
     return df.sparkSession.table(name)
 
 

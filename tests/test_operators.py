@@ -71,3 +71,44 @@ def test_pushdown_reaches_the_scan(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").where("l_quantity > 10").select("l_orderkey")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(l_quantity,10.0)" in plan and "l_comment" not in plan and "ReadSchema: struct<l_orderkey:bigint,l_quantity:double>" in plan
+
+
+def test_top_k_prunes_before_the_shuffle(spark):
+    from kestrelq import plans
+
+    plan = plans.QUERIES["topk_per_group"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
+
+
+def test_update_mode_needs_keys(spark):
+    import pytest
+
+    from kestrelq.streaming import streams
+
+    with pytest.raises(ValueError):
+        streams.run(streams.events_stream(spark, "/root/testdata/sf0.001").groupBy("user_id").count(), "update")
+
+
+def test_stream_reads_only_its_own_name(spark, tmp_path):
+    from kestrelq.session import table
+    from kestrelq.streaming import streams
+
+    e = table(spark, "/root/testdata/sf0.001", "events")
+    e.write.parquet(str(tmp_path / "events.parquet"))
+    e.write.parquet(str(tmp_path / "events.parquet_old"))
+    got = streams.run(streams.events_stream(spark, str(tmp_path)).select("event_id"), "append", "own")
+    assert got.count() == e.count()
+
+
+def test_bucketed_tables_leave_others_alone(spark):
+    from kestrelq.sources import formats
+
+    one, two = (formats.bucketed(spark.range(n), "same_name", "id", 2) for n in (3, 5))
+    assert (one.count(), two.count()) == (3, 5)
+
+
+def test_median_by_counts_with_ties_and_nulls(spark):
+    from kestrelq.operators import groups
+
+    counts = spark.createDataFrame([("a", 1.0, 2), ("a", 5.0, 2), ("b", 7.0, 1), ("c", 1.0, 1), ("c", 2.0, 5), ("c", 9.0, 1)], "k string, x double, n long")
+    assert {r.k: r.m for r in groups.median(counts, "k", "x", "n", "m").collect()} == {"a": 3.0, "b": 7.0, "c": 2.0}
