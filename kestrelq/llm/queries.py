@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kestrelq.llm import decontaminate, html_extract, lm_scoring, media, ngram_join, packing, secrets, token_counts, toxicity, warc
+from kestrelq.llm import decontaminate, html_extract, lm_scoring, media, ngram_join, packing, secrets, simhash, token_counts, toxicity, warc
 from kestrelq.session import table
 
 QUERIES: dict = {}
@@ -79,6 +79,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), mod=5, remainder=0)
 
 
+@query
+def op13_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
