@@ -222,7 +222,8 @@ def linked(batches) -> Iterator[pa.RecordBatch]:
 def edges(distinct: DataFrame, ways, block: int = BLOCK) -> DataFrame:
     """(u, v): links between the fingerprints in column ``fp``, reduced to forests; the same components."""
     spark = distinct.sparkSession
-    only = distinct.select("fp")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    only = distinct.select("fp").repartition(n)  # small rows that become many: spread over all tasks
 
     def counted(batches):
         golay, total = Golay(), np.zeros((2, 1 << BIN_BITS), np.int64)
@@ -262,7 +263,6 @@ def edges(distinct: DataFrame, ways, block: int = BLOCK) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part.astype(np.int32)), pa.array(np.full(len(key), side, np.int8)), pa.array(fps[row].view(np.int64))], ["key", "part", "side", "fp"])
 
     rows = only.mapInArrow(dealt, "key long, part int, side byte, fp long")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(n, "key", "part").sortWithinPartitions("key", "part", "side").mapInArrow(linked, "u long, v long")
 
 

@@ -30,7 +30,7 @@ def rows(spark, name, docs):
 
 def test_operators_and_the_pipeline():
     numbers = sorted(int(re.match(r"op(\d+)_", n)[1]) for n in Q.QUERIES if n != "pipeline")
-    assert numbers == [*range(1, 11), 13] and "pipeline" in Q.QUERIES and set(Q.ORACLE) <= set(Q.QUERIES)
+    assert numbers == list(range(1, 14)) and "pipeline" in Q.QUERIES and set(Q.ORACLE) <= set(Q.QUERIES)
 
 
 def test_op1(spark, docs):
