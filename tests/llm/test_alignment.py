@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from bisect import bisect_right
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -37,9 +38,9 @@ def aligned(text):
     for side, ids, raw in ((0, e.ids, raw_a), (1, b, raw_b)):
         ends.append(list(zip(np.cumsum([len(x) for x in raw]).tolist(), ids)))
     shared = sorted({p for p, _ in ends[0]} & {p for p, _ in ends[1]})
-    last = 0
+    last, first = 0, lambda x: x[0]
     for p in shared:
-        groups.append(tuple([i for q, i in side if last < q <= p] for side in ends))
+        groups.append(tuple([i for _, i in side[bisect_right(side, last, key=first) : bisect_right(side, p, key=first)]] for side in ends))
         last = p
     return e.ids, b, groups
 
