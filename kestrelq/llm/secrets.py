@@ -4,7 +4,8 @@ Two models over characters are trained from labelled samples: one of random stri
 use, and one of ordinary words and identifiers, the corpus' own among them. Every character of a run of token
 characters has a log-likelihood ratio of random against ordinary, given the two before it. Stretches in which
 the ratio adds up are found, widened to whole pieces between separators, and taken for secrets if they are long
-enough and their mean ratio passes a margin.
+enough, their mean ratio passes a margin, and a third of them or more are pieces that mix letters and digits as keys do
+(``keylike``): slugs, paths, camel case, numbers, times, UUIDs and letters alone are ordinary text.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrelq.llm.common import LOWER, arrow_map, body, quoted, written
+from kestrelq.llm.common import LOWER, arrow_map, body, quoted, released, written
 
 #: Fixed patterns of the base kinds, in the order in which kinds sort at equal starts.
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I)
@@ -36,6 +37,13 @@ for _i, _c in enumerate(TOKEN_CHARS):
 #: Characters of the shortest stretch that the models take for a secret, the mean ratio a character that it has to
 #: pass (natural log), and the fall of the summed ratio at which a stretch has ended.
 SHORTEST, MARGIN, DROP = 16, 0.9, 12.0
+#: Characters of the longest mixed piece of a key, its letters, and changes between letters and digits, at least.
+MIXED, LETTERS, CHANGES = 8, 4, 2
+#: Pieces that mix letters and digits in ordinary text: a word and a number, a number and a unit.
+NUMBERED = re.compile(rb"[A-Za-z]+[0-9]{1,4}|[0-9]+[A-Za-z]{1,3}")
+UUID = re.compile(rb"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}")
+PIECE, CHANGE = re.compile(rb"[A-Za-z0-9]+"), re.compile(rb"(?<=[A-Za-z])[0-9]|(?<=[0-9])[A-Za-z]")
+SWITCH = re.compile(rb"(?<=[a-z])[A-Z]|(?<=[A-Z])[a-z]")
 #: Labelled samples: generated random strings and identifiers; documents and distinct ordinary words from them,
 #: at most, those of the smallest hashes.
 RANDOM_SAMPLES, ROW_SAMPLES, WORD_SAMPLES = 4000, 4000, 20_000
@@ -136,7 +144,30 @@ def ordinary_samples(docs: DataFrame, text_col: str) -> list[bytes]:
     rows = rows.withColumn("h", F.shiftrightunsigned(F.xxhash64("text"), 1))
     few = rows.where(smallest(rows, "h", ROW_SAMPLES)).select("text")
     found = written(few.mapInArrow(arrow_map(run, "text"), "w binary, h long").distinct(), "secret-words")
-    return sorted(bytes(r["w"]) for r in found.where(smallest(found, "h", WORD_SAMPLES)).collect())
+    words = sorted(bytes(r["w"]) for r in found.where(smallest(found, "h", WORD_SAMPLES)).collect())
+    released(found)
+    return words
+
+
+def jumbled(piece: bytes) -> bool:
+    """Whether letters change their case at two places of five or more: camel case does so at one of three at most."""
+    return len(piece) >= MIXED and piece.isalpha() and 5 * len(SWITCH.findall(piece)) >= 2 * (len(piece) - 1)
+
+
+def keylike(token: bytes) -> list[tuple[int, int]]:
+    """Places of the pieces of a stretch that mix letters and digits, or cases, as keys do; none if they are less than a third of
+    its letters and digits, or have too few letters or changes between both, or if it is a UUID."""
+    if UUID.fullmatch(token):
+        return []
+    pieces = [m.span() for m in PIECE.finditer(token)]
+    jumbles = [(a, b) for a, b in pieces if jumbled(token[a:b])]
+    mixed = [(a, b) for a, b in pieces if CHANGE.search(token[a:b]) and not NUMBERED.fullmatch(token[a:b])] + jumbles
+    size = sum(b - a for a, b in mixed)
+    if max((b - a for a, b in mixed), default=0) < MIXED or 3 * size < sum(b - a for a, b in pieces):
+        return []
+    if not jumbles and sum(len(CHANGE.findall(token[a:b])) for a, b in mixed) < CHANGES or sum(c > 57 for a, b in mixed for c in token[a:b]) < LETTERS:
+        return []
+    return mixed
 
 
 class Scanner:
@@ -175,9 +206,10 @@ class Scanner:
                 del cuts[-1]
             a, b = cuts[0], cuts[-1]
             a += a < b and token[a : a + 1] in b"-_="
-            if b - a >= SHORTEST and ratios[a:b].mean() > self.margin:
-                out.append((a, b))
-                last = b
+            if b - a >= SHORTEST and ratios[a:b].mean() > self.margin and (mixed := keylike(token[a:b])):
+                if np.concatenate([ratios[a + x : a + y] for x, y in mixed]).mean() > self.margin:
+                    out.append((a, b))
+                    last = b
 
         for i, x in enumerate(ratios.tolist(), 1):
             total += x - self.margin / 2

@@ -134,6 +134,27 @@ def test_models_tell_random_from_ordinary(spark):
         assert scan.stretches(plain) == [] or plain[:1] == b"x", plain
 
 
+ORDINARY = ["https://example.org/blog/the-quick-brown-fox-jumps-over-2024-01-16", "/news/2024/how-to-grow-juicy-kiwi-figs", "/local/lib/python3", "getXMLHttpRequestObjectByJQuery", "ACGTACGGTCATTGCAACGT", "0" * 16, "550e8400-e29b-41d4-a716-446655440000", "+49-30-1234567-8901234", "20240116101530123456", "20240116T101530Z", "x86_64-linux-gnu-gcc-12", "utf8mb4_unicode_520_ci", "sha256sum/base64/md5/h264/mp3", "IMG_20240116_101530_HDR"]
+
+
+def test_ordinary_slugs_paths_and_names(spark):
+    """At most 1 % of slugs, paths and names made of corpus words that the models have not seen, and no listed one."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    scan = S.Scanner(S.ordinary_samples(docs.where("doc_id % 2 = 0"), "text"))
+    seen = set(S.ordinary_samples(docs.where("doc_id % 2 = 0"), "text"))
+    held = [w.decode() for w in S.ordinary_samples(docs.where("doc_id % 2 = 1"), "text") if w not in seen and w.isalpha()]
+    assert len(held) > 2000
+    rng, wrong = random.Random(6), []
+    for i in range(1000):
+        w = rng.choices(held, k=rng.randint(3, 6))
+        year = rng.randint(1990, 2030)
+        text = ("-".join(w), f"/{'/'.join(w)}/{year}/12", w[0].lower() + "".join(x.title() for x in w[1:]), f"https://example.org/blog/{'-'.join(w)}-{year}-01-16", "_".join(w) + str(i), f"/usr/lib/{w[0]}{i % 5}/{w[1]}-{i % 9}.{i % 30}/{''.join(x.title() for x in w[2:])}")[i % 6]
+        wrong += [text] * any(k == 3 for *_, k in scan.spans(text.encode()))
+    assert len(wrong) <= 10, wrong[:5]
+    for text in ORDINARY:
+        assert [x for x in scan.spans(f"see {text} here".encode()) if x[2] == 3] == [], text
+
+
 def test_secret_beside_words_and_base_spans(spark):
     scan = S.Scanner([b"ordinary", b"words", b"prose", b"information", b"development", b"international", b"files", b"path"])
     found = [x for x in scan.spans(f"path/to/{KEY}/ordinary/files".encode()) if x[2] == 3]
