@@ -131,6 +131,18 @@ def test_repeats_equal_brute_force():
         ("<article>End <!-- unclosed > comment</article>", "End"),
         ("<article>1 <", "1 <"),
         ("<article><ul><li>a<ul><li>b</ul><li>c</ul></article>", "a\nb\nc"),
+        ('<div class="no-sidebar"><article>Story</article></div>', "Story"),
+        ('<div class="has-comments"><main>Story</main></div>', "Story"),
+        ('<form id="aspnetForm"><nav>Menu</nav><article>Story</article><p>Submit</p></form>', "Story"),
+        ('<article><h2 class="entry-header">Title</h2><header class="post-header"><h1>Head</h1></header><p>Story</article>', "Title\nHead\nStory"),
+        ('<div class="site-header"><p>Logo</p></div><div class="modal page-wrapper"><p>Close</p><main><p>Story</main></div>', "Story"),
+        ('<article>Story<div class="comments-list"><article>Nice!</article></div></article>', "Story"),
+        ('<aside class="related-posts"><article>Teaser</article></aside><article>Story</article><nav><article>Menu</article></nav>', "Story"),
+        ('<div class="ad-slot-1"><article>Buy</article></div><article>Story<form><p>Mail</p></form></article>', "Story"),
+        ("<article>A<!-- x --!> B<!--> C<!---> D <!--!> e --> F</article>", "A B C D F"),
+        ("<article>A<![CDATA[ x > y ]]>B<![CDATA[ open > C</article>", "AB C"),
+        ("<article>" + "<div>" * 700 + "<ul><li>" + "<div>" * 700 + "<p>x<li>y</ul></article>", "x\ny"),
+        ("<article>" + '<li class="ad">' + "<div>" * 700 + "Advert<li>Own</article>", "Own"),
     ],
 )
 def test_awkward_markup(page, want):
@@ -147,6 +159,15 @@ def test_parsing_takes_linear_time(part):
     assert time.process_time() - begin < 8
 
 
+def test_many_names_take_linear_time():
+    import time
+
+    page = "<article>" + "".join(f"<span{k} class=ad>" for k in range(16_000))
+    begin = time.process_time()
+    H.blocks(page)
+    assert time.process_time() - begin < 1.5
+
+
 def test_extract(spark):
     rows = [(1, "http://Host.example/a", PAGE, None, None), (2, "http://host.example/b", PAGE, None, None), (3, None, None, None, None), (4, "bad url", "", None, None), (1, "http://Host.example/a", PAGE, None, None), (None, "http://x/", "<p>plain", None, None), (5, "http://y/", "a < b & c <unclosed", None, None)]
     got = H.extract(spark.createDataFrame(rows, SCHEMA).repartition(2)).collect()
