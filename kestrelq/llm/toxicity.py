@@ -22,9 +22,9 @@ from kestrelq.llm.common import WORDS, arrow_map, body, free_name, held_out, quo
 #: Words of a window and between window starts; hidden units a direction; embedding widths.
 WINDOW, STRIDE, HIDDEN, WORD_DIM, GRAM_DIM = 48, 24, 8, 6, 6
 INPUT = WORD_DIM + GRAM_DIM + 3
-#: Labelled sample: rows of each label at most (those of the smallest hashes of the id), bytes of a text in it at
-#: most: of a longer one, PARTS parts that are evenly spread over it, its start and end among them, are learnt from.
-SAMPLE, SAMPLE_BYTES, PARTS = 1500, 30_000, 10
+#: Labelled sample: rows of each label at most, those of the smallest hashes of the id. Their texts are learnt from
+#: in all their windows, however long they are.
+SAMPLE = 1500
 #: Words and character n-grams with embeddings and log-odds, at most: those that tell the labels apart best.
 VOCABULARY, GRAMS = 4000, 6000
 ROUNDS, STEPS, BATCH, RATE, SEED = 4, 80, 128, 0.01, 3
@@ -318,7 +318,7 @@ def fit(texts: list[bytes], labels: list[int]) -> Network | None:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, mod: int, remainder: int) -> tuple[list[bytes], list[int]]:
-    """At most SAMPLE training rows of each label, SAMPLE_BYTES of each. Ids are drawn from the labels alone; the
+    """At most SAMPLE training rows of each label, with their whole texts. Ids are drawn from the labels alone; the
     texts of these few then come by a join that broadcasts at most twice SAMPLE ids."""
     ids = labels.where(quoted(label_col).isin(0, 1) & quoted(id_col).isNotNull() & ~held_out(id_col, mod, remainder)).groupBy(quoted(id_col).alias("id")).agg(F.max(quoted(label_col)).alias("y"))
     spark, drawn = docs.sparkSession, []
@@ -327,11 +327,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     if not drawn:
         return [], []
     few = spark.createDataFrame(drawn, StructType([docs.schema[id_col]]).add("y", IntegerType()))
-    size = SAMPLE_BYTES // PARTS
-    part = lambda k: F.substring("x", (F.floor((F.length("x") - size) * k / (PARTS - 1)) + 1).cast("int"), F.lit(size))
-    spread = F.concat(*(x for k in range(PARTS) for x in (part(k), F.lit(b" "))))
     rows = docs.select(quoted(id_col), body(text_col).alias("x")).join(F.broadcast(few), id_col)
-    rows = rows.select(F.when(F.length("x") <= SAMPLE_BYTES, F.col("x")).otherwise(spread).alias("x"), "y")
     got = sorted({(bytes(r["x"]), r["y"]) for r in rows.collect()})
     return [t for t, _ in got], [y for _, y in got]
 

@@ -239,3 +239,23 @@ def test_unseen_word_of_a_known_make(make):
 def test_one_label_only_scores_zero(make, spark):
     lab = spark.createDataFrame([(0, 0), (1, 0)], "doc_id long, toxic int")
     assert {r.score for r in T.score(make(["a", "b", None]), lab).collect()} == {0.0}
+
+
+def test_recall_and_precision_with_passages_deep_in_long_texts(spark):
+    """Long texts whose only toxic words lie anywhere in them; an answer of zeros has no recall."""
+    rng = random.Random(17)
+    plain, rude = [f"word{k}" for k in range(400)], [f"vile{k}" for k in range(12)]
+    rows, labels = [], []
+    for i in range(260):
+        toxic, size = i % 3 == 0, 5000 if i % 10 < 2 else rng.randint(20, 300)
+        w = rng.choices(plain, k=size)
+        if toxic:
+            at = rng.randrange(len(w))
+            w[at:at] = rng.choices(rude, k=4) + rng.choices(plain, k=2)
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(toxic)))
+    assert sum(len(t) > 30_000 and y for (_, t), (_, y) in zip(rows, labels)) > 10
+    got = {r.doc_id: r for r in T.score(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    held = [(got[i].predicted, y) for i, y in labels if got[i].held_out]
+    found, caught = sum(p for p, _ in held), sum(p and y for p, y in held)
+    assert sum(y for _, y in held) > 8 and caught >= 0.9 * sum(y for _, y in held) and caught >= 0.9 * found
