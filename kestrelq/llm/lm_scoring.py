@@ -369,8 +369,8 @@ def trained(encoded: DataFrame, lookup: Lookup, unigram: np.ndarray, members: np
     width, kind = DIM + 1, lookup.kind
     columns = [f"x{k}" for k in range(width)]
     rows = encoded.where(~F.col("held")).select("slice", "ids")
-    # fewer tasks than partitions where a task would return more than it reads
-    tasks = int(n / ROUNDS / (TOKENS_A_ROW * Model.rows(m))) + 1
+    # fewer tasks than partitions where a task would return more than it reads, but one for every core at least
+    tasks = max(spark.sparkContext.defaultParallelism, int(n / ROUNDS / (TOKENS_A_ROW * Model.rows(m))) + 1)
     mean, square = np.zeros_like(model.p), np.zeros_like(model.p)
     for k in range(ROUNDS):
         begin = spark.sparkContext.broadcast(model.p)
