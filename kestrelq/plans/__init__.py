@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from kestrelq.plans import relational, scalar, temporal
+from kestrelq.plans import iterative, relational, scalar, temporal
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for _module in (relational, scalar, temporal):
+for _module in (relational, scalar, temporal, iterative):
     QUERIES |= _module.QUERIES
     ORACLE |= _module.ORACLE
