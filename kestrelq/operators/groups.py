@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kestrelq.operators.scratch import free_name
+
 
 def money(c: str | Column, digits: int = 2) -> Column:
     """A double as decimal: sums are exact in any order and equal in every engine."""
@@ -30,8 +32,9 @@ def sessions(df: DataFrame, by: str, time: str, gap: str) -> DataFrame:
 def median(counts: DataFrame, key: str, value: str, count: str, name: str) -> DataFrame:
     """Exact medians of groups from one row for each distinct value with its count: the mean of the values that hold
     the two middle places. The window sees distinct values, not rows."""
+    upto, every = free_name(counts, "upto"), free_name(counts, "every")
     w = Window.partitionBy(key).orderBy(value)
-    places = counts.withColumn("__upto", F.sum(count).over(w)).withColumn("__all", F.sum(count).over(Window.partitionBy(key)))
-    at = [F.floor((F.col("__all") - 1) / 2), F.floor(F.col("__all") / 2)]
-    held = lambda p: (p < F.col("__upto")) & (p >= F.col("__upto") - F.col(count))
+    places = counts.withColumn(upto, F.sum(count).over(w)).withColumn(every, F.sum(count).over(Window.partitionBy(key)))
+    at = [F.floor((F.col(every) - 1) / 2), F.floor(F.col(every) / 2)]
+    held = lambda p: (p < F.col(upto)) & (p >= F.col(upto) - F.col(count))
     return places.groupBy(key).agg((sum(F.max(F.when(held(p), F.col(value))) for p in at) / 2).alias(name))

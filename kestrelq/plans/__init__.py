@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from kestrelq.plans import iterative, relational, scalar, temporal
+from kestrelq.plans import iterative, relational, scalar, stateful, tables, temporal
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for _module in (relational, scalar, temporal, iterative):
+for _module in (relational, scalar, temporal, iterative, stateful, tables):
     QUERIES |= _module.QUERIES
     ORACLE |= _module.ORACLE

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kestrelq.session import register
+from kestrelq.session import VIEWS, register
 
 
 class Cases:
@@ -28,11 +29,13 @@ class Cases:
         return add
 
     def sql(self, name: str, tables: str, spark_sql: str, oracle: str | None = None) -> None:
-        """A query as SQL text; the oracle is the same text unless the dialects differ."""
+        """A query as SQL text; the oracle is the same text unless the dialects differ. The tables are views under
+        names of their own, so that a caller's views stay."""
+        own = re.sub(rf"\b({'|'.join(tables.split())})\b", rf"{VIEWS}\1", spark_sql)
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             register(spark, sf_dir, *tables.split())
-            return spark.sql(spark_sql)
+            return spark.sql(own)
 
         run.__name__ = name
         self.queries[name] = run

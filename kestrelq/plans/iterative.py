@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrelq.operators import graphs, inequality, quantiles
+from kestrelq.operators import graphs, inequality, neighbours, quantiles
 from kestrelq.plans.case import Cases
 from kestrelq.session import table
 
@@ -101,3 +101,26 @@ def graph_triangles(spark, sf_dir):
     b = bought(spark, sf_dir)
     pair = lambda x, y: b.select(F.col(x).alias("src"), F.col(y).alias("dst"))
     return graphs.triangles(pair("c", "p").unionByName(pair("p", "s")).unionByName(pair("c", "s")))
+
+
+NEIGHBOURS = """WITH q AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 50 = 0), b AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+d AS (SELECT q.vec_id AS query, b.vec_id AS neighbour, list_sum(list_transform(list_zip(q.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM q, b)
+SELECT query, neighbour, round(d, 9) AS distance, CAST(row_number() OVER (PARTITION BY query ORDER BY d, neighbour) AS INT) AS place FROM d QUALIFY place <= 10"""
+
+
+@cases.frame(NEIGHBOURS)
+def vector_neighbours(spark, sf_dir):
+    """The ten nearest vectors of each whose number is divisible by 50, exact by bounds on cells."""
+    e = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(e.where("vec_id % 50 = 0"), e, 10).withColumn("distance", F.round("distance", 9))
+
+
+@cases.frame("SELECT true AS enough, count(*) * 10 AS n FROM embeddings WHERE vec_id % 50 = 0")
+def vector_neighbours_by_probes(spark, sf_dir):
+    """The share of the ten nearest in as many cells as a sample needs for 0.95 of them; it is 0.9 or more."""
+    e = table(spark, sf_dir, "embeddings")
+    q = e.where("vec_id % 50 = 0")
+    some, exact = (neighbours.nearest(q, e, 10, probes=p, exact=x).select("query", "neighbour") for p, x in ((None, False), (8, True)))
+    hits = some.join(exact, ["query", "neighbour"], "left_semi").agg(F.count("*").alias("hits"))
+    out = hits.join(exact.agg(F.count("*").alias("n")), F.lit(True))
+    return out.select((F.col("hits") >= 0.9 * F.col("n")).alias("enough"), "n")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kestrelq.functions import python_functions as pf
 from kestrelq.plans.case import Cases
-from kestrelq.session import table
+from kestrelq.session import register, table
 
 cases = Cases()
 QUERIES, ORACLE = cases.queries, cases.oracle
@@ -53,9 +53,9 @@ def udaf_pandas(spark, sf_dir):
 
 @cases.frame("SELECT n_nationkey, unnest(string_split(n_name, '_')) AS w FROM nation")
 def udtf_words(spark, sf_dir):
-    table(spark, sf_dir, "nation").createOrReplaceTempView("nation")
+    register(spark, sf_dir, "nation")
     spark.udtf.register("kestrelq_words", pf.Words)
-    return spark.sql("SELECT n_nationkey, t.word AS w FROM nation, LATERAL kestrelq_words(n_name, '_') t")
+    return spark.sql("SELECT n_nationkey, t.word AS w FROM kestrelq_view_nation, LATERAL kestrelq_words(n_name, '_') t")
 
 
 @cases.frame("SELECT c_nationkey, c_custkey, c_acctbal - avg(c_acctbal) OVER (PARTITION BY c_nationkey) > 0 AS above FROM customer")
@@ -77,5 +77,5 @@ def udf_map_arrow(spark, sf_dir):
 @cases.frame("SELECT o_orderkey, o_totalprice * 0.9 AS y FROM orders")
 def udf_sql_defined(spark, sf_dir):
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION kestrelq_discounted(x DOUBLE) RETURNS DOUBLE RETURN x * 0.9D")
-    table(spark, sf_dir, "orders").createOrReplaceTempView("orders")
-    return spark.sql("SELECT o_orderkey, kestrelq_discounted(o_totalprice) AS y FROM orders")
+    register(spark, sf_dir, "orders")
+    return spark.sql("SELECT o_orderkey, kestrelq_discounted(o_totalprice) AS y FROM kestrelq_view_orders")

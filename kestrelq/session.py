@@ -39,7 +39,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: What the names of temporary views begin with.
+VIEWS = "kestrelq_view_"
+
+
 def register(spark: SparkSession, sf_dir: str, *names: str) -> None:
     """Temp views for SQL text. Lazy: no data is read before a query runs."""
     for name in names or TABLES:
-        table(spark, sf_dir, name).createOrReplaceTempView(name)
+        table(spark, sf_dir, name).createOrReplaceTempView(VIEWS + name)

@@ -5,14 +5,10 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from kestrelq.operators.scratch import shared_path
 
 
 #: Options that make a format keep what it is given: times with microseconds, nulls apart from empty strings.
@@ -35,7 +31,15 @@ def bucketed(df: DataFrame, name: str, by: str, buckets: int = 8) -> DataFrame:
     need no shuffle. No other table is touched; the caller drops it when it is done."""
     name = f"{name}_{uuid.uuid4().hex}"
     df.write.bucketBy(buckets, by).sortBy(by).saveAsTable(name)
-    return df.sparkSession.table(name)
+    out = df.sparkSession.table(name)
+    out.table_name = name
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Drops tables returned by ``bucketed``."""
+    for t in tables:
+        t.sparkSession.sql(f"DROP TABLE {t.table_name}")
 
 
 class Range(InputPartition):
