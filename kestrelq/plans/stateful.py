@@ -37,7 +37,7 @@ def stream_map_state(spark, sf_dir):
     e = streams.events_stream(spark, sf_dir).select("user_id", "event_type")
     with timers.rocksdb(spark):
         s = e.groupBy("user_id").transformWithStateInPandas(timers.Tallies(86_400), timers.Tallies.SCHEMA, "Update", "ProcessingTime")
-        return streams.run(s, "update", "tallies", ("user_id", "event_type"))
+        return streams.run(s, "update", "tallies", ("user_id", "event_type"), once=True)
 
 
 @cases.frame("""SELECT c.event_id AS click, p.event_id AS purchase FROM (SELECT * FROM events WHERE event_type = 'click') c

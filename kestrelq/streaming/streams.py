@@ -23,18 +23,19 @@ def events_stream(spark: SparkSession, sf_dir: str, name: str = "events") -> Dat
     return source.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def run(stream: DataFrame, mode: str = "append", name: str = "stream", keys: tuple[str, ...] = ()) -> DataFrame:
+def run(stream: DataFrame, mode: str = "append", name: str = "stream", keys: tuple[str, ...] = (), once: bool = False) -> DataFrame:
     """Runs a stream to the end of its input. Append goes to files, in a checkpointed sink; complete mode's
     table is written anew by every trigger, and the last one stands; update mode's changes are kept by trigger, and
-    the last one of each of ``keys`` stands."""
+    the last one of each of ``keys`` stands. ``once``: one trigger, for state that follows the clock, whose stream would
+    go on for ever."""
     out, check = shared_path(stream.sparkSession, f"{name}-out"), shared_path(stream.sparkSession, f"{name}-state")
-    write(stream, mode, out, check, keys)
+    write(stream, mode, out, check, keys, once)
     return result(stream, mode, out, keys)
 
 
-def write(stream: DataFrame, mode: str, out: str, check: str, keys: tuple[str, ...] = ()) -> None:
+def write(stream: DataFrame, mode: str, out: str, check: str, keys: tuple[str, ...] = (), once: bool = False) -> None:
     """One run over the input that there is and that no run with this checkpoint has taken."""
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", check).trigger(availableNow=True)
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", check).trigger(**({"once": True} if once else {"availableNow": True}))
     if mode == "append":
         writer = writer.format("parquet").option("path", out)
     elif mode == "complete":
