@@ -73,36 +73,65 @@ def both_ways(edges: DataFrame, src: str, dst: str) -> DataFrame:
     return e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
 
 
-def oriented(edges: DataFrame, src: str, dst: str, r: Rounds) -> DataFrame:
-    """u, v: every edge once, from the end with fewer neighbours to the other one (by value among equals). No node
-    then has more edges out of it than the root of twice the number of edges, hubs least of all."""
-    both = r.write(both_ways(edges, src, dst))
-    degree = r.write(both.groupBy("u").agg(F.count("*").alias("d")))
-    one = both.where("u < v")
-    for c in "uv":
-        one = one.join(degree.select(F.col("u").alias(f"{c}_"), F.col("d").alias(f"{c}d")), F.col(c) == F.col(f"{c}_")).drop(f"{c}_")
-    first = (F.col("ud") < F.col("vd")) | ((F.col("ud") == F.col("vd")) & (F.col("u") < F.col("v")))
-    pick = lambda a, b: F.when(first, F.col(a)).otherwise(F.col(b))
-    return r.write(one.select(pick("u", "v").alias("u"), pick("v", "u").alias("v")))
+def numbered(nodes: DataFrame, by: list[str], r: Rounds) -> DataFrame:
+    """``nodes`` with an id from 0 without gaps, in the order of ``by``: its place in a range sort, so that the driver
+    gets one number a partition. Ids are int where they fit."""
+    low = (1 << 33) - 1  # monotonically_increasing_id: the partition above 33 bits of the row's place in it
+    placed = r.write(nodes.orderBy(*by).withColumn("id", F.monotonically_increasing_id()))
+    sizes = {x["part"]: x["count"] for x in placed.groupBy(F.shiftright("id", 33).alias("part")).count().collect()}
+    before, total = [], 0
+    for part in range(max(sizes, default=0) + 1):
+        before.append(total)
+        total += sizes.get(part, 0)
+    start = F.element_at(F.array(*(F.lit(x).cast("long") for x in before)), (F.shiftright("id", 33) + 1).cast("int"))
+    out = r.write(placed.withColumn("id", (F.col("id").bitwiseAND(F.lit(low)) + start).cast("int" if total < 1 << 31 else "long")))
+    r.drop(placed)
+    return out
+
+
+def by_ids(edges: DataFrame, nodes: DataFrame, ends: tuple[str, str]) -> DataFrame:
+    """``edges`` with ids for both ends. Numbers are a third of what names weigh, and each later step moves edges."""
+    for c in ends:
+        name = nodes.select(F.col("node").alias("node_"), F.col("id").alias("id_"))
+        edges = edges.join(name.hint("shuffle_hash"), F.col(c) == F.col("node_")).drop(c, "node_").withColumnRenamed("id_", c)
+    return edges
+
+
+def oriented(edges: DataFrame, src: str, dst: str, r: Rounds) -> tuple[DataFrame, DataFrame]:
+    """Edges u, v and nodes node, id. Ids follow the number of neighbours (and the value among equals); every edge
+    stands once, from the smaller id to the larger one. No node then has more edges out of it than the root of twice the
+    number of edges, hubs least of all."""
+    e = edges.select(F.least(src, dst).alias("a"), F.greatest(src, dst).alias("b")).where(F.col(src) != F.col(dst))
+    one = r.write(e.distinct())
+    degree = one.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("d"))
+    nodes = numbered(degree, ["d", "node"], r)
+    ids = by_ids(one, nodes, ("a", "b"))
+    out = r.write(ids.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")))
+    r.drop(one)
+    return out, nodes
 
 
 def triangles(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """node, triangles: of every node with a neighbour, the number of triangles that it is a corner of.
 
     Edges have no direction here; repeated ones count once, those of a node to itself or with a null end not at all.
-    Edges are oriented by degree, so the two that leave a node make a bounded number of wedges even where a hub has all
-    others as neighbours: E^1.5 in all, not the square of the largest degree. A wedge is kept if its third edge is there.
+    Edges are oriented by degree, so a node's list of later neighbours is short even where a hub has all others as
+    neighbours. For each edge the later end's list goes to the earlier end and the two lists are intersected: what moves
+    is one array of ids for an edge, E^1.5 ids in all at most, and no pair of edges is ever a row.
     """
     with Rounds(edges.sparkSession, "triangles") as r:
-        e = oriented(edges, src, dst, r)
-        a, b = e.select("u", F.col("v").alias("x")), e.select(F.col("u").alias("u2"), F.col("v").alias("y"))
-        wedges = a.join(b, (F.col("u") == F.col("u2")) & (F.col("x") < F.col("y")))
-        third = e.select(F.least("u", "v").alias("p"), F.greatest("u", "v").alias("q"))
-        closed = wedges.join(third, (F.col("x") == F.col("p")) & (F.col("y") == F.col("q"))).select("u", "x", "y")
+        e, nodes = oriented(edges, src, dst, r)
+        lists = r.write(e.groupBy("u").agg(F.collect_list("v").alias("near")))
+        later = lists.select(F.col("u").alias("v"), F.col("near").alias("far"))
+        # lists are unique and short, so they are the hashed side; the edges stream by
+        sent = e.join(later.hint("shuffle_hash"), "v")
+        met = sent.join(lists.where(F.size("near") > 1).hint("shuffle_hash"), "u").select("u", "v", F.array_intersect("far", "near").alias("w")).where(F.size("w") > 0)
         # partial sums a task, before any shuffle of corners
-        corners = r.write(closed.select(F.explode(F.array("u", "x", "y")).alias("node")).groupBy("node").agg(F.count("*").alias("c")))
-        nodes = e.select(F.col("u").alias("n")).union(e.select("v")).distinct()
-        out = r.write(nodes.join(corners, F.col("n") == F.col("node"), "left").select(F.col("n").alias("node"), F.coalesce("c", F.lit(0)).cast("long").alias("triangles")))
+        count = lambda node, c: F.struct(F.col(node).alias("id"), c.cast("long").alias("c"))
+        third = F.transform("w", lambda x: F.struct(x.alias("id"), F.lit(1).cast("long").alias("c")))
+        corners = met.select(F.inline(F.concat(F.array(count("u", F.size("w")), count("v", F.size("w"))), third)))
+        corners = corners.groupBy("id").agg(F.sum("c").alias("c"))
+        out = r.write(nodes.join(corners, "id", "left").select("node", F.coalesce("c", F.lit(0)).cast("long").alias("triangles")))
         r.keep(out)
     return out
 
@@ -111,7 +140,7 @@ def wedge_bound(edges: DataFrame, src: str = "src", dst: str = "dst") -> tuple[i
     """Wedges that ``triangles`` looks at, and those of the graph as it stands: what the orientation saves."""
     pairs = lambda d: F.coalesce(F.sum(_pairs(F.col(d))), F.lit(0)).cast("long")
     with Rounds(edges.sparkSession, "wedges") as r:
-        e = oriented(edges, src, dst, r)
+        e, _ = oriented(edges, src, dst, r)
         mine = e.groupBy("u").agg(F.count("*").alias("d")).agg(pairs("d")).first()[0]
         whole = both_ways(edges, src, dst).groupBy("u").agg(F.count("*").alias("d")).agg(pairs("d")).first()[0]
         r.keep()

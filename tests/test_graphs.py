@@ -77,3 +77,20 @@ def test_a_hub_makes_few_wedges(spark):
     assert mine <= 4 * len(e) and whole > 400 * mine
     got = {r.node: r.triangles for r in graphs.triangles(df).collect()}
     assert got[0] == n - 1 and {got[k] for k in range(1, n)} == {2}
+
+
+def test_triangles_move_lists_and_not_pairs_of_edges(spark, monkeypatch):
+    # all of 120 nodes with all: 280,840 pairs of edges that leave one node, 7140 edges
+    n, rows = 120, []
+    e = spark.createDataFrame([(a, b) for a in range(n) for b in range(a)], "src int, dst int")
+    write = graphs.Rounds.write
+
+    def watched(self, df):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        rows.append(("array_intersect" in plan, "(x#" in plan and "y#" in plan))
+        return write(self, df)
+
+    monkeypatch.setattr(graphs.Rounds, "write", watched)
+    got = {r.node: r.triangles for r in graphs.triangles(e).collect()}
+    assert got == {k: (n - 1) * (n - 2) // 2 for k in range(n)}
+    assert any(a for a, _ in rows) and not any(b for _, b in rows)
