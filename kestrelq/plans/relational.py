@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrelq.operators import groups, joins
+from kestrelq.operators import groups, joins, pairs
 from kestrelq.plans.case import Cases
 from kestrelq.session import table
 
@@ -71,7 +71,16 @@ cases.sql("project_case_coalesce", "orders", "SELECT o_orderkey, CASE WHEN o_tot
 cases.sql("join_inner", "orders customer", "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey")
 cases.sql("join_left_predicate", "customer orders", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 300000")
 cases.sql("join_right", "customer orders", "SELECT o_orderkey, c_custkey FROM customer RIGHT JOIN orders ON c_custkey = o_custkey AND c_acctbal > 0")
-cases.sql("join_full", "supplier customer", "SELECT s_suppkey, c_custkey FROM supplier FULL JOIN customer ON s_nationkey = c_nationkey AND s_acctbal < c_acctbal")
+
+
+@cases.frame("SELECT s_suppkey, c_custkey FROM supplier FULL JOIN customer ON s_nationkey = c_nationkey AND s_acctbal < c_acctbal")
+def join_full(spark, sf_dir):
+    """Few nations, so blocks of each, and rows without partners apart from the pairs."""
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    return pairs.full(s, c, ("s_nationkey", "c_nationkey"), ("s_acctbal", "c_acctbal")).select("s_suppkey", "c_custkey")
+
+
 cases.sql("join_cross_small", "region nation", "SELECT r_name, n_name FROM region CROSS JOIN nation")
 cases.sql("join_theta", "supplier", "SELECT a.s_suppkey AS a_key, b.s_suppkey AS b_key FROM supplier a JOIN supplier b ON a.s_acctbal < b.s_acctbal AND a.s_suppkey > b.s_suppkey")
 
