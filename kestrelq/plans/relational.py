@@ -82,7 +82,14 @@ def join_full(spark, sf_dir):
 
 
 cases.sql("join_cross_small", "region nation", "SELECT r_name, n_name FROM region CROSS JOIN nation")
-cases.sql("join_theta", "supplier", "SELECT a.s_suppkey AS a_key, b.s_suppkey AS b_key FROM supplier a JOIN supplier b ON a.s_acctbal < b.s_acctbal AND a.s_suppkey > b.s_suppkey")
+
+
+@cases.frame("SELECT a.s_suppkey AS a_key, b.s_suppkey AS b_key FROM supplier a JOIN supplier b ON a.s_acctbal < b.s_acctbal AND a.s_suppkey > b.s_suppkey")
+def join_theta(spark, sf_dir):
+    """No key: pairs of blocks, each in a task of its own."""
+    s = table(spark, sf_dir, "supplier")
+    a, b = (s.select(F.col("s_suppkey").alias(f"{x}_key"), F.col("s_acctbal").alias(f"{x}_acctbal")) for x in "ab")
+    return pairs.matched(a, b, None, F.expr("a_acctbal < b_acctbal AND a_key > b_key")).select("a_key", "b_key")
 
 
 @cases.frame("SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
