@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kestrelq.operators import neighbours as N
 
@@ -45,3 +46,14 @@ def test_few_rows_and_none(spark):
     df = spark.createDataFrame([(1, [0.0, 1.0], "x"), (2, [0.0, 3.0], "x")], SCHEMA)
     assert found(N.nearest(df, df, 5)) == {1: [(1, 0.0), (2, 4.0)], 2: [(2, 0.0), (1, 4.0)]}
     assert N.nearest(df, df.where("false"), 5).collect() == [] and N.nearest(df.where("false"), df, 5).collect() == []
+
+
+def test_tasks_send_a_sample_in_all_and_not_each(spark, monkeypatch):
+    monkeypatch.setattr(N, "SAMPLE", 200)
+    rows = spark.range(4000).repartition(10).selectExpr("id", "array(CAST(id AS DOUBLE)) AS v")
+    want = [r.v for r in rows.orderBy(F.xxhash64("id")).limit(200).collect()]
+    got = N.smallest(rows, 4000)
+    assert [r.v for r in got.collect()] == want
+    # what is left to order is little more than the sample
+    limit = int(got._jdf.queryExecution().optimizedPlan().toString().split("<= ")[1].split(")")[0])
+    assert 200 <= rows.where(F.xxhash64("id") <= limit).count() < 400
