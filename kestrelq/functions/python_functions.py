@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,8 +21,23 @@ def shout(x):
 
 
 @F.pandas_udf(T.DoubleType())
-def mean(x: pd.Series) -> float:
-    return float(x.mean())
+def total(x: pd.Series) -> float:
+    return float(x.sum())
+
+
+@F.pandas_udf(T.LongType())
+def present(x: pd.Series) -> int:
+    return int(x.count())
+
+
+def mean_by_blocks(df: DataFrame, key: str, value: str, name: str, rows: int = 1 << 16) -> DataFrame:
+    """key, ``name``: the mean of each group, null if it has no value. A pandas aggregate gets a group whole, so groups
+    are cut into blocks of at most ``rows`` rows of a partition, and the blocks' sums and counts are added up."""
+    block = F.shiftright(F.monotonically_increasing_id(), rows.bit_length() - 1)
+    # by the number of rows, as adaptive execution would merge partitions by their small size on disk
+    blocks = df.select(key, value, block.alias("block_")).repartition(df.count() // (4 * rows) + 1, key, "block_")
+    parts = blocks.groupBy(key, "block_").agg(total(value).alias("sum_"), present(value).alias("n_"))
+    return parts.groupBy(key).agg(F.try_divide(F.sum("sum_"), F.sum("n_")).alias(name))
 
 
 @F.udtf(returnType=T.StructType().add("word", T.StringType()))

@@ -48,7 +48,7 @@ def udf_arrow(spark, sf_dir):
 
 @cases.frame("SELECT l_returnflag, round(avg(l_quantity), 6) AS m FROM lineitem GROUP BY l_returnflag")
 def udaf_pandas(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.round(pf.mean("l_quantity"), 6).alias("m"))
+    return pf.mean_by_blocks(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_quantity", "m").withColumn("m", F.round("m", 6))
 
 
 @cases.frame("SELECT n_nationkey, unnest(string_split(n_name, '_')) AS w FROM nation")

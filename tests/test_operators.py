@@ -112,3 +112,14 @@ def test_median_by_counts_with_ties_and_nulls(spark):
 
     counts = spark.createDataFrame([("a", 1.0, 2), ("a", 5.0, 2), ("b", 7.0, 1), ("c", 1.0, 1), ("c", 2.0, 5), ("c", 9.0, 1)], "k string, x double, n long")
     assert {r.k: r.m for r in groups.median(counts, "k", "x", "n", "m").collect()} == {"a": 3.0, "b": 7.0, "c": 2.0}
+
+
+def test_pandas_mean_gets_blocks_and_not_groups(spark):
+    from kestrelq.functions import python_functions as pf
+
+    df = spark.range(0, 5000, 1, 2).selectExpr("id % 3 AS k", "IF(id % 7 = 0, NULL, CAST(id AS DOUBLE)) AS x").unionAll(spark.createDataFrame([(9, None)], "k long, x double"))
+    got = {r.k: r.m for r in pf.mean_by_blocks(df, "k", "x", "m", 64).collect()}
+    want = {k: [i for i in range(5000) if i % 3 == k and i % 7] for k in range(3)}
+    assert got.pop(9) is None and got == {k: pytest.approx(sum(v) / len(v)) for k, v in want.items()}
+    block = F.shiftright(F.monotonically_increasing_id(), 6)
+    assert max(r["count"] for r in df.groupBy("k", block).count().collect()) <= 64
