@@ -64,3 +64,8 @@ def salted(left: DataFrame, right: DataFrame, on: str, salts: int = 16, how: str
     l = left.withColumn("salt", F.pmod(F.xxhash64(F.monotonically_increasing_id(), *left.columns), F.lit(salts)).cast("int"))  # noqa: E741
     r = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return l.join(r, [on, "salt"], how).drop("salt")
+
+
+def parts(df: DataFrame, rows: int = 1 << 18) -> int:
+    """Partitions of about ``rows`` rows each: adaptive execution merges by size on disk, not by what tasks hold."""
+    return df.count() // rows + 1

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kestrelq.functions import python_functions as pf
+from kestrelq.operators import joins
 from kestrelq.plans.case import Cases
 from kestrelq.session import register, table
 
@@ -17,7 +18,6 @@ cases.sql("string_regexp", "part", "SELECT p_partkey, split_part(p_brand, '#', 2
 cases.sql("string_hash", "part", "SELECT p_partkey, CAST(levenshtein(p_name, p_brand) AS INT) AS d, md5(p_name) AS m, sha2(p_name, 256) AS s FROM part", "SELECT p_partkey, CAST(levenshtein(p_name, p_brand) AS INT) AS d, md5(p_name) AS m, sha256(p_name) AS s FROM part")
 cases.sql("string_unicode", "documents", "SELECT doc_id, CAST(length(text) AS INT) AS n, CAST(octet_length(text) AS INT) AS b, lower(text) AS l, CAST(size(filter(split(text, ' '), x -> x <> '')) AS INT) AS w FROM documents", "SELECT doc_id, CAST(length(text) AS INT) AS n, CAST(strlen(text) AS INT) AS b, lower(text) AS l, CAST(len(list_filter(string_split(text, ' '), lambda x: x <> '')) AS INT) AS w FROM documents")
 cases.sql("date_parts", "orders", "SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS y, CAST(month(o_orderdate) AS INT) AS m, CAST(quarter(o_orderdate) AS INT) AS q, CAST(weekofyear(o_orderdate) AS INT) AS w, CAST(dayofweek(o_orderdate) - 1 AS INT) AS d, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP_NTZ) AS t FROM orders", "SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS y, CAST(month(o_orderdate) AS INT) AS m, CAST(quarter(o_orderdate) AS INT) AS q, CAST(weekofyear(o_orderdate) AS INT) AS w, CAST(dayofweek(o_orderdate) AS INT) AS d, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS t FROM orders")
-cases.sql("date_difference", "lineitem orders", "SELECT DISTINCT o_orderkey, CAST(datediff(l_shipdate, o_orderdate) AS INT) AS days, date_format(o_orderdate, 'yyyy-MM') AS ym FROM lineitem JOIN orders ON l_orderkey = o_orderkey", "SELECT DISTINCT o_orderkey, CAST(datediff('day', o_orderdate, l_shipdate) AS INT) AS days, strftime(o_orderdate, '%Y-%m') AS ym FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
 cases.sql("date_epoch", "events", "SELECT event_id, unix_micros(CAST(ts AS TIMESTAMP)) AS us FROM events", "SELECT event_id, epoch_us(ts) AS us FROM events")
 cases.sql("math_functions", "lineitem", "SELECT l_orderkey, l_linenumber, l_partkey, abs(l_quantity - 25) AS a, CAST(floor(l_extendedprice) AS BIGINT) AS f, CAST(ceil(l_extendedprice) AS BIGINT) AS c, round(sqrt(l_quantity), 6) AS s, round(ln(l_quantity), 6) AS l, round(log10(l_quantity), 6) AS g, round(exp(l_discount), 6) AS e, CAST(sign(l_quantity - 25) AS INT) AS n, round(degrees(atan2(l_quantity, 10)), 6) AS d FROM lineitem")
 cases.sql("math_integer", "orders", "SELECT o_orderkey, (o_custkey - 700) DIV 7 AS q, (o_custkey - 700) % 7 AS m FROM orders", "SELECT o_orderkey, (o_custkey - 700) // 7 AS q, (o_custkey - 700) % 7 AS m FROM orders")
@@ -36,6 +36,15 @@ cases.sql("json_schema", "events", "SELECT event_id, from_json(props, 'k STRING'
 cases.sql("json_variant", "events", "SELECT event_id, try_variant_get(parse_json(props), '$.k', 'string') AS k FROM events", "SELECT event_id, props ->> '$.k' AS k FROM events")
 
 
+@cases.frame("SELECT DISTINCT o_orderkey, CAST(datediff('day', o_orderdate, l_shipdate) AS INT) AS days, strftime(o_orderdate, '%Y-%m') AS ym FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+def date_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order's rows meet in one task for the join and for the distinct rows, so tasks are cut by the number of rows."""
+    l, o = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_shipdate"), table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")  # noqa: E741
+    parts = joins.parts(l)
+    rows = l.repartition(parts, "l_orderkey").join(o.repartition(parts, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return rows.select("o_orderkey", F.datediff("l_shipdate", "o_orderdate").cast("int").alias("days"), F.date_format("o_orderdate", "yyyy-MM").alias("ym")).distinct()
+
+
 @cases.frame("SELECT l_orderkey, l_linenumber, l_partkey, l_quantity * 2 + 1 AS y FROM lineitem")
 def udf_pandas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", pf.double_plus_one("l_quantity").alias("y"))

@@ -123,3 +123,12 @@ def test_pandas_mean_gets_blocks_and_not_groups(spark):
     assert got.pop(9) is None and got == {k: pytest.approx(sum(v) / len(v)) for k, v in want.items()}
     block = F.shiftright(F.monotonically_increasing_id(), 6)
     assert max(r["count"] for r in df.groupBy("k", block).count().collect()) <= 64
+
+
+def test_dates_are_joined_in_tasks_of_bounded_size(spark, monkeypatch):
+    from kestrelq import plans
+
+    monkeypatch.setattr(joins.parts, "__defaults__", (500,))
+    df = plans.QUERIES["date_difference"](spark, "/root/testdata/sf0.001")
+    sizes = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 13 and max(sizes) < 1000
