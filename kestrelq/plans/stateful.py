@@ -20,9 +20,10 @@ QUERIES, ORACLE = cases.queries, cases.oracle
 def stream_timer_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions in arbitrary state, closed by event-time timers; the last ones by a row after the end."""
     early, later, end = halves(spark, sf_dir)
+    buckets = max(16, table(spark, sf_dir, "events").count() // 50_000)
 
     def build(e: DataFrame) -> DataFrame:
-        keyed = e.select("user_id", "ts").withWatermark("ts", "1 hour").groupBy("user_id")
+        keyed = e.select("user_id", "ts", F.pmod(F.xxhash64("user_id"), F.lit(buckets)).alias("bucket")).withWatermark("ts", "1 hour").groupBy("bucket")
         return keyed.transformWithStateInPandas(timers.TimedSessions(1800), timers.TimedSessions.SCHEMA, "Append", "EventTime")
 
     with timers.rocksdb(spark):

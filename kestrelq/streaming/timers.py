@@ -27,12 +27,13 @@ def rocksdb(spark: SparkSession) -> Iterator[None]:
 
 
 class TimedSessions(StatefulProcessor):
-    """Sessions of a user, closed by timers: a timer stands at the open session's end, and when the watermark passes it
-    the session is returned and its state goes. Rows of a batch may come in any order. A session that has grown has
-    another timer; the earlier one finds nothing to close.
+    """Sessions of users, closed by timers. Rows come grouped by a bucket of users (``bucket``), so calls for state are
+    a few for each bucket and batch, not for each user; a bucket's open sessions are one list. One timer stands at the
+    bucket's earliest end; when the watermark passes it, all sessions that it has passed are returned, and the next
+    timer stands at the earliest end of the rest. Rows of a batch may come in any order.
 
-    Rows before the watermark are dropped by Spark. A batch's rows are sorted, so those of one user in one batch have
-    to fit a task. Output: user_id, started, ended, n.
+    Rows before the watermark are dropped by Spark. A task holds one Arrow batch of rows and the open sessions of one
+    bucket. Output: user_id, started, ended, n.
     """
 
     SCHEMA = "user_id long, started timestamp, ended timestamp, n long"
@@ -42,45 +43,57 @@ class TimedSessions(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getListState("sessions", "started timestamp, ended timestamp, n long")
+        self.open = handle.getListState("sessions", "user_id long, started timestamp, ended timestamp, n long")
 
-    def _row(self, key, session) -> pd.DataFrame:
-        return pd.DataFrame({"user_id": [key[0]], "started": [session[0]], "ended": [session[1]], "n": [session[2]]})
+    def _held(self) -> pd.DataFrame:
+        held = pd.DataFrame(list(self.open.get()) if self.open.exists() else [], columns=["user_id", "started", "ended", "n"])
+        return held.astype({"user_id": "Int64", "started": "datetime64[us]", "ended": "datetime64[us]", "n": "int64"})
+
+    def _keep(self, sessions: pd.DataFrame, timer: bool) -> None:
+        if not len(sessions):
+            self.open.clear()
+            return
+        ids = [None if pd.isna(u) else int(u) for u in sessions.user_id]
+        self.open.put(list(zip(ids, *([t.to_pydatetime() for t in sessions[c]] for c in ("started", "ended")), map(int, sessions.n))))
+        if timer:
+            self.handle.registerTimer(int(_millis(sessions.ended).min()))
+
+    def _merged(self, sessions: pd.DataFrame) -> pd.DataFrame:
+        """Sessions that overlap become one."""
+        s = sessions.sort_values(["user_id", "started"], kind="stable", ignore_index=True)
+        same = s.user_id.eq(s.user_id.shift()).fillna(False).astype(bool) | (s.user_id.isna() & s.user_id.isna().shift(fill_value=False))
+        reach = s.groupby((~same).cumsum()).ended.cummax().shift()
+        run = (~(same & (s.started < reach))).cumsum()
+        return pd.DataFrame({"user_id": s.user_id.groupby(run).head(1).array, "started": s.started.groupby(run).min().array, "ended": s.ended.groupby(run).max().array, "n": s.n.groupby(run).sum().array})
 
     def handleInputRows(self, key, rows, timerValues):
-        times = sorted(t for b in rows for t in pd.to_datetime(b["ts"]))
-        spans = [(t, t + self.gap, 1) for t in times]
-        held = [(pd.Timestamp(s[0]), pd.Timestamp(s[1]), s[2]) for s in self.open.get()] if self.open.exists() else []
-        merged: list[list] = []
-        for a, b, n in sorted([*held, *spans], key=lambda s: s[0]):
-            if merged and a < merged[-1][1]:
-                merged[-1][1] = max(merged[-1][1], b)
-                merged[-1][2] += n
-            else:
-                merged.append([a, b, n])
+        held = self._held()
+        before = int(_millis(held.ended).min()) if len(held) else None
+        for b in rows:
+            ts = pd.to_datetime(b["ts"]).astype("datetime64[us]")
+            new = pd.DataFrame({"user_id": b["user_id"].astype("Int64"), "started": ts, "ended": ts + self.gap, "n": 1})
+            held = self._merged(pd.concat([held, new], ignore_index=True) if len(held) else new)
         # sessions stay until their timers: rows up to the watermark may still join them
-        self.open.put([(s[0].to_pydatetime(), s[1].to_pydatetime(), s[2]) for s in merged])
-        for end in {s[1] for s in merged} - {s[1] for s in held}:
-            self.handle.registerTimer(int(end.timestamp() * 1000) + 1)
+        self._keep(held, len(held) and int(_millis(held.ended).min()) != before)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        held = list(self.open.get()) if self.open.exists() else []
-        late = lambda s: int(pd.Timestamp(s[1]).timestamp() * 1000) + 1 <= now
-        left = [s for s in held if not late(s)]
-        if left:
-            self.open.put(left)
-        else:
-            self.open.clear()
-        for s in held:
-            if late(s):
-                yield self._row(key, s)
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        held = self._held()
+        late = _millis(held.ended) <= now
+        self._keep(held[~late], bool(late.any()))
+        if late.any():
+            yield held[late]
 
     def close(self) -> None:
         pass
 
 
+def _millis(ended: pd.Series) -> pd.Series:
+    """The first millisecond after a session's end, of the clock of the session's zone."""
+    return ended.astype("datetime64[us]").astype("int64") // 1000 + 1
+
+
 class Tallies(StatefulProcessor):
     """Rows of each type per user, in a map state whose entries expire when they have not been written for a time (of
     the clock). Output: a row for each type that a batch has touched, with its count since the entry began."""
