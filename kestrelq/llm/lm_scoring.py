@@ -39,8 +39,8 @@ WORDS, SURFACES, HEAD, LONG = 127, 180, 262_144, 64
 SYMBOLS = WORDS + SURFACES
 #: An own word's least count, and the same as a share of the square root of the tokens, whichever is more.
 OWN, OWN_SHARE = 20, 0.08
-#: Dimensions, noise samples a batch of positions, positions a batch.
-DIM, NOISE, BATCH = 16, 24, 768
+#: Dimensions, noise samples a batch of positions, positions a batch, batches whose gradients are added up at once.
+DIM, NOISE, BATCH, TOGETHER = 16, 24, 768, 8
 #: Synchronous rounds, longest step of a parameter, rounds over which the step grows to it (it falls as a cosine
 #: later), memory of the gradient's mean and of its square, size of a summed gradient that counts as evidence.
 ROUNDS, STEP, WARM, MEAN, SQUARE, EVIDENCE = 24, 0.4, 4, 0.3, 0.8, 10.0
@@ -232,7 +232,7 @@ class Model:
     c1, c2, then d and t and u of the m own words that are no class (and t, u of the rests)."""
 
     def __init__(self, p: np.ndarray, m: int):
-        self.p, self.m = p, m
+        self.p, self.m, self._sides = p, m, None
         ends = np.cumsum([0, SYMBOLS + 1, SYMBOLS, DIM, DIM, m, m + SURFACES])
         self.at = dict(zip(("r", "q", "c1", "c2", "d", "t"), map(slice, ends, ends[1:])))
         self.r, self.q, self.c1, self.c2, self.d, self.t = (p[s, :DIM] for s in self.at.values())
@@ -256,13 +256,20 @@ class Model:
             out.u[:] = np.log(members / members.sum())
         return out
 
-    def hidden(self, a: np.ndarray, z: np.ndarray, da: np.ndarray, dz: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """h, and the vectors of the contexts, by their classes and rows (m and more: no vector of their own)."""
-        va, vz = self.r[a], self.r[z]
-        for v, d in ((va, da), (vz, dz)):
-            own = np.flatnonzero(d < self.m)
-            v[own] += self.d[d[own]]
-        return va @ self.c1 + vz @ self.c2, va, vz
+    def vectors(self, group: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """The context vector of every number, by its class and row (m and more: no vector of its own)."""
+        own = np.flatnonzero(row < self.m)
+        v = self.r[group]
+        v[own] += self.d[row[own]]
+        return v
+
+    def sides(self, lookup: Lookup) -> tuple[np.ndarray, np.ndarray]:
+        """What every number adds to h as the first and as the second context; there are far fewer numbers than
+        positions, so h is one sum of two rows."""
+        if self._sides is None:
+            v = self.vectors(lookup.group, lookup.row)
+            self._sides = v @ self.c1, v @ self.c2
+        return self._sides
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Scores by the first and by the second context (bias in the first), and log normalisers of all
@@ -285,52 +292,87 @@ class Noise:
         return np.minimum(np.searchsorted(self.cdf, rng.random(NOISE) * self.cdf[-1]), len(self.cdf) - 1)
 
 
-def contrast(h: np.ndarray, w: np.ndarray, p: np.ndarray, noise: np.ndarray, log_noise: np.ndarray, grad: np.ndarray) -> np.ndarray:
-    """The gradient at h of the positions' log-likelihood ratio, where a target w is told from NOISE drawn ones by
-    s - log(expected noise); that at the targets' rows of p goes to ``grad``."""
-    rows = p[w]
-    x = np.einsum("nd,nd->n", h, rows[:, :DIM]) + rows[:, DIM] - log_noise[w]
-    miss = 1 / (1 + np.exp(np.clip(x, -30, 30)))
-    drawn = p[noise]
-    hit = h @ drawn[:, :DIM].T
-    hit += drawn[:, DIM] - log_noise[noise]
-    np.clip(hit, -30, 30, out=hit)
-    np.negative(hit, out=hit)
+def contrast(h: np.ndarray, w: np.ndarray, p: np.ndarray, noise: np.ndarray, log_noise: np.ndarray, grad: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The gradient at h (whose last column is 1) of the positions' log-likelihood ratio, where a target w is told
+    from NOISE drawn ones by s - log(expected noise); that at the targets' rows of p goes to ``own``, a row for each
+    position, that at the drawn ones' to ``grad``."""
+    rows, drawn = p.take(w, 0), p.take(noise, 0)
+    miss = 1 / (1 + np.exp(np.einsum("nd,nd->n", h, rows) - log_noise.take(w)))
+    minus = -drawn
+    minus[:, DIM] += log_noise[noise]
+    hit = h @ minus.T
     np.exp(hit, out=hit)
     hit += 1
     np.reciprocal(hit, out=hit)
-    one = np.empty_like(rows)
-    np.multiply(miss[:, None], h, out=one[:, :DIM])
-    one[:, DIM] = miss
-    add_rows(grad, w, one)
-    np.subtract.at(grad, noise, np.concatenate((hit.T @ h, hit.sum(0)[:, None]), 1))
+    np.multiply(miss[:, None], h, out=own)
+    np.subtract.at(grad, noise, hit.T @ h)
     return miss[:, None] * rows[:, :DIM] - hit @ drawn[:, :DIM]
 
 
 def add_rows(out: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
-    """out[at] += rows with repeats, by sorted segments."""
+    """out[at] += rows with repeats, by sorted segments. An even number of columns, two added at once as a complex
+    number."""
     order = np.argsort(at.astype(np.uint16) if len(out) < 1 << 16 else at, kind="stable")
     s = at[order]
     start = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-    out[s[start], : rows.shape[1]] += np.add.reduceat(rows[order], start, axis=0)
-
-
-def gradient(m: Model, grad: Model, numbers, noises: tuple[Noise, Noise], rng: np.random.Generator) -> None:
-    """Adds the gradient of the positions to ``grad``; numbers: (classes, rows) of targets and contexts."""
-    (w, a, z), (dw, da, dz) = numbers
-    noise, even = noises
-    h, va, vz = m.hidden(a, z, da, dz)
-    gh = contrast(h, w, m.p[m.at["q"]], noise.drawn(rng), noise.log, grad.p[grad.at["q"]])
-    i = np.flatnonzero(w >= WORDS)
-    if m.m and len(i):
-        gh[i] += contrast(h[i], dw[i], m.p[m.at["t"]], even.drawn(rng), even.log, grad.p[grad.at["t"]])
-    grad.c1 += va.T @ gh
-    grad.c2 += vz.T @ gh
-    both, g = np.concatenate((da, dz)), np.concatenate((gh @ m.c1.T, gh @ m.c2.T))
-    add_rows(grad.r, np.concatenate((a, z)), g)
-    own = np.flatnonzero(both < m.m)
-    if len(own):
-        add_rows(grad.d, both[own], g[own])
+    out[s[start]] += np.add.reduceat(rows.take(order, 0).view(np.complex64), start, axis=0).view(np.float32)
+
+
+class Gradient:
+    """The gradient of many positions at common parameters. What pulls on a number, as target, as member and as either
+    context, is summed by number in one pass over the places of a text, and meets the parameters once, in ``total``."""
+
+    TARGET, MEMBER, FIRST, SECOND = (slice(a, b) for a, b in zip((0, DIM + 1, 2 * DIM + 2, 3 * DIM + 2), (DIM + 1, 2 * DIM + 2, 3 * DIM + 2, 4 * DIM + 2)))
+
+    def __init__(self, model: Model, group: np.ndarray, row: np.ndarray, noises: tuple[Noise, Noise]):
+        self.model, self.group, self.row, self.noises = model, group, row, noises
+        self.v = model.vectors(group, row)
+        self.first, self.second = self.v @ model.c1, self.v @ model.c2
+        self.grad = Model(np.zeros_like(model.p), model.m)
+        self.sums = np.zeros((len(group), 4 * DIM + 2), np.float32)
+
+    def add(self, ids: list[np.ndarray], rng: np.random.Generator) -> None:
+        """Adds the positions of several texts, in batches that share their noise."""
+        flat, at = places(ids)
+        with np.errstate(over="ignore"):  # exp of a very unlikely score: the share is 0
+            for a in range(0, len(at), TOGETHER * BATCH):
+                self.batches(flat, at[a : a + TOGETHER * BATCH], rng)
+
+    def batches(self, flat: np.ndarray, at: np.ndarray, rng: np.random.Generator) -> None:
+        m, grad, (noise, even) = self.model, self.grad, self.noises
+        low = at[0] - 2  # the first position's contexts
+        pulls = np.zeros((at[-1] + 1 - low, self.sums.shape[1]), np.float32)
+        for a in range(0, len(at), BATCH):
+            p = at[a : a + BATCH]
+            w, p0 = flat.take(p), p - low
+            h = np.ones((len(p), DIM + 1), np.float32)
+            np.add(self.first.take(flat.take(p - 1), 0), self.second.take(flat.take(p - 2), 0), out=h[:, :DIM])
+            own, kinds = np.zeros((len(p), 2 * DIM + 2), np.float32), self.group.take(w)
+            g = contrast(h, kinds, m.p[m.at["q"]], noise.drawn(rng), noise.log, grad.p[grad.at["q"]], own[:, self.TARGET])
+            i = np.flatnonzero(kinds >= WORDS)
+            if m.m and len(i):
+                member = np.empty((len(i), DIM + 1), np.float32)
+                g[i] += contrast(h.take(i, 0), self.row.take(w.take(i)), m.p[m.at["t"]], even.drawn(rng), even.log, grad.p[grad.at["t"]], member)
+                own[i, self.MEMBER] = member
+            pulls[p0, : 2 * DIM + 2] = own
+            pulls[p0 - 1, self.FIRST] = g
+            pulls[p0 - 2, self.SECOND] = g
+        add_rows(self.sums, flat[low : at[-1] + 1], pulls)
+
+    def total(self) -> np.ndarray:
+        """The gradient at all rows of the parameters."""
+        m, grad, sums = self.model, self.grad, self.sums
+        target, member = np.flatnonzero(self.group != BEGIN), np.flatnonzero((self.group >= WORDS) & (self.group != BEGIN))
+        np.add.at(grad.p[grad.at["q"]], self.group[target], sums[target, self.TARGET])
+        if m.m:
+            grad.p[grad.at["t"]][self.row[member]] += sums[member, self.MEMBER]  # every member has a row of its own
+        g = sums[:, self.FIRST] @ m.c1.T + sums[:, self.SECOND] @ m.c2.T
+        np.add.at(grad.r, self.group, g)
+        own = np.flatnonzero(self.row < m.m)
+        grad.d[self.row[own]] += g[own]
+        grad.c1 += self.v.T @ sums[:, self.FIRST]
+        grad.c2 += self.v.T @ sums[:, self.SECOND]
+        return grad.p
 
 
 def log_sums(h: np.ndarray, q: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -350,11 +392,16 @@ def log_sums(h: np.ndarray, q: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def contexts(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(number, number before, number before that) of all positions of several texts."""
+def places(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of several texts in a row, each behind two of BEGIN, and where their positions stand."""
     pad = np.array([BEGIN, BEGIN])
     flat = np.concatenate([x for t in ids for x in (pad, t)])
-    at = np.flatnonzero(flat != BEGIN)
+    return flat, np.flatnonzero(flat != BEGIN)
+
+
+def contexts(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number, number before, number before that) of all positions of several texts."""
+    flat, at = places(ids)
     return flat[at], flat[at - 1], flat[at - 2]
 
 
@@ -378,24 +425,21 @@ def trained(encoded: DataFrame, lookup: Lookup, unigram: np.ndarray, members: np
         def run(batches, begin=begin, k=k):
             one_thread()
             now, (group, row, one, two) = Model(begin.value, m), fixed.value
-            grad, noises = Model(np.zeros_like(now.p), m), (Noise(one), Noise(two))
-            seen = 0
+            grad, seen = Gradient(now, group, row, (Noise(one), Noise(two))), 0
 
             def learn(raw: list[bytes]):
                 rng = np.random.default_rng((k, zlib.crc32(raw[0])))  # a retried task draws the same
-                numbers = contexts([np.frombuffer(x, kind) for x in raw])
-                for a in range(0, len(numbers[0]), BATCH):
-                    part = [x[a : a + BATCH] for x in numbers]
-                    gradient(now, grad, ([group[x] for x in part], [row[x] for x in part]), noises, rng)
+                grad.add([np.frombuffer(x, kind) for x in raw], rng)
 
             for b in batches:
                 for part in pieces(b, "ids", BLOCK * kind.itemsize):
                     learn(part["ids"].to_pylist())
                     seen += 1
             if seen:
-                at = np.flatnonzero(grad.p.any(1))
+                total = grad.total()
+                at = np.flatnonzero(total.any(1))
                 for a in range(0, len(at), 8192):
-                    x = np.ascontiguousarray(grad.p[at[a : a + 8192]].T)
+                    x = np.ascontiguousarray(total[at[a : a + 8192]].T)
                     yield pa.RecordBatch.from_arrays([pa.array(at[a : a + 8192]), *map(pa.array, x)], ["i", *columns])
 
         part = rows.where(F.col("slice") == k).select("ids").coalesce(tasks)
@@ -419,9 +463,10 @@ def trained(encoded: DataFrame, lookup: Lookup, unigram: np.ndarray, members: np
 def log_probabilities(m: Model, norm: np.ndarray, lookup: Lookup, numbers: tuple[np.ndarray, ...]) -> np.ndarray:
     """Natural logarithms, at every position, of P(class) * P(member); numbers as from ``contexts``, norm as
     from ``Model.tables``."""
-    (w, a, z), (dw, da, dz) = (tuple(x[i] for i in numbers) for x in (lookup.group, lookup.row))
-    h = m.hidden(a, z, da, dz)[0]
-    out = (np.einsum("nd,nd->n", h, m.q[w]) + m.b[w]).astype(np.float64)
+    (w, a, z), dw = (lookup.group.take(i) for i in numbers), lookup.row.take(numbers[0])
+    first, second = m.sides(lookup)
+    h = first.take(numbers[1], 0) + second.take(numbers[2], 0)
+    out = (np.einsum("nd,nd->n", h, m.q.take(w, 0)) + m.b.take(w)).astype(np.float64)
     own = (numbers[1] > BEGIN) | (numbers[2] > BEGIN)
     out[~own] -= norm[a[~own], z[~own]]
     out[own] -= log_sums(h[own], m.q, m.b)
@@ -430,7 +475,8 @@ def log_probabilities(m: Model, norm: np.ndarray, lookup: Lookup, numbers: tuple
     for s, among in enumerate(lookup.inner):
         at = order[ends[s] : ends[s + 1]]
         if len(at) and len(among) > 1:
-            out[at] += np.einsum("nd,nd->n", h[at], m.t[dw[at]]) + m.u[dw[at]] - log_sums(h[at], m.t[among], m.u[among])
+            here, of = h.take(at, 0), dw.take(at)
+            out[at] += np.einsum("nd,nd->n", here, m.t.take(of, 0)) + m.u.take(of) - log_sums(here, m.t[among], m.u[among])
     return out
 
 

@@ -141,6 +141,42 @@ def test_distribution_over_all_words_sums_to_one(make):
     assert p.sum() + p_unused == pytest.approx(1, abs=1e-4)
 
 
+def test_gradient_is_summed_once_for_many_batches(monkeypatch):
+    """Equal to sums position by position, with sums by number taken rarely: they cost most of a training task."""
+    head = [(b"%d" % k, 900 - k) for k in range(300)]
+    look, rng = L.Lookup(L.Vocabulary(head, {}, 100_000, 300)), np.random.default_rng(3)
+    noise = L.Noise(np.ones(L.SYMBOLS) / L.SYMBOLS), L.Noise(np.ones(300 - L.WORDS + L.SURFACES))
+    m = L.Model.start(np.full(L.SYMBOLS, 1 / L.SYMBOLS), np.ones(300 - L.WORDS + L.SURFACES))
+    m.p += rng.normal(0, 0.3, m.p.shape).astype(np.float32)
+    numbers = np.array([x for x in range(len(look.group)) if x != L.BEGIN])
+    texts = [rng.choice(numbers, k) for k in (1, 900, 40, 7000)]
+    calls, add_rows = [], L.add_rows
+    monkeypatch.setattr(L, "add_rows", lambda *x: calls.append(0) or add_rows(*x))
+    g = L.Gradient(m, look.group, look.row, noise)
+    g.add(texts, np.random.default_rng(1))
+    assert len(calls) == 2 and sum(map(len, texts)) > 10 * L.BATCH
+    want, draw, (w, x, y) = L.Model(np.zeros(m.p.shape), m.m), np.random.default_rng(1), L.contexts(texts)
+    v = m.vectors(look.group, look.row).astype(float)
+    for a in range(0, len(w), L.BATCH):
+        part = slice(a, a + L.BATCH)
+        h = np.concatenate((v[x[part]] @ m.c1 + v[y[part]] @ m.c2, np.ones((len(w[part]), 1))), 1)
+        pull = np.zeros((len(h), L.DIM))
+        for side, rows, z in (("q", look.group[w[part]], noise[0]), ("t", look.row[w[part]], noise[1])):
+            at = np.arange(len(h)) if side == "q" else np.flatnonzero(look.group[w[part]] >= L.WORDS)
+            p, grad, drawn, rows = m.p[m.at[side]].astype(float), want.p[want.at[side]], z.drawn(draw), rows[at]
+            miss = 1 / (1 + np.exp((h[at] * p[rows]).sum(1) - z.log[rows]))[:, None]
+            hit = 1 / (1 + np.exp(z.log[drawn] - h[at] @ p[drawn].T))
+            np.add.at(grad, rows, miss * h[at])
+            np.add.at(grad, drawn, -hit.T @ h[at])
+            pull[at] += miss * p[rows][:, : L.DIM] - hit @ p[drawn][:, : L.DIM]
+        for of, c, into in ((x[part], m.c1, want.c1), (y[part], m.c2, want.c2)):
+            back, own = pull @ c.T, np.flatnonzero(look.row[of] < m.m)
+            np.add.at(want.r, look.group[of], back)
+            np.add.at(want.d, look.row[of][own], back[own])
+            into += v[of].T @ pull
+    assert np.allclose(g.total(), want.p, rtol=1e-3, atol=0.02)
+
+
 def test_split_texts_equals_the_pattern():
     texts = [t for t in AWKWARD if t is not None] + ["\x0b\x0cA\x0dB ", "a" * 65 + " b", "İ É ß"]
     words, sizes = L.split_texts(pa.array([t.encode() for t in texts], pa.binary()))
