@@ -52,6 +52,8 @@ TOKENS_A_ROW = 32
 PAGE_ROWS = 200
 #: Positions whose scores are computed at once.
 BLOCK = 1 << 17
+#: Numbers whose factors of normalisers a scoring worker holds at most (2.5 KB each); with more, positions compute theirs.
+FACTORS = 1 << 15
 #: Distinct words that a counting worker holds before it passes them on.
 HELD = 150_000
 
@@ -232,7 +234,7 @@ class Model:
     c1, c2, then d and t and u of the m own words that are no class (and t, u of the rests)."""
 
     def __init__(self, p: np.ndarray, m: int):
-        self.p, self.m, self._sides = p, m, None
+        self.p, self.m, self._sides, self._factors = p, m, None, None
         ends = np.cumsum([0, SYMBOLS + 1, SYMBOLS, DIM, DIM, m, m + SURFACES])
         self.at = dict(zip(("r", "q", "c1", "c2", "d", "t"), map(slice, ends, ends[1:])))
         self.r, self.q, self.c1, self.c2, self.d, self.t = (p[s, :DIM] for s in self.at.values())
@@ -271,6 +273,30 @@ class Model:
             self._sides = v @ self.c1, v @ self.c2
         return self._sides
 
+    def factors(self, lookup: Lookup) -> tuple[np.ndarray, ...]:
+        """Of every number as first and as second context: exp of its scores of the classes below their highest, and
+        that; a normaliser is then a product of two rows, without an exp for each position and class."""
+        if self._factors is None:
+            first, second = self.sides(lookup)
+            a, z = first @ self.q.T + self.b, second @ self.q.T
+            tops = a.max(1), z.max(1)
+            self._factors = np.exp(a - tops[0][:, None]), np.exp(z - tops[1][:, None]), *tops
+        return self._factors
+
+    def normalisers(self, lookup: Lookup, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Log normalisers of the classes after contexts with the numbers x and y, in blocks of bounded size."""
+        a, z, top_a, top_z = self.factors(lookup)
+        out, size = np.empty(len(x), np.float32), max(1, (1 << 17) // SYMBOLS)
+        for k in range(0, len(x), size):
+            out[k : k + size] = np.einsum("nd,nd->n", a.take(x[k : k + size], 0), z.take(y[k : k + size], 0))
+        far = np.flatnonzero(out < 1e-25)  # near the end of single precision
+        with np.errstate(divide="ignore"):
+            out = np.log(out) + top_a.take(x) + top_z.take(y)
+        if len(far):
+            first, second = self.sides(lookup)
+            out[far] = log_sums(first[x[far]] + second[y[far]], self.q, self.b)
+        return out
+
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Scores by the first and by the second context (bias in the first), and log normalisers of all
         contexts, from products of matrices; natural logarithms."""
@@ -469,7 +495,10 @@ def log_probabilities(m: Model, norm: np.ndarray, lookup: Lookup, numbers: tuple
     out = (np.einsum("nd,nd->n", h, m.q.take(w, 0)) + m.b.take(w)).astype(np.float64)
     own = (numbers[1] > BEGIN) | (numbers[2] > BEGIN)
     out[~own] -= norm[a[~own], z[~own]]
-    out[own] -= log_sums(h[own], m.q, m.b)
+    if len(lookup.group) <= FACTORS:
+        out[own] -= m.normalisers(lookup, numbers[1][own], numbers[2][own])
+    else:
+        out[own] -= log_sums(h[own], m.q, m.b)
     order = np.argsort(w.astype(np.int16), kind="stable")
     ends = np.searchsorted(w[order], np.arange(WORDS, SYMBOLS + 1))
     for s, among in enumerate(lookup.inner):
