@@ -21,28 +21,35 @@ def pagerank(edges: DataFrame, src: str = "src", dst: str = "dst", damping: floa
     to any node; from a node without an edge out of it (dangling) always to any. It ends after ``rounds`` steps, or
     earlier when the ranks have changed by ``tolerance`` or less in all. Edges with a null end are left out; an edge to
     itself counts; an empty table has no node. The dangling mass is one number a round.
+
+    Edges are moved once, to buckets of their start, and ranks lie in buckets of their node, so a round moves only what
+    flows along the edges: at most a row for each. Numbers as nodes make that row small.
     """
-    with Rounds(edges.sparkSession, "pagerank") as r:
+    spark = edges.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with Rounds(spark, "pagerank") as r:
         e = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src IS NOT NULL AND dst IS NOT NULL")
-        e = r.write(e.groupBy("src", "dst").agg(F.count("*").alias("w")))
-        out = e.groupBy("src").agg(F.sum("w").alias("out"))
-        nodes = e.select(F.col("src").alias("node")).union(e.select(F.col("dst").alias("node"))).distinct()
-        nodes = r.write(nodes.join(out, nodes.node == out.src, "left").select("node", "out"))
-        n = nodes.count()
-        ranks = r.write(nodes.withColumn("rank", F.lit(1.0 / max(1, n))))
+        # grouped where the rows of a start have met already
+        e = r.bucketed(e.repartition(buckets, "src").groupBy("src", "dst").agg(F.count("*").alias("w")), "src", buckets)
+        starts = e.groupBy("src").agg(F.sum("w").alias("out")).withColumnRenamed("src", "node")
+        ends = e.select(F.col("dst").alias("node"), F.lit(None).cast("long").alias("out"))
+        nodes = r.bucketed(starts.unionByName(ends).groupBy("node").agg(F.sum("out").alias("out")), "node", buckets)
+        n, dangling = nodes.agg(F.count("*"), F.count(F.when(F.col("out").isNull(), 1))).first()
+        ranks, lost = nodes.withColumn("rank", F.lit(1.0 / max(1, n))), dangling / max(1, n)
         for _ in range(rounds if n else 0):
             share = ranks.where("out IS NOT NULL").select(F.col("node").alias("from"), (F.col("rank") / F.col("out")).alias("share"))
             got = e.join(share, F.col("src") == F.col("from")).groupBy("dst").agg(F.sum(F.col("share") * F.col("w")).alias("got"))
-            lost = ranks.where("out IS NULL").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
             rank = F.lit((1 - damping + damping * lost) / n) + damping * F.coalesce("got", F.lit(0.0))
-            now = r.write(ranks.join(got, F.col("node") == F.col("dst"), "left").select("node", "out", rank.alias("rank"), F.abs(rank - F.col("rank")).alias("moved")))
-            moved = now.agg(F.sum("moved")).first()[0]
+            now = ranks.join(got, F.col("node") == F.col("dst"), "left").select("node", "out", rank.alias("rank"), F.abs(rank - F.col("rank")).alias("moved"))
+            now = r.bucketed(now, "node", buckets)
+            moved, lost = now.agg(F.sum("moved"), F.coalesce(F.sum(F.when(F.col("out").isNull(), F.col("rank"))), F.lit(0.0))).first()
             r.drop(ranks)
             ranks = now
             if moved <= tolerance:
                 break
+        ranks = r.write(ranks.select("node", "rank"))
         r.keep(ranks)
-    return ranks.select("node", "rank")
+    return ranks
 
 
 def propagate_labels(edges: DataFrame, src: str = "src", dst: str = "dst", rounds: int = 10) -> DataFrame:

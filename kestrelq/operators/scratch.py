@@ -32,7 +32,7 @@ class Rounds:
     (and all of them if it fails)."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.name, self.paths = spark, name, []
+        self.spark, self.name, self.paths, self.tables = spark, name, [], {}
 
     def __enter__(self) -> Rounds:
         return self
@@ -49,6 +49,18 @@ class Rounds:
         out.scratch_path = path
         return out
 
+    def bucketed(self, df: DataFrame, by: str, buckets: int) -> DataFrame:
+        """Written in buckets of ``by``: joins and groupings by it move nothing. Not to be kept: its entry in the
+        catalog goes with its files."""
+        path = shared_path(self.spark, self.name)
+        name = "kestrelq_" + path.rsplit("/", 1)[1].replace("-", "_")
+        self.paths.append(path)
+        self.tables[path] = name
+        df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, by).sortBy(by).saveAsTable(name)
+        out = self.spark.table(name)
+        out.scratch_path = path
+        return out
+
     def drop(self, *tables: DataFrame) -> None:
         """Removes tables that no result needs any more; others than written ones are left alone."""
         self.remove([t.scratch_path for t in tables if hasattr(t, "scratch_path")])
@@ -60,6 +72,8 @@ class Rounds:
     def remove(self, paths: Iterable[str]) -> None:
         hadoop = self.spark._jvm.org.apache.hadoop.fs
         for path in list(paths):
+            if path in self.tables:
+                self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop(path)}")
             place = hadoop.Path(path)
             place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
             if path in self.paths:

@@ -40,6 +40,29 @@ def test_pagerank_converges_and_takes_no_edges(spark):
     assert graphs.pagerank(e.where("false")).collect() == []
 
 
+def test_a_round_of_pagerank_moves_no_edges(spark, monkeypatch):
+    """Edges and ranks lie in buckets; a round has one shuffle, that of sums by the edges' ends."""
+    moved, bucketed = [], graphs.Rounds.bucketed
+
+    def watched(self, df, by, buckets):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        moved.append([line for line in plan.splitlines() if "Exchange hashpartitioning" in line])
+        return bucketed(self, df, by, buckets)
+
+    monkeypatch.setattr(graphs.Rounds, "bucketed", watched)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        e = edges(9)
+        got = {r.node: r["rank"] for r in graphs.pagerank(spark.createDataFrame(e, "src int, dst int"), rounds=3).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    want = walk(e, 0.85, 3)
+    assert set(got) == set(want) and all(got[x] == pytest.approx(want[x], rel=1e-12) for x in want)
+    assert len(moved) == 5 and all(len(m) == 1 and "dst" in m[0] for m in moved[2:])
+    assert not any("pagerank" in t.name for t in spark.catalog.listTables())
+
+
 @pytest.mark.parametrize("seed", [3, 4])
 def test_labels(spark, seed):
     pairs = {(a, b) for a, b in edges(seed) if a is not None and b is not None and a != b}
