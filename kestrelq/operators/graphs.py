@@ -3,7 +3,7 @@
 Nodes are values of one type; an edge is a row. Every round of the iterative ones is one join of the edges with a
 table of a row per node and one aggregation with partial sums, and it is written, so that no lineage grows and a lost
 executor costs one round. The joins are plain shuffles of written tables, which adaptive execution splits at nodes
-with very many edges.
+with very many edges; PageRank's are of buckets, where the edges of one start stream through one task.
 """
 
 from __future__ import annotations
