@@ -1,16 +1,18 @@
-"""HTML extraction: blocks by structure, boilerplate by suffix arrays over a host's pages.
-
-Where markup settles what a block is, it decides: an article or main element is kept (a passage that several
-articles share is still article text, and adverts quote articles), menus, notices and the like go. Blocks that
-no markup settles, beside an article or on pages without one, go where substrings of at least LEAST tokens that
-occur on several distinct pages of the host cover them, and the unique ones stay.
-
-1. Pages are parsed where they lie; only what stands outside articles moves on.
-2. A host's pages meet in consecutive rows of one or more partitions, whatever its size, and are taken in
-   chunks of bounded size. A chunk's token streams are concatenated and their suffixes sorted, which gives its
-   distinct substrings with the number of pages of each.
-3. These are summed up over the chunks of a host, so what a chunk or a partition holds decides nothing.
-4. Each chunk gets back its repeated substrings, marks them, and drops the covered blocks.
+"""HTML extraction: blocks by structure, boilerplate by suffix arrays over a host's whole pages.
+
+Every block of every page, articles too, goes through the arrays: it is a repeat where substrings of at least LEAST
+tokens that occur on several distinct pages of the host cover it. Markup is the check that follows: a repeat inside an
+article or main element is restored (a passage that several articles share is still article text, and adverts quote
+articles), and so is one that no markup settles and that repeats only what articles say; menus, notices and the like
+go though they may occur once.
+
+1. Pages are parsed where they lie. A host's pages meet in one group, or where it is larger than CHUNK_CHARS in several
+   of about that size, over which its pages are dealt.
+2. A chunk's token streams are concatenated and their suffixes sorted by their first LEAST tokens. That gives its
+   distinct substrings of that length with the number of pages of each; a longer repeat is a union of these, on as
+   many pages or more, so sorting further would cover no other token.
+3. A host of one chunk is judged at once. The chunks of a larger one offer their substrings, dealt by key, and get back
+   those that occur on several pages of the host, so what a chunk or a partition holds decides nothing.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from __future__ import annotations
 import bisect
 import html as html_module
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +32,8 @@ from kestrelq.llm.common import pieces, quoted, written
 #: Tokens of the shortest repeated substring that counts (a shorter whole block counts as it is), distinct
 #: pages it has to occur on, share of a block's tokens that makes it covered.
 LEAST, PAGES, COVER = 6, 2, 0.8
-#: Characters of block text in one chunk of a host at most, beside the page that passes it.
-CHUNK_CHARS = 6_000_000
+#: Characters of html in one chunk of a host, about; chunks whose worth of substrings meets in one group.
+CHUNK_CHARS, MEETING = 12_000_000, 4
 
 _PLACE = np.random.default_rng(20240918).integers(0, 1 << 63, LEAST, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -68,6 +71,9 @@ END_TAG = re.compile(r"</([a-zA-Z][^\s/>]*)")
 #: whose own text is none of the page's but which may hold the article.
 ARTICLE, OUTSIDE, NEVER, WRAPPER = 0, 1, 2, 3
 
+#: Counts of a result's row: characters, blocks, blocks that are repeats, repeats that the check restores.
+COUNTS = ["n_chars", "n_blocks", "n_repeated", "n_restored"]
+
 
 def mark_of(token: str) -> str:
     """The mark in a class or id, if the whole of it is one, perhaps beside neutral words; else the empty string."""
@@ -283,34 +289,95 @@ def substring_keys(tokens: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))).view(np.int64)
 
 
+class Chunk:
+    """The token stream of some pages' blocks, each followed by a number of its own. Shorter blocks than LEAST are
+    filled up, so that they count as they are."""
+
+    def __init__(self, pages: list[list[str]]):
+        number: dict[str, int] = {}
+        stream, sizes, owner = [], [], []
+        for k, texts in enumerate(pages):
+            for text in texts:
+                tokens = [number.setdefault(t, len(number) + 1) for t in text.split(" ")]
+                tokens += [0] * (LEAST - len(tokens))
+                sizes.append(len(tokens))
+                owner.append(k)
+                stream += tokens
+                stream.append(-len(sizes))  # a block's end: equal to nothing
+        self.number, self.tokens = number, np.array(stream, np.int64)
+        self.sizes, self.owner = np.array(sizes, np.int64), np.array(owner, np.int64)
+        self.starts = np.concatenate(([0], np.cumsum(self.sizes + 1)))[:-1]
+
+    def of_tokens(self, of_blocks: np.ndarray) -> np.ndarray:
+        return np.repeat(of_blocks, self.sizes + 1)
+
+    def keys(self, at: np.ndarray) -> np.ndarray:
+        """Keys of the substrings that start at ``at`` and end in their blocks."""
+        import xxhash
+
+        hashes = np.array([0, *(xxhash.xxh64_intdigest(t) for t in self.number)], np.uint64)
+        out = np.empty(len(at), np.int64)
+        for k in range(0, len(at), 1 << 18):  # rows of LEAST numbers are large
+            out[k : k + (1 << 18)] = substring_keys(hashes[self.tokens[at[k : k + (1 << 18), None] + np.arange(LEAST)]])
+        return out
+
+    def inside(self, at: np.ndarray) -> np.ndarray:
+        """Which of the substrings that start at ``at`` end in their blocks."""
+        left = self.of_tokens(self.starts + self.sizes)[at] - at
+        return left >= LEAST
+
+    def counted(self, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Suffixes in order, where another substring of LEAST tokens begins there, and on how many distinct pages each
+        occurs, at all and in flagged blocks."""
+        page, flag = self.of_tokens(self.owner), self.of_tokens(flags)
+        suffixes, start, pages = suffix_groups(self.tokens - self.tokens.min(), page, LEAST)
+        group = np.repeat(np.arange(len(start)), np.diff(start, append=len(suffixes)))
+        own = flag[suffixes]
+        g, p = group[own], page[suffixes][own]
+        change = np.ones(len(g), bool)
+        change[1:] = (g[1:] != g[:-1]) | (p[1:] != p[:-1])
+        return suffixes, start, pages, np.bincount(g[change], minlength=len(start))
+
+    def covered(self, at: np.ndarray, cover: float = COVER) -> np.ndarray:
+        """Which blocks lie in the substrings that start at ``at`` by ``cover`` or more."""
+        if not len(self.sizes):
+            return np.empty(0, bool)
+        return np.add.reduceat(spread(at, len(self.tokens), LEAST).astype(np.int64), self.starts) / self.sizes >= cover
+
+
 def substrings(pages: list[list[str]], judged: list[list[bool]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of one chunk: keys of its distinct substrings of LEAST tokens, each one's number of distinct pages, and
-    whether it stands in a judged block. Shorter blocks are filled up, so that they count as they are."""
-    import xxhash
+    whether it stands in a judged block."""
+    keys, n, m = offers(Chunk(pages), np.array([x for flags in judged for x in flags], bool))
+    return keys, n, m > 0
+
+
+def offers(chunk: Chunk, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of a chunk's distinct substrings of LEAST tokens and each one's number of distinct pages, at all and in
+    flagged blocks."""
+    if not len(chunk.sizes):
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    suffixes, start, n, m = chunk.counted(flags)
+    own = chunk.inside(suffixes[start])
+    return chunk.keys(suffixes[start][own]), n[own], m[own]
+
 
-    number: dict[str, int] = {}
-    stream, owner, asked, end = [], [], [], -1
-    for k, (texts, flags) in enumerate(zip(pages, judged)):
-        for text, flag in zip(texts, flags):
-            tokens = [number.setdefault(t, len(number) + 1) for t in text.split(" ")]
-            tokens += [0] * (LEAST - len(tokens))
-            stream += tokens
-            stream.append(end)  # a block's end: equal to nothing
-            owner += [k] * (len(tokens) + 1)
-            asked += [flag] * (len(tokens) + 1)
-            end -= 1
-    if not stream:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
-    tokens = np.array(stream, np.int64)
-    suffixes, start, distinct = suffix_groups(tokens - tokens.min(), np.array(owner, np.int64), LEAST)
-    wanted = np.maximum.reduceat(np.array(asked, np.int8)[suffixes], start) > 0
-    ends = np.concatenate(([0], np.cumsum(tokens < 0)))
-    first = suffixes[start]
-    inside = first + LEAST < len(tokens)
-    inside[inside] = ends[first[inside] + LEAST] == ends[first[inside]]
-    hashes = np.array([0, *(xxhash.xxh64_intdigest(t) for t in number)], np.uint64)
-    rows = tokens[first[inside][:, None] + np.arange(LEAST)]
-    return substring_keys(hashes[rows]), distinct[inside], wanted[inside]
+def among(keys: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of ``keys`` in the ascending ``known``, and which of them are there."""
+    if not len(known):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    where = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return where, known[where] == keys
+
+
+def packed(keys: np.ndarray) -> bytes:
+    """Ascending unsigned keys as planes of the bytes of their differences."""
+    return zlib.compress(np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
 
 
 def uncovered(texts: list[str], found: np.ndarray, cover: float = COVER) -> list[str]:
@@ -328,7 +395,8 @@ def uncovered(texts: list[str], found: np.ndarray, cover: float = COVER) -> list
 
 
 def settled(found: list[tuple[int, str]]) -> str | None:
-    """The main text where markup settles it; None for a page with blocks to judge."""
+    """The main text where markup settles it; None for a page with blocks to judge. This and the steps below decide
+    page by page, given keys; ``checked`` decides on a chunk at once, and the tests hold one against the other."""
     if any(zone == OUTSIDE for zone, _ in found):
         return None
     return "\n".join(text for zone, text in found if zone == ARTICLE)
@@ -341,8 +409,8 @@ def outside(found: list[tuple[int, str]]) -> tuple[list[str], list[bool]]:
 
 
 def candidates(found: list[tuple[int, str]]) -> tuple[list[str], list[bool]]:
-    """Of a page with blocks to judge, all that may stay, in order, and which of them are article text."""
-    own = [] if settled(found) is not None else [(text, zone == ARTICLE) for zone, text in found if zone != NEVER]
+    """A page's blocks that may stay, in order, and which of them are article text."""
+    own = [(text, zone == ARTICLE) for zone, text in found if zone != NEVER]
     return [t for t, _ in own], [a for _, a in own]
 
 
@@ -351,94 +419,138 @@ def judged_text(texts: list[str], article: list[bool], keys: np.ndarray) -> str:
     return "\n".join(t for t, own in zip(texts, article) if own or uncovered([t], keys))
 
 
+def checked(pages: list[list[tuple[int, str]]], repeat: np.ndarray, chrome: np.ndarray) -> pa.Table:
+    """text, n_chars, n_blocks, n_repeated, n_restored of pages, given which of their blocks are repeats and which are
+    so outside articles alone. Repeats go; then the check by markup restores those inside articles and what only
+    articles repeat, and takes away what is marked as no article text."""
+    out, k = [], 0
+    for found in pages:
+        stay, repeated, restored = [], 0, 0
+        for zone, text in found:
+            keep = zone == ARTICLE or zone == OUTSIDE and not chrome[k]
+            if keep:
+                stay.append(text)
+            if repeat[k]:
+                repeated += 1
+                restored += keep
+            k += 1
+        text = "\n".join(stay)
+        out.append((text, len(text), len(found), repeated, restored))
+    columns = list(zip(*out)) or [[]] * 5
+    return pa.table([pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:])], ["text", *COUNTS])
+
+
+def bundle(pages: list[list[tuple[int, str]]]) -> bytes:
+    """Pages' blocks, none of which is empty or holds a line feed, as one compressed text with its length before it."""
+    text = "\n\n".join("\n".join(f"{zone}{text}" for zone, text in found) for found in pages).encode()
+    return len(text).to_bytes(8, "little") + pa.Codec("zstd", compression_level=6).compress(text, asbytes=True)
+
+
+def unbundled(data: bytes) -> list[list[tuple[int, str]]]:
+    text = pa.Codec("zstd").decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), asbytes=True).decode()
+    return [[(int(x[0]), x[1:]) for x in page.split("\n")] if page else [] for page in text.split("\n\n")]
+
+
+def flat(pages: list[list[tuple[int, str]]]) -> tuple[Chunk, np.ndarray]:
+    """The pages' stream, and which blocks stand outside articles."""
+    return Chunk([[text for _, text in found] for found in pages]), np.array([zone != ARTICLE for found in pages for zone, _ in found], bool)
+
+
 def host_of(url: F.Column) -> F.Column:
     """The host in lower case; the empty string for a null or relative address."""
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """id, url, text, n_chars per row of ``pages``.
+    """id, url, text, n_chars per row of ``pages``, its number of blocks, of those that are repeats on the host's pages,
+    and of the repeats that the check by markup restores.
 
     A null or empty html gives an empty text, a null url the empty host. Very long pages are parsed whole, in linear
     time. Repeated rows give a row each; copies of a page in one host repeat its text on distinct rows, which removes
     nothing inside an article. An empty table has no row; other columns, whatever their names, are not read.
-    Substrings are told apart by 64-bit keys inside a host.
+    Substrings are told apart by 64-bit keys inside a host of several chunks.
     """
     rows = pages.select(quoted(id_col).alias("id"), quoted(url_col).cast("string").alias("url"), quoted(html_col).alias("html"), host_of(quoted(url_col)).alias("host"))
     kind = rows.schema["id"].dataType.simpleString()
-
-    names = ["id", "url", "host", "rid", "text", "around", "judged", "blocks", "article"]
-    lists = (pa.list_(pa.string()), pa.list_(pa.bool_()))
+    # hosts larger than a chunk, so few that all tasks may know them
+    large = rows.groupBy("host").agg(F.sum(F.length("html")).alias("n")).where(F.col("n") > CHUNK_CHARS).select("host", F.ceil(F.col("n") / CHUNK_CHARS).alias("parts"))
+    dealt = rows.withColumn("rid", F.monotonically_increasing_id()).join(F.broadcast(large), "host", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = dealt.select("host", F.pmod(F.xxhash64("rid"), "parts").alias("part"), "parts", "id", "url", "html")
 
     def parse(batches):
-        from pyspark import TaskContext
-
-        rid = TaskContext.get().partitionId() << 36
         for b in batches:
-            for part in pieces(b, "html"):
+            for part in pieces(b, "html", 8 << 20):
                 found = [blocks(h or "") for h in part["html"].to_pylist()]
-                around, judged = zip(*map(outside, found))
-                own, article = zip(*map(candidates, found))
-                texts = pa.array(map(settled, found), pa.string())
-                rids = pa.array(np.arange(rid, rid + len(found)))
-                rid += len(found)
-                yield pa.RecordBatch.from_arrays([part["id"], part["url"], part["host"], rids, texts, pa.array(around, lists[0]), pa.array(judged, lists[1]), pa.array(own, lists[0]), pa.array(article, lists[1])], names)
-
-    parsed = written(rows.mapInArrow(parse, f"id {kind}, url string, host string, rid long, text string, around array<string>, judged array<boolean>, blocks array<string>, article array<boolean>"), "html-parsed")
-
-    def chunks(batches):
-        from pyspark import TaskContext
-
-        host, held, size, chunk = None, [], 0, TaskContext.get().partitionId() << 36
-
-        def flush():
-            around, judged = [h["around"] for h in held], [h["judged"] for h in held]
-            keys, n, asked = substrings(around, judged)
-            waiting = [h for h in held if h["open"]]
-            m, w = len(keys), len(waiting)
-            no, ids = lambda kind: pa.nulls(m, kind), pa.array([h["id"] for h in waiting], id_type)
-            pair = lambda x, y: pa.concat_arrays([x, y])
-            cols = [
-                pa.array([chunk] * (m + w), pa.int64()),
-                pa.array([host] * (m + w), pa.string()),
-                pair(pa.array(keys), pa.nulls(w, pa.int64())),
-                pair(pa.array(n), pa.nulls(w, pa.int64())),
-                pair(pa.array(asked), pa.nulls(w, pa.bool_())),
-                pair(no(id_type), ids),
-                pair(no(pa.string()), pa.array([h["url"] for h in waiting], pa.string())),
-                pair(no(lists[0]), pa.array([h["blocks"] for h in waiting], lists[0])),
-                pair(no(lists[1]), pa.array([h["article"] for h in waiting], lists[1])),
-            ]
-            return pa.RecordBatch.from_arrays(cols, ["chunk", "host", "key", "pages", "asked", "id", "url", "blocks", "article"])
-
-        for b in batches:
-            id_type = b["id"].type
-            for row in b.to_pylist():
-                if held and (row["host"] != host or size > CHUNK_CHARS):
-                    yield flush()
-                    held, size, chunk = [], 0, chunk + 1
-                host = row["host"]
-                held.append(row)
-                size += sum(map(len, row["around"])) + sum(map(len, row["blocks"]))
-        if held:
-            yield flush()
-
+                places: dict[tuple, list[int]] = {}
+                for k, place in enumerate(zip(*(part[c].to_pylist() for c in ("host", "part", "parts")))):
+                    places.setdefault(place, []).append(k)
+                ends = np.cumsum([0, *map(len, places.values())])
+                order = pa.array([k for own in places.values() for k in own])
+                ids, urls = (pa.ListArray.from_arrays(pa.array(ends, pa.int32()), part[c].take(order)) for c in ("id", "url"))
+                bundles = pa.array([bundle([found[k] for k in own]) for own in places.values()], pa.binary())
+                yield pa.RecordBatch.from_arrays([*map(pa.array, zip(*places)), ids, urls, bundles], ["host", "part", "parts", "ids", "urls", "blocks"])
+
+    place = "host string, part long"
+    stored = written(dealt.mapInArrow(parse, f"{place}, parts long, ids array<{kind}>, urls array<string>, blocks binary"), "html-blocks")
     n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    streams = parsed.where(F.size("around") > 0).select("host", "rid", "id", "url", "around", "judged", "blocks", "article", F.col("text").isNull().alias("open"))
-    streams = streams.repartitionByRange(n, "host", "rid").sortWithinPartitions("host", "rid")
-    found = written(streams.mapInArrow(chunks, f"chunk long, host string, key long, pages long, asked boolean, id {kind}, url string, blocks array<string>, article array<boolean>"), "html-substrings")
-    keys = found.where("key IS NOT NULL").select("chunk", "host", "key", "pages", "asked")
-    known = keys.groupBy("host", "key").agg(F.sum("pages").alias("n"), F.max("asked").alias("asked")).where(F.col("asked") & (F.col("n") >= PAGES))
-    known = written(known.select("host", "key"), "html-repeated")  # so that the join can split a large host
-    marks = keys.where("asked").join(known, ["host", "key"]).select(F.col("chunk").alias("of"), "key")
-
-    def judge(waiting: pa.Table, marks: pa.Table) -> pa.Table:
-        """The open pages of a chunk without their covered blocks; both sides are bounded by the chunk."""
-        repeats = np.asarray(marks["key"])
-        texts = [judged_text(x, own, repeats) for x, own in zip(waiting["blocks"].to_pylist(), waiting["article"].to_pylist())]
-        return pa.table([waiting["id"], waiting["url"], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], [id_col, "url", "text", "n_chars"])
-
-    waiting = found.where("key IS NULL").select("chunk", "id", "url", "blocks", "article")
-    late = waiting.groupBy("chunk").cogroup(marks.groupBy("of")).applyInArrow(judge, f"`{id_col}` {kind}, url string, text string, n_chars long")
-    done = parsed.where("text IS NOT NULL").select(F.col("id").alias(id_col), "url", "text", F.length("text").cast("long").alias("n_chars"))
-    return done.unionByName(late)
+
+    def offer(table: pa.Table) -> pa.Table:
+        """A chunk's substrings, in buckets of keys."""
+        keys, *counts = offers(*flat([x for b in table["blocks"].to_pylist() for x in unbundled(b)]))
+        keys = keys.view(np.uint64)
+        order = np.argsort(keys)
+        keys, (at_all, outside_of) = keys[order], (np.minimum(c, PAGES)[order] for c in counts)
+        both = (at_all + (PAGES + 1) * outside_of).astype(np.uint8)
+        buckets = np.uint64(-(-table["parts"][0].as_py() // MEETING))
+        own, at = np.unique((keys >> np.uint64(32)) * buckets >> np.uint64(32), return_index=True)
+        cuts = list(zip(at, [*at[1:], len(keys)]))
+        host, part = ([table[c][0].as_py()] * len(own) for c in ("host", "part"))
+        columns = [pa.array(host, pa.string()), pa.array(part, pa.int64()), pa.array(own.astype(np.int64))]
+        columns += [pa.array([packed(keys[a:b]) for a, b in cuts], pa.binary()), pa.array([zlib.compress(both[a:b].tobytes(), 1) for a, b in cuts], pa.binary())]
+        return pa.table(columns, ["host", "part", "bucket", "keys", "counts"])
+
+    def meet(table: pa.Table) -> pa.Table:
+        """To each chunk, those of its keys in a bucket that occur on several pages of the host, and whether they do
+        so outside articles."""
+        keys = [unpacked(x) for x in table["keys"].to_pylist()]
+        counts = np.concatenate([np.frombuffer(zlib.decompress(x), np.uint8) for x in table["counts"].to_pylist()])
+        _, which = np.unique(np.concatenate(keys), return_inverse=True)
+        repeat = np.bincount(which, counts % (PAGES + 1))[which] >= PAGES
+        chrome = np.bincount(which, counts // (PAGES + 1))[which] >= PAGES
+        some, more, a = [], [], 0
+        for x in keys:
+            own = repeat[a : a + len(x)]
+            some.append(packed(x[own]))
+            more.append(zlib.compress(chrome[a : a + len(x)][own].tobytes(), 1))
+            a += len(x)
+        return pa.table([table["host"], table["part"], pa.array(some, pa.binary()), pa.array(more, pa.binary())], ["host", "part", "keys", "chrome"])
+
+    offered = stored.where("parts > 1").select("host", "part", "parts", "blocks").repartition(n, "host", "part").groupBy("host", "part")
+    offered = offered.applyInArrow(offer, f"{place}, bucket long, keys binary, counts binary")
+    repeats = written(offered.groupBy("host", "bucket").applyInArrow(meet, f"{place}, keys binary, chrome binary"), "html-repeats")
+
+    def judge(table: pa.Table, repeats: pa.Table) -> pa.Table:
+        """The pages of a chunk, given its repeats in the host where that has others; both are bounded by the chunk."""
+        found = [x for b in table["blocks"].to_pylist() for x in unbundled(b)]
+        chunk, outer = flat(found)
+        if not len(chunk.sizes):
+            repeat = chrome = np.empty(0, bool)
+        elif table["parts"][0].as_py() == 1:
+            suffixes, start, *counts = chunk.counted(outer)
+            size = np.diff(start, append=len(suffixes))
+            repeat, chrome = (chunk.covered(suffixes[np.repeat(c >= PAGES, size)]) for c in counts)
+        else:
+            known = np.concatenate([np.empty(0, np.uint64), *map(unpacked, repeats["keys"].to_pylist())])
+            outside_of = np.concatenate([np.empty(0, bool), *(np.frombuffer(zlib.decompress(x), bool) for x in repeats["chrome"].to_pylist())])
+            order = np.argsort(known)
+            at = np.arange(len(chunk.tokens))
+            at = at[chunk.inside(at)]
+            where, hit = among(chunk.keys(at).view(np.uint64), known[order])
+            repeat, chrome = chunk.covered(at[hit]), chunk.covered(at[hit][outside_of[order][where[hit]]])
+        text = checked(found, repeat, chrome)
+        ids, urls = (pa.concat_arrays([x.flatten() for x in table[c].chunks]) for c in ("ids", "urls"))
+        return pa.table([ids, urls, *text.columns], [id_col, "url", *text.column_names])
+
+    result = f"`{id_col}` {kind}, url string, text string, " + ", ".join(f"{c} long" for c in COUNTS)
+    chunks = stored.select("host", "part", "parts", "ids", "urls", "blocks").repartition(n, "host", "part")
+    return chunks.groupBy("host", "part").cogroup(repeats.groupBy("host", "part")).applyInArrow(judge, result)

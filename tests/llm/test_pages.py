@@ -208,3 +208,78 @@ def test_chunks_and_partitions_decide_nothing(spark, monkeypatch, size):
     monkeypatch.setattr(H, "CHUNK_CHARS", size)
     got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()}
     assert got == want
+
+
+def plain_counts(rows):
+    """(blocks, repeats, restored repeats) by page of distinct ids, by a plain count of the runs of LEAST tokens on each host's pages."""
+    runs = lambda t: [tuple(t[i : i + H.LEAST]) for i in range(len(t) - H.LEAST + 1)]
+    filled = lambda text: text.split(" ") + [""] * (H.LEAST - len(text.split(" ")))
+    pages = {i: (host, H.blocks(page or "")) for i, host, page in rows}
+    on, off = {}, {}
+    for i, (host, found) in pages.items():
+        for zone, text in found:
+            for run in runs(filled(text)):
+                on.setdefault((host, run), set()).add(i)
+                if zone != H.ARTICLE:
+                    off.setdefault((host, run), set()).add(i)
+
+    def covered(host, text, seen):
+        t, inside = filled(text), set()
+        for k, run in enumerate(runs(t)):
+            if len(seen.get((host, run), ())) >= H.PAGES:
+                inside |= set(range(k, k + H.LEAST))
+        return len(inside) / len(t) >= H.COVER
+
+    out = {}
+    for i, (host, found) in pages.items():
+        repeats = [(zone, text) for zone, text in found if covered(host, text, on)]
+        back = [z for z, t in repeats if z == H.ARTICLE or z == H.OUTSIDE and not covered(host, t, off)]
+        out[i] = (len(found), len(repeats), len(back))
+    return out
+
+
+def test_every_block_of_the_test_pages_meets_the_arrays(spark):
+    """Pages that markup settles too: what the host's repeats cover is counted and taken away, articles are restored."""
+    from urllib.parse import urlsplit
+
+    df = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    want = plain_counts([(r.page_id, urlsplit(r.url).hostname, r.html) for r in df.collect()])
+    got = {r.page_id: (r.n_blocks, r.n_repeated, r.n_restored) for r in Q.QUERIES["op6_html_extraction"](spark, "/root/testdata/sf0.01").collect()}
+    assert got == want and sum(r for _, r, _ in want.values()) > sum(b for _, _, b in want.values()) > 0
+
+
+@pytest.mark.parametrize("size", [1, 3000, 12_000_000])
+def test_whole_pages_meet_whatever_a_chunk_holds(spark, monkeypatch, size):
+    """Articles, adverts and open blocks that quote each other on the pages of three hosts, in one chunk or many."""
+    rng = random.Random(5)
+    words = lambda n: " ".join(rng.choice("abcdefgh") + str(rng.randint(0, 40)) for _ in range(n))
+    pool = [words(rng.choice([1, 3, 7, 20])) for _ in range(40)]
+    frames = ["<div>{}</div>", "<article>{}</article>", "<nav>{}</nav>", "<p class=ad>{}</p>"]
+    rows = []
+    for k in range(240):
+        texts = [rng.choice(pool) if rng.random() < 0.5 else words(rng.choice([1, 2, 5, 6, 9, 30])) for _ in range(rng.randint(0, 6))]
+        page = "".join(rng.choice(frames).format(t + " " + rng.choice(pool) if rng.random() < 0.2 else t) for t in texts)
+        rows.append((k, rng.choice(["a.x", "b.x", ""]), page or rng.choice(["", None])))
+    monkeypatch.setattr(H, "CHUNK_CHARS", size)
+    table = spark.createDataFrame([(k, f"http://{host.upper()}/p" if host else None, page, None, None) for k, host, page in rows], SCHEMA)
+    got = {r.page_id: r for r in H.extract(table.repartition(3)).collect()}
+    assert {k: (r.n_blocks, r.n_repeated, r.n_restored) for k, r in got.items()} == plain_counts(rows)
+    for host in ("a.x", "b.x", ""):
+        own = [(k, page) for k, h, page in rows if h == host]
+        assert [got[k].text for k, _ in own] == main_texts([H.blocks(page or "") for _, page in own])
+
+
+def test_a_passage_of_many_articles_is_a_repeat_that_is_restored(spark):
+    license = "released under the terms of the license that all pages of this host name"
+    pages = [f"<nav>{license}</nav><article><p>Story {k} is told once</p><p>{license}</p></article>" for k in range(3)]
+    got = H.extract(spark.createDataFrame([(k, "http://h.x/", p, None, None) for k, p in enumerate(pages)], SCHEMA)).collect()
+    assert {(r.page_id, r.text, r.n_blocks, r.n_repeated, r.n_restored) for r in got} == {(k, f"Story {k} is told once\n{license}", 3, 2, 1) for k in range(3)}
+
+
+def test_bundles_and_keys_come_back():
+    import numpy as np
+
+    for pages in ([[]], [[], []], [[], [(2, "x")], [], []], [[(0, "a b"), (1, "0")], [(3, "é\0 c")]]):
+        assert H.unbundled(H.bundle(pages)) == pages
+    keys = np.array([0, 1, 255, 1 << 40, (1 << 64) - 1], np.uint64)
+    assert (H.unpacked(H.packed(keys)) == keys).all() and len(H.unpacked(H.packed(keys[:0]))) == 0
