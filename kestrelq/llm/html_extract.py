@@ -256,15 +256,15 @@ def suffix_groups(stream: np.ndarray, page: np.ndarray, least: int) -> tuple[np.
     """
     n = len(stream)
     rank, width = stream.astype(np.int64), 1
+    base = max(n, int(stream.max())) + 2
     while width < least:
         step = min(width, least - width)  # the overlap of two ranks is allowed: both start inside
-        other = np.full(n, -1, np.int64)
-        other[: n - step] = rank[step:]
-        order = np.lexsort((other, rank))
-        a, b = rank[order], other[order]
-        new = np.concatenate(([0], np.cumsum((a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+        both = rank * base  # a pair of ranks as one number
+        both[: n - step] += rank[step:] + 1
+        order = np.argsort(both)
+        both = both[order]
         rank = np.empty(n, np.int64)
-        rank[order] = new
+        rank[order] = np.concatenate(([0], np.cumsum(both[1:] != both[:-1])))
         width += step
     suffixes = np.argsort(rank, kind="stable")
     r, p = rank[suffixes], page[suffixes]

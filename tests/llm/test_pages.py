@@ -283,3 +283,20 @@ def test_bundles_and_keys_come_back():
         assert H.unbundled(H.bundle(pages)) == pages
     keys = np.array([0, 1, 255, 1 << 40, (1 << 64) - 1], np.uint64)
     assert (H.unpacked(H.packed(keys)) == keys).all() and len(H.unpacked(H.packed(keys[:0]))) == 0
+
+
+def test_suffixes_sort_by_their_first_tokens():
+    """Against a plain sort, on streams whose numbers fill their range and on such that pass their length."""
+    import numpy as np
+
+    rng = random.Random(7)
+    for top in (1, 3, 11, 12, 13, 10**6):
+        for n in (1, 2, 5, 12, 60):
+            stream = [rng.randint(0, top) for _ in range(n - 1)] + [top]
+            page = sorted(rng.randint(0, 3) for _ in range(n))
+            suffixes, start, pages = H.suffix_groups(np.array(stream), np.array(page), H.LEAST)
+            want = sorted(range(n), key=lambda i: (stream[i : i + H.LEAST], i))
+            heads = [stream[i : i + H.LEAST] for i in want]
+            assert suffixes.tolist() == want
+            assert start.tolist() == [k for k in range(n) if k == 0 or heads[k] != heads[k - 1]]
+            assert pages.tolist() == [len({page[i] for i, h in zip(want, heads) if h == heads[a]}) for a in start]
