@@ -85,7 +85,8 @@ def numbered(nodes: DataFrame, by: list[str], r: Rounds) -> DataFrame:
     gets one number a partition. Ids are int where they fit."""
     low = (1 << 33) - 1  # monotonically_increasing_id: the partition above 33 bits of the row's place in it
     placed = r.write(nodes.orderBy(*by).withColumn("id", F.monotonically_increasing_id()))
-    sizes = {x["part"]: x["count"] for x in placed.groupBy(F.shiftright("id", 33).alias("part")).count().collect()}
+    with r.tidied():
+        sizes = {x["part"]: x["count"] for x in placed.groupBy(F.shiftright("id", 33).alias("part")).count().collect()}
     before, total = [], 0
     for part in range(max(sizes, default=0) + 1):
         before.append(total)
@@ -110,39 +111,73 @@ def oriented(edges: DataFrame, src: str, dst: str, r: Rounds) -> tuple[DataFrame
     number of edges, hubs least of all."""
     e = edges.select(F.least(src, dst).alias("a"), F.greatest(src, dst).alias("b")).where(F.col(src) != F.col(dst))
     one = r.write(e.distinct())
-    degree = one.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("d"))
-    nodes = numbered(degree, ["d", "node"], r)
-    ids = by_ids(one, nodes, ("a", "b"))
-    out = r.write(ids.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")))
-    r.drop(one)
+    # one table for each end, so that the shuffles of edges are not on disk together; likewise the ids
+    ends = [r.write(one.groupBy(F.col(c).alias("node")).agg(F.count("*").alias("d"))) for c in ("a", "b")]
+    nodes = numbered(ends[0].unionByName(ends[1]).groupBy("node").agg(F.sum("d").alias("d")), ["d", "node"], r)
+    half = r.write(by_ids(one, nodes, ("a",)))
+    r.drop(one, *ends)
+    out = r.write(by_ids(half, nodes, ("b",)).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")))
+    r.drop(half)
     return out, nodes
 
 
-def triangles(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+def triangles(edges: DataFrame, src: str = "src", dst: str = "dst", at_once: int = 1 << 24) -> DataFrame:
     """node, triangles: of every node with a neighbour, the number of triangles that it is a corner of.
 
     Edges have no direction here; repeated ones count once, those of a node to itself or with a null end not at all.
     Edges are oriented by degree, so a node's list of later neighbours is short even where a hub has all others as
     neighbours. For each edge the later end's list goes to the earlier end and the two lists are intersected: what moves
     is one array of ids for an edge, E^1.5 ids in all at most, and no pair of edges is ever a row.
+
+    The lists go in rounds of earlier ends, each of about 2 E ids (``at_once``, if that is more), and a round's shuffles
+    are removed with it. So the disk is that of a few ids for an edge, however long the lists are, and there are as many
+    more rounds as there is more to move.
     """
-    with Rounds(edges.sparkSession, "triangles") as r:
+    with Rounds(edges.sparkSession, "triangles", tidy=True) as r:
         e, nodes = oriented(edges, src, dst, r)
         lists = r.write(e.groupBy("u").agg(F.collect_list("v").alias("near")))
-        later = lists.select(F.col("u").alias("v"), F.col("near").alias("far"))
-        # lists are unique and short, so they are the hashed side; the edges stream by
-        sent = e.join(later.hint("shuffle_hash"), "v")
-        met = sent.join(lists.where(F.size("near") > 1).hint("shuffle_hash"), "u").select("u", "v", F.array_intersect("far", "near").alias("w")).where(F.size("w") > 0)
-        # partial sums a task, before any shuffle of corners
-        count = lambda node, c: F.struct(F.col(node).alias("id"), c.cast("long").alias("c"))
-        third = F.transform("w", lambda x: F.struct(x.alias("id"), F.lit(1).cast("long").alias("c")))
-        corners = met.select(F.inline(F.concat(F.array(count("u", F.size("w")), count("v", F.size("w"))), third)))
-        corners = corners.groupBy("id").agg(F.sum("c").alias("c"))
+        r.drop(e)
+        rounds, parts = _rounds(lists, nodes, at_once, r), []
+        for k in range(rounds):
+            parts.append(r.write(_corners(lists.where(F.pmod("u", F.lit(rounds)) == k), lists)))
+            if len(parts) == 16:
+                parts = [_added(parts, r)]
+        corners = _added(parts, r)
         out = r.write(nodes.join(corners, "id", "left").select("node", F.coalesce("c", F.lit(0)).cast("long").alias("triangles")))
         r.keep(out)
     return out
 
 
+def _rounds(lists: DataFrame, nodes: DataFrame, at_once: int, r: Rounds) -> int:
+    """A node's list is sent once for each of its earlier neighbours, who are those that its list does not have."""
+    size = lists.select(F.col("u").alias("id"), F.size("near").cast("long").alias("later"))
+    with r.tidied():
+        ids, n = size.join(nodes, "id").agg(F.sum(F.col("later") * (F.col("d") - F.col("later"))), F.sum("later")).first()
+    return -(-(ids or 0) // max(at_once, 2 * (n or 0))) or 1
+
+
+def _corners(near: DataFrame, lists: DataFrame) -> DataFrame:
+    """id, c: corners in the triangles whose earliest node is in ``near``."""
+    near = near.where(F.size("near") > 1)
+    later = lists.select(F.col("u").alias("v"), F.col("near").alias("far"))
+    # lists are unique and short, so they are the hashed side; the edges stream by
+    sent = near.select("u", F.explode("near").alias("v")).join(later.hint("shuffle_hash"), "v")
+    met = sent.join(near.hint("shuffle_hash"), "u").select("u", "v", F.array_intersect("far", "near").alias("w")).where(F.size("w") > 0)
+    # partial sums a task, before any shuffle of corners
+    count = lambda node, c: F.struct(F.col(node).alias("id"), c.cast("long").alias("c"))
+    third = F.transform("w", lambda x: F.struct(x.alias("id"), F.lit(1).cast("long").alias("c")))
+    corners = met.select(F.inline(F.concat(F.array(count("u", F.size("w")), count("v", F.size("w"))), third)))
+    return corners.groupBy("id").agg(F.sum("c").alias("c"))
+
+
+def _added(parts: list[DataFrame], r: Rounds) -> DataFrame:
+    """The sums of written parts, which are removed."""
+    whole = r.spark.read.schema(parts[0].schema).parquet(*(p.scratch_path for p in parts))
+    out = r.write(whole.groupBy("id").agg(F.sum("c").alias("c")))
+    r.drop(*parts)
+    return out
+
+
 def wedge_bound(edges: DataFrame, src: str = "src", dst: str = "dst") -> tuple[int, int]:
     """Wedges that ``triangles`` looks at, and those of the graph as it stands: what the orientation saves."""
     pairs = lambda d: F.coalesce(F.sum(_pairs(F.col(d))), F.lit(0)).cast("long")

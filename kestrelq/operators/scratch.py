@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,12 +28,16 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark then removes the shuffle files of an execution when it ends, not when the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Rounds:
     """Writes tables so that no lineage grows from round to round; ``keep`` removes all others when the work is done
-    (and all of them if it fails)."""
+    (and all of them if it fails). With ``tidy`` the shuffle files of each table go once it is written."""
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.name, self.paths, self.tables = spark, name, [], {}
+    def __init__(self, spark: SparkSession, name: str, tidy: bool = False):
+        self.spark, self.name, self.tidy, self.paths, self.tables = spark, name, tidy, [], {}
 
     def __enter__(self) -> Rounds:
         return self
@@ -41,9 +46,22 @@ class Rounds:
         if kind is not None:
             self.remove(self.paths)
 
+    @contextmanager
+    def tidied(self) -> Iterator[None]:
+        """For executions whose frames are not used again."""
+        old = self.spark.conf.get(CLEANUP, None)
+        if self.tidy:
+            self.spark.conf.set(CLEANUP, "true")
+        try:
+            yield
+        finally:
+            if self.tidy:
+                self.spark.conf.unset(CLEANUP) if old is None else self.spark.conf.set(CLEANUP, old)
+
     def write(self, df: DataFrame) -> DataFrame:
         path = shared_path(self.spark, self.name)
-        df.write.option("compression", "zstd").parquet(path)
+        with self.tidied():
+            df.write.option("compression", "zstd").parquet(path)
         self.paths.append(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path

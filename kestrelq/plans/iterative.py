@@ -115,10 +115,11 @@ SELECT node, count(a) AS triangles FROM (SELECT u AS node FROM e UNION SELECT v
 @cases.frame(TRIANGLES)
 def graph_triangles(spark, sf_dir):
     """Customers, parts and suppliers that meet in line items; suppliers are hubs."""
-    b = bought(spark, sf_dir)
+    b = bought(spark, sf_dir, numbered)
     pair = lambda x, y: F.struct(F.col(x).alias("src"), F.col(y).alias("dst"))
     # one reading of the line items for the three kinds of edges
-    return graphs.triangles(b.select(F.inline(F.array(pair("c", "p"), pair("p", "s"), pair("c", "s")))))
+    edges = b.select(F.inline(F.array(pair("c", "p"), pair("p", "s"), pair("c", "s"))))
+    return graphs.triangles(edges).select(name_of("node").alias("node"), "triangles")
 
 
 NEIGHBOURS = """WITH q AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 50 = 0), b AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),

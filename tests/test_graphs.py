@@ -1,11 +1,13 @@
 """Graph operators against plain Python."""
 
+import os
 import random
+import time
 from collections import Counter
 
 import pytest
 
-from kestrelq.operators import graphs
+from kestrelq.operators import graphs, scratch
 
 
 def edges(seed, nodes=30, n=90):
@@ -117,3 +119,31 @@ def test_triangles_move_lists_and_not_pairs_of_edges(spark, monkeypatch):
     got = {r.node: r.triangles for r in graphs.triangles(e).collect()}
     assert got == {k: (n - 1) * (n - 2) // 2 for k in range(n)}
     assert any(a for a, _ in rows) and not any(b for _, b in rows)
+
+
+def test_triangles_send_lists_in_rounds(spark, monkeypatch):
+    # all with all: 215,820 ids to send, 11,990 a round, so more rounds than parts that are kept apart
+    n, rounds, corners_of = 110, [], graphs._corners
+    e = spark.createDataFrame([(a, b) for a in range(n) for b in range(a)], "src int, dst int")
+    monkeypatch.setattr(graphs, "_corners", lambda near, lists: rounds.append(near.count()) or corners_of(near, lists))
+    got = {r.node: r.triangles for r in graphs.triangles(e, at_once=1).collect()}
+    assert got == {k: (n - 1) * (n - 2) // 2 for k in range(n)}
+    assert len(rounds) == 18 and sum(rounds) == n - 1 and max(rounds) <= 7
+    some = edges(8, 40, 700)
+    got = {r.node: r.triangles for r in graphs.triangles(spark.createDataFrame(some, "src int, dst int"), at_once=1).collect()}
+    assert got == corners(some) and len(rounds) > 19
+
+
+def test_triangles_leave_no_shuffle_files(spark):
+    """Else those of all steps are on disk together until the driver collects its garbage."""
+    tops = list(spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirs())
+    files = lambda: {f for t in tops for _, _, fs in os.walk(t.getPath()) for f in fs if f.startswith("shuffle_")}
+    e, key = spark.createDataFrame(edges(7, 40, 400), "src int, dst int"), scratch.CLEANUP
+    was, old = files(), spark.conf.get(key, None)
+    got = {r.node: r.triangles for r in graphs.triangles(e).collect()}
+    for _ in range(50):  # they go in the background
+        if not files() - was:
+            break
+        time.sleep(0.2)
+    assert got == corners(edges(7, 40, 400)) and not files() - was
+    assert spark.conf.get(key, None) == old
