@@ -162,12 +162,12 @@ def _corners(near: DataFrame, lists: DataFrame) -> DataFrame:
     later = lists.select(F.col("u").alias("v"), F.col("near").alias("far"))
     # lists are unique and short, so they are the hashed side; the edges stream by
     sent = near.select("u", F.explode("near").alias("v")).join(later.hint("shuffle_hash"), "v")
-    met = sent.join(near.hint("shuffle_hash"), "u").select("u", "v", F.array_intersect("far", "near").alias("w")).where(F.size("w") > 0)
+    met = sent.join(near.hint("shuffle_hash"), "u").select("u", "v", F.array_intersect("far", "near").alias("w"))
+    # no filter: Spark would intersect once for it and once more for what it lets through
+    ids = F.when(F.size("w") > 0, F.concat(F.array("u", "v"), "w"))
+    corners = met.select(F.size("w").alias("n"), F.posexplode(ids).alias("k", "id"))
     # partial sums a task, before any shuffle of corners
-    count = lambda node, c: F.struct(F.col(node).alias("id"), c.cast("long").alias("c"))
-    third = F.transform("w", lambda x: F.struct(x.alias("id"), F.lit(1).cast("long").alias("c")))
-    corners = met.select(F.inline(F.concat(F.array(count("u", F.size("w")), count("v", F.size("w"))), third)))
-    return corners.groupBy("id").agg(F.sum("c").alias("c"))
+    return corners.groupBy("id").agg(F.sum(F.when(F.col("k") < 2, F.col("n")).otherwise(1).cast("long")).alias("c"))
 
 
 def _added(parts: list[DataFrame], r: Rounds) -> DataFrame:

@@ -147,3 +147,10 @@ def test_triangles_leave_no_shuffle_files(spark):
         time.sleep(0.2)
     assert got == corners(edges(7, 40, 400)) and not files() - was
     assert spark.conf.get(key, None) == old
+
+
+def test_triangles_intersect_once(spark):
+    lists = spark.createDataFrame([(0, [1, 2]), (1, [2])], "u int, near array<int>")
+    df = graphs._corners(lists, lists)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("array_intersect") == 1
+    assert {r.id: r.c for r in df.collect()} == {0: 1, 1: 1, 2: 1}
