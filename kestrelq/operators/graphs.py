@@ -8,6 +8,8 @@ with very many edges; PageRank's are of buckets, where the edges of one start st
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -105,20 +107,29 @@ def by_ids(edges: DataFrame, nodes: DataFrame, ends: tuple[str, str]) -> DataFra
     return edges
 
 
+def in_slices(edges: DataFrame, r: Rounds, step: Callable[[DataFrame], DataFrame], slices: int = 2) -> DataFrame:
+    """``step`` of written edges a, b, which are then removed: a part of them after the other, as a part's shuffle goes
+    with it. The hash is another than that of shuffles, or a part would fill every other partition only."""
+    out = None
+    for k in range(slices):
+        part = step(edges.where(F.pmod(F.xxhash64("a", "b"), F.lit(slices)) == k))
+        out = r.append(out, part) if out is not None else r.write(part)
+    r.drop(edges)
+    return out
+
+
 def oriented(edges: DataFrame, src: str, dst: str, r: Rounds) -> tuple[DataFrame, DataFrame]:
     """Edges u, v and nodes node, id. Ids follow the number of neighbours (and the value among equals); every edge
     stands once, from the smaller id to the larger one. No node then has more edges out of it than the root of twice the
     number of edges, hubs least of all."""
     e = edges.select(F.least(src, dst).alias("a"), F.greatest(src, dst).alias("b")).where(F.col(src) != F.col(dst))
-    one = r.write(e.distinct())
+    one = in_slices(r.write(e), r, lambda x: x.distinct())
     # one table for each end, so that the shuffles of edges are not on disk together; likewise the ids
     ends = [r.write(one.groupBy(F.col(c).alias("node")).agg(F.count("*").alias("d"))) for c in ("a", "b")]
     nodes = numbered(ends[0].unionByName(ends[1]).groupBy("node").agg(F.sum("d").alias("d")), ["d", "node"], r)
-    half = r.write(by_ids(one, nodes, ("a",)))
-    r.drop(one, *ends)
-    out = r.write(by_ids(half, nodes, ("b",)).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")))
-    r.drop(half)
-    return out, nodes
+    r.drop(*ends)
+    half = in_slices(one, r, lambda x: by_ids(x, nodes, ("a",)))
+    return in_slices(half, r, lambda x: by_ids(x, nodes, ("b",)).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))), nodes
 
 
 def triangles(edges: DataFrame, src: str = "src", dst: str = "dst", at_once: int = 1 << 24) -> DataFrame:

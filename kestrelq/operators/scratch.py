@@ -67,6 +67,14 @@ class Rounds:
         out.scratch_path = path
         return out
 
+    def append(self, to: DataFrame, df: DataFrame) -> DataFrame:
+        """The written table ``to`` with the rows of ``df``, in its place."""
+        with self.tidied():
+            df.write.option("compression", "zstd").mode("append").parquet(to.scratch_path)
+        out = self.spark.read.schema(to.schema).parquet(to.scratch_path)
+        out.scratch_path = to.scratch_path
+        return out
+
     def bucketed(self, df: DataFrame, by: str, buckets: int) -> DataFrame:
         """Written in buckets of ``by``: joins and groupings by it move nothing. Not to be kept: its entry in the
         catalog goes with its files."""

@@ -154,3 +154,13 @@ def test_triangles_intersect_once(spark):
     df = graphs._corners(lists, lists)
     assert df._jdf.queryExecution().optimizedPlan().toString().count("array_intersect") == 1
     assert {r.id: r.c for r in df.collect()} == {0: 1, 1: 1, 2: 1}
+
+
+def test_edges_in_slices(spark):
+    with graphs.Rounds(spark, "slices", tidy=True) as r:
+        rows, seen = [(k, k + 1) for k in range(200)] * 2, []
+        e = r.write(spark.createDataFrame(rows, "a int, b int"))
+        out = graphs.in_slices(e, r, lambda x: seen.append(x.count()) or x.distinct())
+        assert sorted(map(tuple, out.collect())) == sorted(set(rows))
+        assert len(seen) == 2 and sum(seen) == 400 and min(seen) > 100 and r.paths == [out.scratch_path]
+        r.keep()
